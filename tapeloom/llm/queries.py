@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, languages, packing, pieces, quality_rules, sharding, simhash, warc
+from . import fingerprints, languages, packing, pieces, quality_rules, sharding, simhash, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.without_repeats(table(spark, sf_dir, "documents"), least=35)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
@@ -52,5 +57,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_warc, op3_fingerprints, op4_pieces, op7_packing, op8_quality_rules, op9_languages, op10_sharding)
+    found = (op1_simhash, op2_warc, op3_fingerprints, op4_pieces, op6_substrings, op7_packing, op8_quality_rules, op9_languages, op10_sharding)
     return {f.__name__: f for f in found}
