@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, languages, packing, pieces, quality_rules, sharding, simhash, substrings, warc
+from . import fingerprints, languages, packing, pieces, quality_model, quality_rules, sharding, simhash, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4, seed=42)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4, seed=42).drop("component")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,12 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = quality_model.scored(docs.select("doc_id", "text"), quality_model.fit(docs))
+    return rows.select("row.doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substrings.without_repeats(table(spark, sf_dir, "documents"), least=35)
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -57,5 +64,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_warc, op3_fingerprints, op4_pieces, op6_substrings, op7_packing, op8_quality_rules, op9_languages, op10_sharding)
-    return {f.__name__: f for f in found}
+    found = (op1_simhash, op2_warc, op3_fingerprints, op4_pieces, op5_quality_model, op6_substrings, op7_packing, op8_quality_rules, op9_languages, op10_sharding)
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,20 +165,39 @@ def near_classes(fps: DataFrame, distance: int = 4) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """One row for each row of ``docs``: its id, ``fingerprint`` and ``component_id``.
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
+    """One row for each row of ``docs``: its id, ``keep`` columns, ``fingerprint``, ``component_id`` and ``component``.
 
     ``component_id`` is the smallest id in reach over links of ``distance`` or
-    fewer bits. Null, empty and blank texts share fingerprint zero and so one
-    class. Repeated rows each come back. A null id never names a class unless
-    all ids of the class are null. Other columns of ``docs`` are not read.
+    fewer bits, ``component`` the smallest fingerprint (as a long). Null, empty
+    and blank texts share fingerprint zero and so one class. Repeated rows each
+    come back. A null id never names a class unless all ids of the class are
+    null. Other columns of ``docs`` are not read.
     """
-    rows = written(with_fingerprints(docs.select(F.col(id).alias("__id"), F.col(text).alias("__t")), "__t", ["__id"], shingle, seed), "fingerprints")
+    keep = keep or []
+    picked = docs.select(F.col(id).alias("__id"), F.col(text).alias("__t"), *(F.col(c).alias(f"__keep_{c}") for c in keep))
+    rows = written(with_fingerprints(picked, "__t", ["__id", *(f"__keep_{c}" for c in keep)], shingle, seed), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("__id").alias("low")), "distinct")
     near = near_classes(fps.select("fp"), distance).withColumnRenamed("node", "fp")
     named = fps.join(near, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.select("fp", "component").join(low, "component").select("fp", "component_id")
+    named = named.select("fp", "component").join(low, "component").select("fp", "component_id", "component")
     return rows.join(named, "fp").select(
-        F.col("__id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        F.col("__id").alias(id), *(F.col(f"__keep_{c}").alias(c) for c in keep), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component"
     )
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, one of each near-duplicate class: that with the smallest id.
+
+    Ties of the id go to the smaller text hash; null ids come last, and of alike
+    rows one stays. All columns stay as they are.
+    """
+    row = F.struct(*(docs[c] for c in docs.columns))
+    rows = docs.select(row.alias("row"), docs[id].alias("__id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("__k"))
+    near = near_duplicates(rows.select("__id", "__k", F.col(f"row.{text}").alias("__t")), "__id", "__t", distance, shingle, seed, keep=["__k"])
+    first = near.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__k")).alias("first"))
+    first = first.select(F.col("first.__id").alias("__i"), F.col("first.__k").alias("__l")).distinct()
+    kept = rows.join(first, rows["__id"].eqNullSafe(first["__i"]) & (rows["__k"] == first["__l"]), "left_semi")
+    alike = Window.partitionBy("__id", "__k").orderBy(F.lit(0))
+    return kept.withColumn("__n", F.row_number().over(alike)).where("__n = 1").select("row.*")
