@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Entries of a worker's table of words already encoded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Longer runs of non-space are encoded but not kept.
 CACHE_CHARS = 48
 _beyond_latin = re.compile("[^\x00-ÿ]")
 _spaces = re.compile("[\t\n\x0b\x0c\r ]+")
+_MARKS = (".", ",")
 _known: dict[str, dict[str, bytes]] = {}
 
 
@@ -45,6 +46,12 @@ def encode_all(texts: list[str | None], path: str, end_id: int = 0) -> list[byte
     split = [_spaces.split(t if _beyond_latin.search(t) else t.lower()) if t else [] for t in texts]
     new = {w for words in split for w in words if w not in known}
     here: dict[str, bytes] = {}
+    # Letters and the mark behind them are split before anything else, so a word
+    # with a mark is the word's ids and the mark's.
+    marked = [w for w in new if w[-1:] in _MARKS and w[:-1].isalpha()] if new else []
+    if marked:
+        new.difference_update(marked)
+        new.update(x for w in marked for x in (w[:-1], w[-1]) if x not in known)
     if new:
         listed = list(new)
         for at in range(0, len(listed), 4096):
@@ -55,6 +62,13 @@ def encode_all(texts: list[str | None], path: str, end_id: int = 0) -> list[byte
                     known[w] = packed
                 else:
                     here[w] = packed
+    for w in marked:
+        a, b = w[:-1], w[-1]
+        packed = (known[a] if a in known else here[a]) + (known[b] if b in known else here[b])
+        if len(known) < CACHE_WORDS and len(w) <= CACHE_CHARS:
+            known[w] = packed
+        else:
+            here[w] = packed
     if not here:
         return [b"".join(map(known.__getitem__, words)) + end for words in split]
     return [b"".join([known[w] if w in known else here[w] for w in words]) + end for words in split]
