@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 BRACKET = 1_000
 
 
-def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys`` and ``median_pct``: the exact, interpolated median of each group.
+def _bracket(value: Column) -> Column:
+    """Two values with the middle ranks between them, from a mergeable sketch."""
+    return F.percentile_approx(value, F.array(F.lit(0.5 - 3 / BRACKET), F.lit(0.5 + 3 / BRACKET)), F.lit(BRACKET * 2))
+
 
-    A built-in exact percentile holds all values of a group in one task. Here a
-    mergeable sketch brackets the middle ranks of each group; values below the
-    bracket are only counted, and only the bracket's few are ranked.
+def _middle(rows: DataFrame, ends: DataFrame, keys: list[str], value: str, few: bool) -> DataFrame:
+    """The exact medians, given each group's bracket ``__e`` and count ``__n``.
+
+    Values below the bracket are only counted, by a pre-aggregation; the
+    bracket's few distinct values are ranked.
     """
-    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    ends = rows.groupBy(*keys).agg(F.percentile_approx("__v", F.array(F.lit(0.5 - 3 / BRACKET), F.lit(0.5 + 3 / BRACKET)), F.lit(BRACKET * 2)).alias("__e"), F.count("*").alias("__n"))
-    ends = ends.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__e")[0].alias("__lo"), F.col("__e")[1].alias("__hi"), "__n")
+    ends = ends.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__e")[0].alias("__lo"), F.col("__e")[1].alias("__hi"), "__n")
+    rows = rows.where(F.col(value).isNotNull()).select(*(F.col(k).alias(f"__r_{k}") for k in keys), F.col(value).alias("__v"))
     same = F.lit(True)
     for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
-    near = rows.join(ends, same).withColumn("__at", F.when(F.col("__v") < F.col("__lo"), -1).when(F.col("__v") > F.col("__hi"), 1).otherwise(0))
-    counted = near.where("__at <= 0").groupBy(*keys, F.when(F.col("__at") == 0, F.col("__v")).alias("__v")).agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
+        same &= F.col(f"__r_{k}").eqNullSafe(F.col(f"__k_{k}"))
+    near = rows.join(F.broadcast(ends) if few else ends, same).where(F.col("__v") <= F.col("__hi"))
+    counted = near.groupBy(*(F.col(f"__r_{k}").alias(k) for k in keys), F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
     upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     ranked = counted.withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("__c"))
     holds = lambda r: (F.col("__from") < r) & (F.col("__to") >= r) & F.col("__v").isNotNull()
@@ -31,6 +34,16 @@ def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(((F.max(F.when(holds(low), F.col("__v"))) + F.max(F.when(holds(high), F.col("__v")))) / 2).alias("median_pct"))
 
 
+def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys`` and ``median_pct``: the exact, interpolated median of each group.
+
+    A built-in exact percentile holds all values of a group in one task; here no
+    task holds more than the bracket's distinct values.
+    """
+    rows = rows.where(F.col(value).isNotNull())
+    return _middle(rows, rows.groupBy(*keys).agg(_bracket(F.col(value)).alias("__e"), F.count("*").alias("__n")), keys, value, few=False)
+
+
 def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
@@ -43,7 +56,7 @@ def _statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("signals"), F.count_if(F.col("direction") == "LONG").alias("longs"), F.count_if(F.col("direction") == "SHORT").alias("shorts"),
         F.count(r).alias("n"), F.count(win).alias("wins"), F.count(loss).alias("losses"), _zero(F.avg(r)).alias("avg_pct"), _zero(F.sum(r)).alias("total_pct"),
         _zero(F.stddev_samp(r)).alias("stddev_pct"), _zero(F.max(r)).alias("best_pct"), _zero(F.min(r)).alias("worst_pct"), _zero(F.avg(win)).alias("avg_win_pct"), _zero(F.avg(loss)).alias("avg_loss_pct"),
-        _zero(F.sum(win)).alias("__gain"), _zero(F.sum(loss)).alias("__pain"), _zero(F.avg(F.when(F.col("valid"), F.col("mfe_pct")))).alias("avg_mfe_pct"), _zero(F.avg(F.when(F.col("valid"), F.col("mae_pct")))).alias("avg_mae_pct"),
+        _bracket(r).alias("__e"), _zero(F.sum(win)).alias("__gain"), _zero(F.sum(loss)).alias("__pain"), _zero(F.avg(F.when(F.col("valid"), F.col("mfe_pct")))).alias("avg_mfe_pct"), _zero(F.avg(F.when(F.col("valid"), F.col("mae_pct")))).alias("avg_mae_pct"),
     )
     factor = F.when(F.col("__pain") < 0, F.col("__gain") / -F.col("__pain")).when(F.col("__gain") > 0, F.lit(float("inf"))).otherwise(0.0)
     return out.withColumns(
@@ -61,23 +74,31 @@ def summarize(legs: DataFrame) -> DataFrame:
     """18 statistics by horizon for all trades, by signal, by direction and by signal year.
 
     One pass: each leg counts in its four groups, which are pre-aggregated
-    before the shuffle. Only the medians need a second one.
+    before the shuffle. Only the medians need a second one; the table of groups
+    that it reads is broadcast, since rules, sides, years and horizons bound it.
     """
     groups = F.array(
         F.struct(F.lit("overall").alias("t"), F.lit("ALL SIGNALS").alias("g")), F.struct(F.lit("signal").alias("t"), F.col("variant").alias("g")),
         F.struct(F.lit("direction").alias("t"), F.col("direction").alias("g")), F.struct(F.lit("year").alias("t"), F.year("date").cast("string").alias("g")),
     )
     keys = ["group_type", "group", "horizon", "horizon_days"]
-    rows = legs.select("horizon", "horizon_days", "valid", "return_pct", "mfe_pct", "mae_pct", "direction", F.explode(groups).alias("x")).select("*", F.col("x.t").alias("group_type"), F.col("x.g").alias("group")).drop("x")
-    middle = exact_median(rows.withColumn("return_pct", F.when(F.col("valid"), F.col("return_pct"))), keys, "return_pct")
-    return _statistics(rows, keys).join(middle, keys, "left").withColumn("median_pct", _zero(F.col("median_pct")))
+    rows = legs.select("horizon", "horizon_days", "valid", F.when(F.col("valid"), F.col("return_pct")).alias("return_pct"), "mfe_pct", "mae_pct", "direction", F.explode(groups).alias("x"))
+    rows = rows.select("*", F.col("x.t").alias("group_type"), F.col("x.g").alias("group")).drop("x")
+    stats = _statistics(rows, keys)
+    middle = _middle(rows, stats.withColumn("__n", F.col("n")), keys, "return_pct", few=True)
+    middle = middle.select(*(F.col(k).alias(f"__m_{k}") for k in keys), "median_pct")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__m_{k}"))
+    return stats.drop("__e").join(middle, same, "left").drop(*(f"__m_{k}" for k in keys)).withColumn("median_pct", _zero(F.col("median_pct")))
 
 
 def ordered(summary: DataFrame, primary: str) -> DataFrame:
     """Summary rows as a report lists them: signals by falling primary average, other groups by name."""
     kind = F.array_position(F.array(*map(F.lit, ("overall", "signal", "direction", "year"))), F.col("group_type"))
     key = F.max(F.when(F.col("horizon") == primary, F.col("avg_pct"))).over(Window.partitionBy("group_type", "group"))
-    return summary.orderBy(kind, F.when(F.col("group_type") == "signal", -key), "group", "horizon_days")
+    rows = summary.withColumns({"__kind": kind, "__key": key})
+    return rows.orderBy("__kind", F.when(F.col("group_type") == "signal", -F.col("__key")), "group", "horizon_days").drop("__kind", "__key")
 
 
 def top_trades(legs: DataFrame, horizon: str, n: int, best: bool = True) -> DataFrame:
