@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 
@@ -148,8 +149,8 @@ def identify(docs: DataFrame, model: Mixtures, keep: list[str] | None = None, te
             )
 
     picked = docs.select(*keep, F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1])
-    return picked.mapInArrow(run, (fields + ", " if fields else "") + "lang_pred string, score double, mixture map<string,double>")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.MapType(T.StringType(), T.DoubleType()))]
+    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:-1], *added]))
 
 
 def held_out(id: str | Column = "doc_id") -> Column:

@@ -55,30 +55,39 @@ def pattern(text: str | None) -> int:
     return sum(v * 3**k for k, v in enumerate(votes))
 
 
-def estimate(patterns: dict[int, int], rounds: int = 60) -> tuple[dict[int, float], np.ndarray]:
+def estimate(patterns: dict[int, int], rounds: int = 80) -> tuple[dict[int, float], np.ndarray]:
     """Posterior of ``bad`` for each vote pattern, and the labellers' rates ``[class][labeller][vote]``.
 
     Expectation-maximisation over the pattern counts (3 ** labellers at most,
-    whatever the rows): votes are independent given the class, and each labeller
-    has its own rates in either. It starts from any bad vote being right nine
-    times in ten.
+    whatever the rows). Bad texts are bad in different ways, which different
+    labellers see, so the bad class is itself a mixture: a component for each
+    labeller, started from the patterns where that labeller and another call the
+    text bad. Within a component votes are independent, and an abstention says
+    nothing. A labeller that no other bears out gets no component to itself, and
+    so counts as mistaken.
     """
+    n_lab = len(LABELLERS)
     if not patterns:
-        return {}, np.zeros((2, len(LABELLERS), 3))
+        return {}, np.zeros((2, n_lab, 3))
     keys = np.array(sorted(patterns))
     n = np.array([patterns[k] for k in keys], float)
-    vote = np.stack([keys // 3**k % 3 for k in range(len(LABELLERS))], axis=1)
-    bad = np.where((vote == BAD).any(axis=1), 0.9, 0.02)
+    vote = np.stack([keys // 3**k % 3 for k in range(n_lab)], axis=1)
+    called = (vote == BAD).astype(float)
+    calls = called.sum(axis=1, keepdims=True)
+    bad = np.where(calls >= 2, 0.9, 0.02)
+    share = np.concatenate((1 - bad, bad * np.where(calls > 0, called / np.maximum(calls, 1), 1 / n_lab)), axis=1)
     onehot = (vote[:, :, None] == np.arange(3)).astype(float)
-    rates = np.zeros((2, len(LABELLERS), 3))
     for _ in range(rounds):
-        weight = np.stack([(1 - bad) * n, bad * n])
-        rates = np.einsum("cp,plv->clv", weight, onehot) + 0.01
+        weight = share * n[:, None]
+        rates = np.einsum("pc,plv->clv", weight, onehot[:, :, GOOD:]) + 0.05
         rates /= rates.sum(axis=2, keepdims=True)
-        prior = (weight.sum(axis=1) + 1) / (n.sum() + 2)
-        logs = np.einsum("plv,clv->pc", onehot, np.log(rates)) + np.log(prior)
-        bad = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
-    return dict(zip(keys.tolist(), bad.tolist(), strict=True)), rates
+        prior = (weight.sum(axis=0) + 0.01) / (n.sum() + 0.01 * (n_lab + 1))
+        logs = np.einsum("plv,clv->pc", onehot[:, :, GOOD:], np.log(rates)) + np.log(prior)
+        share = np.exp(logs - logs.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+    bad = share[:, 1:].sum(axis=1)
+    both = np.einsum("cp,plv->clv", np.stack([(1 - bad) * n, bad * n]), onehot) + 1e-9
+    return dict(zip(keys.tolist(), bad.tolist(), strict=True)), both / both.sum(axis=2, keepdims=True)
 
 
 def _class_table() -> np.ndarray:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 
@@ -289,8 +290,9 @@ def without_repeats(docs: DataFrame, least: int = 35, id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=[id, *keep, "n_words", "n_removed", "kept"])
 
     both = both.select("id", "text", "spans", *(f"_{c}" for c in keep))
-    fields = [f"`{id}` {both.schema['id'].dataType.simpleString()}", *(f"`{c}` {both.schema[f'_{c}'].dataType.simpleString()}" for c in keep)]
-    return both.mapInArrow(run, ", ".join(fields) + ", n_words long, n_removed long, kept string")
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    fields = [T.StructField(id, both.schema["id"].dataType), *(T.StructField(c, both.schema[f"_{c}"].dataType) for c in keep)]
+    return both.mapInArrow(run, T.StructType([*fields, *added]))
 
 
 def reference_spans(docs: DataFrame, reference: list[str], least: int = 35, id: str = "doc_id", text: str = "text", shard_words: int = REFERENCE_WORDS) -> DataFrame:
