@@ -32,6 +32,22 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def _added(path: str) -> tuple[str, ...]:
+    return tuple(x.content.lower() for x in _tokenizer(path).get_added_tokens_decoder().values())
+
+
+def _lowered(text: str, path: str) -> str:
+    """The text in lower case where that leaves its ids alone, so that more runs are alike.
+
+    Lower-casing is part of the normaliser. Outside Latin-1 it could depend on
+    context, and added tokens are found before it, by their exact spelling; such
+    texts stay as they are.
+    """
+    low = text.lower()
+    return text if _beyond_latin.search(text) or any(x in low for x in _added(path)) else low
+
+
 def encode_all(texts: list[str | None], path: str, end_id: int = 0) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit words, ``end_id`` last.
 
@@ -41,9 +57,7 @@ def encode_all(texts: list[str | None], path: str, end_id: int = 0) -> list[byte
     """
     known, tok = _known.setdefault(path, {}), _tokenizer(path)
     end = end_id.to_bytes(4, "little")
-    # Lower-casing is part of the normaliser; doing it first only makes more runs alike.
-    # Outside Latin-1 it could depend on context, so such texts stay as they are.
-    split = [_spaces.split(t if _beyond_latin.search(t) else t.lower()) if t else [] for t in texts]
+    split = [_spaces.split(_lowered(t, path)) if t else [] for t in texts]
     new = {w for words in split for w in words if w not in known}
     here: dict[str, bytes] = {}
     # Letters and the mark behind them are split before anything else, so a word

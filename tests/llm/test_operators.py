@@ -442,6 +442,12 @@ def test_words_are_the_tokenizer(t):
     assert np.frombuffer(packing.encode_all([t], WORDS)[0], "<u4").tolist() == [*ids, 0]
 
 
+@pytest.mark.parametrize("t", ["a <|ENDOFTEXT|> b", "A<|EndOfText|>.", "<|endoftext|> One", "É <|StartOfText|>", "<| End |>"])
+def test_added_tokens_are_matched_by_case(t):
+    ids = packing._tokenizer(WORDS).encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encode_all([t], WORDS)[0], "<u4").tolist() == [*ids, 0]
+
+
 def test_quality_rules(docs, none):
     want = collections.Counter()
     for r in docs.collect():
