@@ -15,10 +15,15 @@ BROADCAST_HASHES = 1_000_000
 BUCKET_ROWS, MOST_BUCKETS = 4_000, 8_192
 
 
+def _icu(kind: str, method: str, text: Column) -> Column:
+    """A static function of ICU, which Spark ships, on a text and its default flag."""
+    return F.call_function("java_method", F.lit(f"com.ibm.icu.{kind}"), F.lit(method), text, F.lit(True))
+
+
 def canonical(text: Column) -> Column:
-    """NFKC, lower case, runs of white space as one space, none at the ends; null is empty."""
-    folded = F.lower(F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True)))
-    return F.trim(F.regexp_replace(folded, r"\s+", " "))
+    """NFKC, full case folding, runs of Unicode white space as one space, none at the ends; null is empty."""
+    folded = _icu("lang.UCharacter", "foldCase", _icu("text.Normalizer", "compose", F.coalesce(text, F.lit(""))))
+    return F.trim(F.regexp_replace(folded, r"[\s\x85\p{Z}]+", " "))
 
 
 def wide_hash(text: Column, bits: int = 128) -> Column:

@@ -212,6 +212,13 @@ def test_fingerprints(docs, none):
     assert fingerprints.fingerprinted(none).count() == 0 and fingerprints.edited(none).count() == 0
 
 
+def test_folding(spark):
+    alike = [["Straße  am\u2028See", "STRASSE AM SEE", "strasse\u00a0am\u0085see "], ["ΟΔΟΣ", "οδος", "οδοσ"], ["ﬁne", "FINE"], ["\u1680", "\u3000\t", "", None]]
+    rows = [(k, t) for k, texts in enumerate(alike) for t in texts]
+    got = fingerprints.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg(F.collect_set("fingerprint").alias("f")).collect()
+    assert all(len(r["f"]) == 1 for r in got) and len({r["f"][0] for r in got}) == len(alike)
+
+
 @pytest.mark.parametrize("bits", [128, 4])
 def test_edited(docs, bits, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
