@@ -78,6 +78,18 @@ def ranked(hash: str) -> Column:
     return F.when(F.col("rank") > 0, F.concat(F.col(hash), F.lit("-"), F.col("rank").cast("string"))).otherwise(F.col(hash))
 
 
+def cuts_below(value: Column, cuts: list[int]) -> Column:
+    """How many of the rising ``cuts`` are below ``value``: first among every so many of them, then in one stretch."""
+    if not cuts:
+        return F.lit(0)
+    wide = math.isqrt(len(cuts) - 1) + 1
+    stretches = [cuts[k : k + wide] for k in range(0, len(cuts), wide)]
+    below = lambda some: F.size(F.filter(some, lambda c: value > c))
+    at = below(F.array(*(F.lit(x[0]) for x in stretches)))
+    inner = below(F.get(F.array(*(F.array(*map(F.lit, x)) for x in stretches)), at - 1))
+    return F.when(at == 0, 0).otherwise((at - 1) * wide + inner)
+
+
 def beside_next(docs: DataFrame, id: str, text: str, carried: dict[str, Column]) -> DataFrame:
     """Each row with its text and ``carried`` columns, and those of the next row by falling ``id`` as ``next_*``.
 
@@ -95,20 +107,17 @@ def beside_next(docs: DataFrame, id: str, text: str, carried: dict[str, Column])
         points = [k / buckets for k in range(1, buckets)]
         cuts = sorted(set(ids.select(F.percentile_approx("__id", F.lit(points), F.lit(10 * buckets))).first()[0] or []))
     # Bucket 0 holds the largest ids; null ids have the last one to themselves.
-    bucket = F.when(F.col("__id").isNull(), F.lit(len(cuts) + 1)).otherwise(
-        F.lit(len(cuts)) - F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.expr("cast(array() as array<bigint>)"), lambda c: F.col("__id") > c))
-    )
+    bucket = F.when(F.col("__id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - cuts_below(F.col("__id"), cuts))
     heads = ids.groupBy(bucket.alias("__b")).agg(F.max("__id").alias("__head")).orderBy("__b").collect()  # a row for each bucket
-    before = {r["__b"]: heads[k - 1]["__b"] for k, r in enumerate(heads)}  # where a bucket's head is also wanted
-    ghost = None
-    for b, (got, into) in enumerate((r["__head"], before[r["__b"]]) for r in heads):
-        here = F.col("__id").isNull() if got is None else F.col("__id") == F.lit(got)
-        ghost = F.when(here, F.lit(into)) if b == 0 else ghost.when(here, F.lit(into))
+    into = {r["__head"]: heads[k - 1]["__b"] for k, r in enumerate(heads)}  # where a bucket's head is also wanted
     real = rows.withColumn("__b", bucket).withColumn("__ghost", F.lit(False))
-    if ghost is not None:
-        keys = [r["__head"] for r in heads if r["__head"] is not None]
-        some = F.col("__id").isin(keys) if len(keys) == len(heads) else F.col("__id").isin(keys) | F.col("__id").isNull()
-        real = real.union(rows.where(some).withColumn("__b", ghost).withColumn("__ghost", F.lit(True)))
+    if into:
+        keys = [k for k in into if k is not None]
+        place = F.get(F.array(*(F.lit(into[k]) for k in keys)), F.array_position(F.array(*map(F.lit, keys)), F.col("__id")).cast("int") - 1) if keys else F.lit(None).cast("int")
+        some = F.col("__id").isin(keys)
+        if None in into:
+            place, some = F.when(F.col("__id").isNull(), F.lit(into[None])).otherwise(place), some | F.col("__id").isNull()
+        real = real.union(rows.where(some).withColumn("__b", place).withColumn("__ghost", F.lit(True)))
     along = Window.partitionBy("__b").orderBy("__ghost", F.col("__id").desc_nulls_last(), F.col("__t").desc())
     nexts = [F.lead(c).over(along).alias(f"next_{c.lstrip('_')}") for c in ("__t", *carried)]
     return real.select("__id", "__t", *carried, "__ghost", *nexts).where("not __ghost").drop("__ghost")
