@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 GOOD, BAD = 1, 2
 LABELLERS = ("symbols", "bangs", "capitals", "stutter", "lines", "variety", "word_length", "plain_words", "marks")
-#: A bound on the rows that the scorer is fitted on, about; a seeded hash of the text picks them.
+#: A bound on the texts that the scorer is fitted on, about; a seeded hash of the text picks them.
 FIT_ROWS = 20_000
 #: Buckets of the hashed features, before the bias.
 FEATURES = 1 << 12
@@ -168,12 +168,21 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: in
     return Scorer(w, b, float(np.log(mean / (1 - mean))))
 
 
+def fit_sample(texts: DataFrame, rows: int, fit_rows: int, seed: int) -> DataFrame:
+    """About ``fit_rows`` different texts at most, of a column ``text`` with so many ``rows``; all of them where that is more."""
+    limit = int(min(1.0, fit_rows / rows) * (1 << 30))
+    some = texts if limit == 1 << 30 else texts.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < limit)
+    return some.distinct()
+
+
 def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS, seed: int = 5) -> Scorer | None:
     """Estimate the labellers on all rows, then train the scorer on their posteriors.
 
     All rows are reduced to counts of vote patterns. The scorer's rows are a
-    sample of about ``fit_rows``, picked by a seeded hash of the text so that it
-    does not depend on partitions. No rows with words give no scorer.
+    sample of about ``fit_rows`` texts, picked by a seeded hash of the text so
+    that it does not depend on partitions. Copies of a picked text count once, so
+    one text with very many copies can't swell the sample. No rows with words
+    give no scorer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +201,11 @@ def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS, seed: int
     if not total:
         return None
     posterior, _ = estimate(patterns)
-    limit = int(min(1.0, fit_rows / total) * (1 << 30))
-    picked = texts.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < limit) if limit < 1 << 30 else texts
+    picked = fit_sample(texts, total, fit_rows, seed)
     got = [r for r in picked.mapInArrow(described, "pattern int, at array<long>, value array<double>").toArrow().to_pylist() if r["pattern"] >= 0]
     if not got:
         return None
+    got.sort(key=lambda r: (r["pattern"], r["at"], r["value"]))  # sums of doubles depend on the order
     return train([(np.array(r["at"]), np.array(r["value"])) for r in got], np.array([1 - posterior[r["pattern"]] for r in got]))
 
 

@@ -233,6 +233,13 @@ def test_edited(docs, bits, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 9, 10, 50])
+def test_cuts_below(spark, n):
+    cuts = [3 * k + 1 for k in range(n)]
+    got = spark.range(-2, 3 * n + 4).select("id", fingerprints.cuts_below(F.col("id"), cuts).alias("k")).collect()
+    assert all(r["k"] == sum(c < r["id"] for c in cuts) for r in got)
+
+
 def test_clashes_are_told_apart(docs):
     few = fingerprints.fingerprinted(docs, bits=4).join(docs.select("doc_id", "text"), "doc_id").where("doc_id != 4")
     by = collections.defaultdict(set)
@@ -331,6 +338,15 @@ def test_quality_model(spark, docs, none):
     assert quality_model.scored(none, model).count() == 0
 
 
+def test_copies_do_not_swell_the_sample(spark):
+    rng = random.Random(2)
+    texts = spark.createDataFrame([(t,) for k in range(200) for t in [prose(rng, 9)] * (30 if k < 20 else 1)], "text string")
+    rows = texts.count()
+    assert quality_model.fit_sample(texts, rows, rows, 5).count() == 200
+    few = quality_model.fit_sample(texts, rows, rows // 4, 5)
+    assert 20 < few.count() < 90 and few.distinct().count() == few.count()
+
+
 def test_labeller_accuracies_are_found():
     rng = random.Random(9)
     counts = collections.Counter()
