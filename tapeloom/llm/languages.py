@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import slices, written
 
 UNKNOWN = "und"
 
@@ -46,7 +46,7 @@ def ngram_counts(docs: DataFrame, bits: int = 15, lang: str = "lang", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 into = sums.setdefault(name, np.zeros(1 << bits, np.int64))
                 for at in range(0, len(t), block):
@@ -141,7 +141,7 @@ def identify(docs: DataFrame, model: Mixtures, keep: list[str] | None = None, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in batches:
+        for batch in slices(batches):
             got = [m.infer(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([list(g[2].items()) for g in got], pa.map_(pa.string(), pa.float64()))],

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 GOOD, BAD = 1, 2
 LABELLERS = ("symbols", "bangs", "capitals", "stutter", "lines", "variety", "word_length", "plain_words", "marks")
 #: A bound on the texts that the scorer is fitted on, about; a seeded hash of the text picks them.
@@ -186,11 +188,11 @@ def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS, seed: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([pattern(t) for t in batch.column(0).to_pylist()], pa.int32())], names=["pattern"])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [(pattern(t), *features(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names=["pattern", "at", "value"])
 

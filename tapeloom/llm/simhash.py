@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, written
+from .common import components, slices, written
 
 BITS = 64
 
@@ -47,7 +47,7 @@ def with_fingerprints(docs: DataFrame, text: str, keep: list[str], shingle: int
     """``keep`` columns of ``docs`` and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(len(keep)).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fps.view(np.int64))], names=[*names, "fp"])
 
