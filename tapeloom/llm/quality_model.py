@@ -171,7 +171,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: in
 
 
 def fit_sample(texts: DataFrame, rows: int, fit_rows: int, seed: int) -> DataFrame:
-    """About ``fit_rows`` different texts at most, of a column ``text`` with so many ``rows``; all of them where that is more."""
+    """About ``fit_rows`` different texts at most, of a column ``text`` with so many different ``rows``; all of them where that is more."""
     limit = int(min(1.0, fit_rows / rows) * (1 << 30))
     some = texts if limit == 1 << 30 else texts.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < limit)
     return some.distinct()
@@ -181,15 +181,15 @@ def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS, seed: int
     """Estimate the labellers on all rows, then train the scorer on their posteriors.
 
     All rows are reduced to counts of vote patterns. The scorer's rows are a
-    sample of about ``fit_rows`` texts, picked by a seeded hash of the text so
-    that it does not depend on partitions. Copies of a picked text count once, so
-    one text with very many copies can't swell the sample. No rows with words
-    give no scorer.
+    sample of about ``fit_rows`` different texts, picked by a seeded hash of the
+    text so that it does not depend on partitions. Copies of a text count once, in
+    the sample and in its rate, so they neither swell nor shrink it. No rows with
+    words give no scorer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([pattern(t) for t in batch.column(0).to_pylist()], pa.int32())], names=["pattern"])
+            yield pa.RecordBatch.from_arrays([pa.array([pattern(t) for t in batch.column(0).to_pylist()], pa.int32()), batch.column(1)], names=["pattern", "hash"])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -197,13 +197,14 @@ def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS, seed: int
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names=["pattern", "at", "value"])
 
     texts = docs.select(F.col(text).alias("text")).where("text is not null")
-    counts = texts.mapInArrow(run, "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).where("pattern >= 0")
-    patterns = {r["pattern"]: r["n"] for r in counts.collect()}
-    total = sum(patterns.values())
-    if not total:
+    each = texts.select("text", F.xxhash64("text")).mapInArrow(run, "pattern int, hash long").where("pattern >= 0")
+    each = each.groupBy("pattern", "hash").agg(F.count("*").alias("n"))
+    counts = each.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()
+    patterns, different = {r["pattern"]: r["n"] for r in counts}, sum(r["different"] for r in counts)
+    if not different:
         return None
     posterior, _ = estimate(patterns)
-    picked = fit_sample(texts, total, fit_rows, seed)
+    picked = fit_sample(texts, different, fit_rows, seed)
     got = [r for r in picked.mapInArrow(described, "pattern int, at array<long>, value array<double>").toArrow().to_pylist() if r["pattern"] >= 0]
     if not got:
         return None
