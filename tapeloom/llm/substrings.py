@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ ANCHOR_WORDS = 8
 SHARD_CONTEXTS = 2_000
 #: Words of one broadcast automaton (two states a word at most).
 REFERENCE_WORDS = 200_000
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class SuffixAutomaton:
@@ -259,16 +261,31 @@ def repeated_spans(rows: DataFrame, least: int, shard_contexts: int = SHARD_CONT
     return spans.groupBy("id", "k").agg(F.collect_set("span").alias("spans"))
 
 
-def without_repeats(docs: DataFrame, least: int = 35, id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def less(text: str, cuts: list[tuple[int, int]]) -> str:
+    """The text without these spans of words; all white space stays."""
+    data = text.encode("utf-8", "replace")
+    at = [m.span() for m in _WORD.finditer(data)]
+    out, last = [], 0
+    for a, b in cuts:
+        out.append(data[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join((*out, data[last:])).decode("utf-8")
+
+
+def without_repeats(docs: DataFrame, least: int = 35, id: str = "doc_id", text: str = "text", keep: list[str] | None = None, source: bool = False) -> DataFrame:
     """Each row's id, ``keep`` columns, ``n_words``, ``n_removed`` and ``kept`` (words joined by one space).
 
+    With ``source``, ``kept`` is the text itself less the removed spans: white
+    space stays, and so does a text without any (null ones too).
+
     A word goes if a window of ``least`` words over it starts at another place
     too, in the same or any other row. A null text has no words, and its ``kept``
     is empty. Every copy of a repeated row loses its windows alike.
     """
     keep = keep or []
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kept = docs.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(f"_{c}") for c in keep)) if keep else rows
+    own = F.col(text) if source else F.coalesce(F.col(text), F.lit(""))
+    kept = docs.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k"), own.alias("text"), *(F.col(c).alias(f"_{c}") for c in keep)) if keep or source else rows
     both = _with_spans(kept, repeated_spans(rows, least), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,11 +294,16 @@ def without_repeats(docs: DataFrame, least: int = 35, id: str = "doc_id", text:
                 batch = whole.slice(at, 512)
                 n, gone, left = [], [], []
                 for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    words = t.encode("utf-8", "replace").split()
+                    words = (t or "").encode("utf-8", "replace").split()
                     n.append(len(words))
+                    cuts = merged((s >> 32, s & 0xFFFFFFFF) for s in spans) if spans else []
+                    if source:
+                        gone.append(sum(b - a for a, b in cuts))
+                        left.append(less(t, cuts) if cuts else t)
+                        continue
                     if spans:
                         stay, last = [], 0
-                        for a, b in merged((s >> 32, s & 0xFFFFFFFF) for s in spans):
+                        for a, b in cuts:
                             stay += words[last:a]
                             last = b
                         words = stay + words[last:]
