@@ -37,12 +37,18 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or in local mode one of our own where that is unset.
+
+    Executors on other machines could not see a folder of our own, so that this
+    raises on a cluster without the setting.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tapeloom-")
         spark.sparkContext.setCheckpointDir(root)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -78,6 +84,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``rows`` to a table with a row for each key, so that adaptive execution can split a hot key.
+
+    ``few`` comes from an aggregate by the keys, whose partitioning a join would
+    share; a shared one can't be split. One more key, a hash of the others, makes
+    both sides be dealt anew for the join alone.
+    """
+    h = F.xxhash64(*keys)
+    return rows.withColumn("__h", h).join(few.withColumn("__h", h), [*keys, "__h"], how).drop("__h")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph by alternating star contraction.
 
@@ -86,19 +103,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     is the smallest node in reach. Each round hangs nodes on their smallest
     neighbour (first the larger, then the smaller neighbours), which keeps the
     edge count and needs a logarithmic number of rounds. Rounds are cut with
-    ``checkpoint()``. A very popular node is only a hot join key, which adaptive
-    execution splits.
+    ``checkpoint()``. A very popular node is only a hot join key (``keyed_join``).
     """
     scratch_root(edges.sparkSession)
 
     def large(e: DataFrame) -> DataFrame:
         s = e.union(e.select("v", "u"))
         low = s.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return s.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        return keyed_join(s, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
     def small(e: DataFrame) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        hung = e.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = keyed_join(e, low, ["u"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return hung.union(low.select("u", F.col("m").alias("v"))).distinct()
 
     def seen(e: DataFrame) -> tuple:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, slices, written
+from .common import components, keyed_join, slices, written
 
 BITS = 64
+#: Larger buckets are split by longer chains. A comparison costs some nanoseconds, a row of a longer slot some
+#: microseconds for each of about twenty slots, so that a split pays only for buckets far above a thousand members.
+DIRECT = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, block: int = 1 << 16) -> int:
@@ -67,102 +71,127 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def ring_slots(distance: int) -> list[tuple[int, int, list[int]]]:
-    """One slot for each bit that a chain's second segment may differ in.
+def ring_slots(distance: int, depth: int = 2) -> list[tuple[int, int, int]]:
+    """The slots of chains of ``depth`` segments: ``(start, key mask, slot one segment shorter)`` of each.
 
     Take ``distance + 1`` segments on a ring. If two fingerprints differ in at
     most ``distance`` bits, some segment starts a chain whose first l segments
-    together differ in at most ``l * distance / parts`` bits, for every l: none
-    in the first, one at most in the first two, and so on. So both agree on the
-    first two segments but for one bit of the second, and fall in one bucket
-    when that bit is masked. Returns for each bit: the bits that make the key
-    (as a signed long), the chain's start, and the masks of its first 1, 2, ...
-    segments.
+    together differ in at most ``l * distance // parts = l - 1`` bits, for every
+    l: none in the first, one at most in the first two, and so on. A slot masks
+    ``depth - 1`` bits of a chain, no more than l - 1 of them in its first l
+    segments; fingerprints whose chain differs in these bits alone agree on the
+    other bits of its segments, the slot's key. A longer slot continues one
+    shorter slot: that which masks what the longer one masks of its segments and,
+    to make up the number, the lowest other bits of its last.
     """
-    parts, slots = distance + 1, [None] * BITS
-    seg = segments(parts)
-    mask = [((1 << w) - 1) << s for s, w in seg]
-    for i in range(parts):
-        chain = [0]
-        for step in range(parts):
-            chain.append(chain[-1] | mask[(i + step) % parts])
-        start, width = seg[(i + 1) % parts]
-        for bit in range(start, start + width):
-            slots[bit] = (signed((mask[i] | mask[(i + 1) % parts]) & ~(1 << bit)), i, [signed(m) for m in chain[1:]])
-    return slots
+    parts = distance + 1
+    seg = [range(first, first + width) for first, width in segments(parts)]
+    shorter = ring_slots(distance, depth - 1) if depth > 2 else []
+    out, masked = [], _masked_bits(distance, depth)
+    of = {(start, bits): k for k, (start, bits) in enumerate(_masked_bits(distance, depth - 1))} if shorter else {}
+    for start, bits in masked:
+        key = sum(1 << b for k in range(depth) for b in seg[(start + k) % parts] if b not in bits)
+        parent = -1
+        if shorter:
+            rest = tuple(b for b in bits if b not in seg[(start + depth - 1) % parts])
+            fill = [b for b in seg[(start + depth - 2) % parts] if b not in rest][: depth - 2 - len(rest)]
+            parent = of[start, tuple(sorted((*rest, *fill)))]
+        out.append((start, signed(key), parent))
+    return out
+
+
+def _masked_bits(distance: int, depth: int) -> list[tuple[int, tuple[int, ...]]]:
+    """``(start, masked bits)`` of every slot of ``depth`` segments, by start."""
+    parts = distance + 1
+    seg = [range(first, first + width) for first, width in segments(parts)]
+    out = []
+    for start in range(parts):
+        level: set[tuple[int, ...]] = {()}
+        for at in range(1, depth):
+            here = seg[(start + at) % parts]
+            level = {tuple(sorted((*some, *more))) for some in level for n in range(at - len(some) + 1) for more in combinations(here, n)}
+        out += [(start, bits) for bits in sorted(level) if len(bits) == depth - 1]
+    return out
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def chain_holds(a: Column, b: Column, slot: Column, distance: int) -> Column:
-    """Whether the slot's chain stays within the proportional budget at every length."""
-    parts, slots = distance + 1, ring_slots(distance)
+def chain_holds(a: Column, b: Column, start: Column, distance: int) -> Column:
+    """Whether the chain from segment ``start`` stays within the proportional budget at every length."""
+    parts = distance + 1
     seg, out = segments(parts), None
     for i in range(parts):
-        first, width = seg[(i + 1) % parts]
-        masks = slots[first][2]
-        within = F.lit(True)
+        mask, within = 0, F.lit(True)
         for length in range(1, parts):
-            within &= F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(masks[length - 1]))) <= length * distance // parts
-        here = F.when(slot.between(first, first + width - 1), within)
-        out = here if out is None else out.when(slot.between(first, first + width - 1), within)
+            first, width = seg[(i + length - 1) % parts]
+            mask |= ((1 << width) - 1) << first
+            within &= F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(signed(mask)))) <= length * distance // parts
+        out = F.when(start == i, within) if out is None else out.when(start == i, within)
     return out
 
 
-def near_classes(fps: DataFrame, distance: int = 4) -> DataFrame:
+def near_classes(fps: DataFrame, distance: int = 4, direct: int = DIRECT) -> DataFrame:
     """Classes of fingerprints linked at ``distance`` or fewer differing bits.
 
     ``fps`` has distinct longs ``fp``. Returns ``(node, component)`` for each
     fingerprint with a link to another; ``component`` is the smallest ``fp`` of
-    its class. No link is lost, and no bucket is expanded into all its pairs:
-
-    1. every fingerprint enters 64 buckets (``ring_slots``); buckets of one are
-       dropped after a pre-aggregation;
-    2. members are compared to their bucket's smallest and largest fingerprint,
-       and contracted to components. In a large group of near copies this joins
-       nearly all;
-    3. buckets with one component are done. In the others, members outside the
-       bucket's largest component are compared to members of other components,
-       first by the chain's budgets, then in full.
+    its class. No link is lost, and no large bucket is expanded into its pairs:
+
+    1. every fingerprint enters the bucket of each slot (``ring_slots``); buckets
+       of one are dropped after a pre-aggregation;
+    2. members are compared to two pivots of their bucket, and contracted to
+       components. In a large group of near copies this joins nearly all;
+    3. in a bucket of at most ``direct`` members, those of different components
+       are compared within the join, first by the chain's budgets, then in full,
+       and only links come out;
+    4. a larger bucket that holds more than one component is dealt anew by slots
+       of one more segment, and so on to chains of four, whose buckets agree on
+       all but some sixteen bits.
     """
-    keys = [m for m, _, _ in ring_slots(distance)]
-    member = fps.select("fp", F.posexplode(F.array(*map(F.lit, keys))).alias("slot", "mask")).select(
-        "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
-    )
-    shared = member.groupBy("slot", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi")
-    member = written(member.join(shared, ["slot", "key"]), "members")
-    far = [
-        member.where(F.col("fp") != F.col(pivot)).where(hamming(F.col("fp"), F.col(pivot)) <= distance).select(F.col("fp").alias("a"), F.col(pivot).alias("b"))
-        for pivot in ("lo", "hi")
-    ]
-    first = written(components(far[0].union(far[1])), "first")
-    known = first.withColumnRenamed("node", "fp")
-    labelled = written(member.select("slot", "key", "fp").join(known, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "labelled")
-    split = (
-        labelled.groupBy("slot", "key", "component").agg(F.count("*").alias("n"))
-        .groupBy("slot", "key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"))
-        .where("parts > 1").drop("parts")
-    )
-    mixed = labelled.join(split, ["slot", "key"])
-    p, q = mixed.where("component != major").alias("p"), mixed.alias("q")
-    links = (
-        p.join(q, ["slot", "key"])
-        .where("p.component != q.component and (q.component = q.major or p.fp < q.fp)")
-        .where(chain_holds(F.col("p.fp"), F.col("q.fp"), F.col("slot"), distance))
-        .where(hamming(F.col("p.fp"), F.col("q.fp")) <= distance)
-        .select(F.col("p.component").alias("a"), F.col("q.component").alias("b"))
-        .distinct()
-    )
-    links = written(links, "links")
-    if links.isEmpty():
-        return first
-    second = written(components(links), "second")
-    both = first.union(second.join(first, "node", "left_anti").select("node", F.col("node").alias("component"))).alias("f")
-    return both.join(second.alias("s"), F.col("f.component") == F.col("s.node"), "left").select(
-        F.col("f.node").alias("node"), F.coalesce("s.component", "f.component").alias("component")
-    )
+    known, links, rows = None, None, fps.select("fp")
+    for depth in range(2, min(4, distance + 1) + 1):
+        slots = ring_slots(distance, depth)
+        if depth == 2:
+            each = F.explode(F.array(*(F.struct(F.lit(k).alias("slot"), F.lit(i).alias("start"), F.lit(m).alias("mask")) for k, (i, m, _) in enumerate(slots))))
+            member = rows.select("fp", each.alias("s")).select("s.slot", "s.start", F.col("fp").bitwiseAND(F.col("s.mask")).alias("key"), "fp")
+        else:  # 1,197 or 26,350 slots at a distance of 4
+            longer = fps.sparkSession.createDataFrame([(up, k, i, m) for k, (i, m, up) in enumerate(slots)], "slot int, next int, start int, mask long")
+            member = rows.join(F.broadcast(longer), "slot").select(F.col("next").alias("slot"), "start", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        shared = member.groupBy("slot", "key").agg(F.count("*").alias("size"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi")
+        near = written(keyed_join(member, shared, ["slot", "key"]), f"members{depth}")
+        ends = near.select("fp", F.explode(F.array("lo", "hi")).alias("pivot")).where(F.col("fp") != F.col("pivot"))
+        pivots = ends.where(hamming(F.col("fp"), F.col("pivot")) <= distance).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+        if known is not None:
+            pivots = pivots.union(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        known = written(components(pivots), f"known{depth}")
+        label = known.withColumnsRenamed({"node": "fp"})
+        labelled = near.select("slot", "start", "key", "fp", "size").join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        labelled = written(labelled, f"labelled{depth}")
+        last = depth == min(4, distance + 1)
+        few = labelled if last else labelled.where(F.col("size") <= direct)
+        p, q = few.alias("p"), few.select("slot", "key", "fp", "component").alias("q")
+        found = (
+            p.join(q, ["slot", "key"])
+            .where("p.component < q.component")
+            .where(chain_holds(F.col("p.fp"), F.col("q.fp"), F.col("p.start"), distance))
+            .where(hamming(F.col("p.fp"), F.col("q.fp")) <= distance)
+            .select(F.col("p.component").alias("a"), F.col("q.component").alias("b"))
+            .distinct()
+        )
+        found = written(found, f"links{depth}")
+        links = found if links is None else links.union(found)
+        if last:
+            break
+        many = labelled.where(F.col("size") > direct)
+        split = many.groupBy("slot", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("slot", "key")
+        rows = written(keyed_join(many.select("slot", "key", "fp"), split, ["slot", "key"]).select("slot", "fp"), f"large{depth}")
+        if rows.isEmpty():
+            break
+    if known is None:
+        return fps.select(F.col("fp").alias("node"), F.col("fp").alias("component")).limit(0)
+    return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
@@ -181,7 +210,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", dis
     near = near_classes(fps.select("fp"), distance).withColumnRenamed("node", "fp")
     named = fps.join(near, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.select("fp", "component").join(low, "component").select("fp", "component_id", "component")
+    named = keyed_join(named.select("fp", "component"), low, ["component"]).select("fp", "component_id", "component")
     return rows.join(named, "fp").select(
         F.col("__id").alias(id), *(F.col(f"__keep_{c}").alias(c) for c in keep), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component"
     )

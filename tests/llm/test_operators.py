@@ -95,8 +95,19 @@ def test_simhash(docs):
     assert got == want
 
 
-def test_near_classes_of_a_chain_and_a_cloud(spark):
-    """Chains of four-bit steps, and a cloud around one value: no link is lost."""
+def cloud(rng, n, bits=24, most=7):
+    c, out = rng.getrandbits(64), set()
+    while len(out) < n:
+        y = c
+        for b in rng.sample(range(bits), rng.randrange(most)):
+            y ^= 1 << b
+        out.add(y)
+    return out
+
+
+@pytest.mark.parametrize("direct", [simhash.DIRECT, 12])
+def test_near_classes_of_a_chain_and_a_cloud(spark, direct):
+    """Chains of four-bit steps, and a cloud around one value: no link is lost, whatever the size of a bucket."""
     rng = random.Random(2)
     values = set()
     x = rng.getrandbits(64)
@@ -104,17 +115,12 @@ def test_near_classes_of_a_chain_and_a_cloud(spark):
         for b in rng.sample(range(64), 4):
             x ^= 1 << b
         values.add(x)
-    c = rng.getrandbits(64)
-    for _ in range(400):
-        y = c
-        for b in rng.sample(range(24), rng.randrange(7)):
-            y ^= 1 << b
-        values.add(y)
-    values |= {rng.getrandbits(64) for _ in range(300)}
+    values |= cloud(rng, 150) | cloud(rng, 60, 64, 9)
+    values |= {rng.getrandbits(64) for _ in range(200)}
     values = sorted(values)
     roots = classes(values, lambda a, b: (a ^ b).bit_count() <= 4)
     rows = spark.createDataFrame([(simhash.signed(v),) for v in values], "fp long")
-    got = {r["node"]: r["component"] for r in simhash.near_classes(rows).collect()}
+    got = {r["node"]: r["component"] for r in simhash.near_classes(rows, direct=direct).collect()}
     parts = collections.defaultdict(set)
     for v, r in zip(values, roots, strict=True):
         parts[r].add(simhash.signed(v))
@@ -122,6 +128,21 @@ def test_near_classes_of_a_chain_and_a_cloud(spark):
         assert {got.get(v, v) for v in p} == {min(p)}
 
 
+def test_joined_rows_of_a_cloud_grow_in_proportion(spark, monkeypatch):
+    rows, write = collections.Counter(), simhash.written
+
+    def counted(df, label):
+        out = write(df, label)
+        rows[size] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    for size in (1_500, 4_500):
+        values = cloud(random.Random(4), size, 40, 8)
+        simhash.near_classes(spark.createDataFrame([(simhash.signed(v),) for v in values], "fp long")).count()
+    assert rows[4_500] < 4 * rows[1_500]
+
+
 def test_one_of_each(docs):
     near = simhash.near_duplicates(docs)
     kept = simhash.one_of_each(docs)
@@ -136,6 +157,7 @@ def test_components(spark):
 
 
 def test_ring_chain_never_loses_a_link(spark):
+    """Two close values share, at each depth, a slot that continues one they share at the depth before."""
     rng = random.Random(1)
     pairs = []
     for _ in range(300):
@@ -143,16 +165,15 @@ def test_ring_chain_never_loses_a_link(spark):
         for bit in rng.sample(range(64), rng.randrange(5)):
             b ^= 1 << bit
         pairs.append((a, b))
-    for a, b in pairs:
-        hits = [s for s, (m, _, _) in enumerate(simhash.ring_slots(4)) if (a & m & (2**64 - 1)) == (b & m & (2**64 - 1))]
-        ok = []
-        for s in hits:
-            chain = simhash.ring_slots(4)[s][2]
-            ok.append(all(((a ^ b) & m & (2**64 - 1)).bit_count() <= n * 4 // 5 for n, m in enumerate(chain[:4], 1)))
-        assert any(ok)
-    rows = spark.createDataFrame([(simhash.signed(a), simhash.signed(b), s) for a, b in pairs[:50] for s in range(64)], "a long, b long, s int")
-    holds = {(r["a"], r["b"]) for r in rows.where(simhash.chain_holds(F.col("a"), F.col("b"), F.col("s"), 4)).collect()}
-    assert holds == {(simhash.signed(a), simhash.signed(b)) for a, b in pairs[:50]}
+    slots = {depth: simhash.ring_slots(4, depth) for depth in (2, 3, 4)}
+    starts = spark.createDataFrame([(simhash.signed(a), simhash.signed(b), i) for a, b in pairs for i in range(5)], "a long, b long, i int")
+    holds = starts.where(simhash.chain_holds(F.col("a"), F.col("b"), F.col("i"), 4)).collect()
+    assert {(r["a"], r["b"]) for r in holds} == {(simhash.signed(a), simhash.signed(b)) for a, b in pairs}
+    for a, b, i in map(tuple, holds):
+        shared = {-1}
+        for depth in (2, 3, 4):
+            shared = {k for k, (start, mask, up) in enumerate(slots[depth]) if start == i and (a ^ b) & mask == 0 and (up in shared or depth == 2)}
+            assert shared
 
 
 PAGES = "page_id long, url string, html string, digest string, id int, n int"
