@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import keyed_join, written
 
 #: Words of an anchor: every window's smallest hashed run of so many words is its anchor.
 ANCHOR_WORDS = 8
 #: An anchor with more different contexts than this is settled window by window.
-SHARD_CONTEXTS = 2_000
+SHARD_CONTEXTS = 500
 #: Words of one broadcast automaton (two states a word at most).
 REFERENCE_WORDS = 200_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -185,12 +185,12 @@ def repeated_spans(rows: DataFrame, least: int, shard_contexts: int = SHARD_CONT
     """
     found = written(anchor_table(rows.select("id", "k", "text"), least), "anchors")
     again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    found = written(found.join(again, "anchor"), "repeated")
+    found = written(keyed_join(found, again, ["anchor"]), "repeated")
     kinds = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "k", "span")).alias("one"))
     kinds = written(kinds, "contexts")
     whole = found.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("id", "k", "span")
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds")
-    asked = kinds.join(open_, "anchor").select("one.id", "one.k", F.struct("anchor", F.col("one.span").alias("span"), F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("kinds") > shard_contexts).alias("hot")).alias("c"))
+    asked = keyed_join(kinds, open_, ["anchor"]).select("one.id", "one.k", F.struct("anchor", F.col("one.span").alias("span"), F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("kinds") > shard_contexts).alias("hot")).alias("c"))
     asked = written(asked, "asked")
     kind = rows.schema["id"].dataType.simpleString()
 
