@@ -14,46 +14,73 @@ from pyspark.sql import types as T
 from .common import slices, written
 
 UNKNOWN = "und"
+#: Counts of a model at most: 256 languages of 2 ** 15 buckets, or more languages of fewer.
+CELLS = 1 << 23
 
 
-def hashed_ngrams(text: str, bits: int, n: int = 3) -> np.ndarray:
-    """Buckets of the text's character n-grams, letters lower-cased and all else one space."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
-    high = codes >= 128
-    if high.any():
-        letters = np.array([chr(c).isalpha() for c in np.unique(codes)])
-        keep = letters[np.searchsorted(np.unique(codes), codes)]
+def _letters(low: str) -> np.ndarray:
+    """Code points of a lower-cased text, all but letters as spaces."""
+    codes = np.frombuffer(low.encode("utf-32-le", "replace"), dtype="<u4")
+    if (codes >= 128).any():
+        some, at = np.unique(codes, return_inverse=True)
+        keep = np.array([chr(c).isalpha() for c in some])[at]
     else:
         keep = (codes >= 97) & (codes <= 122)
-    codes = np.where(keep, codes, 32).astype(np.uint64)
-    codes = codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))] if len(codes) else codes
-    codes = np.concatenate(([32], codes, [32])).astype(np.uint64)
-    h = np.zeros(max(0, len(codes) - n + 1), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    return np.where(keep, codes, 32).astype(np.uint64)
+
+
+def hashed_ngrams(text: str, bits: int, n: int = 3, block: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Buckets of the text's character n-grams, letters lower-cased and each run of others one space.
+
+    They come in blocks, so a very long text needs little more memory than its
+    own; each takes over the end of the one before, so the counts of all blocks
+    together are those of the whole text. A space is put at both ends.
+    """
+    low = text.lower()  # of the whole text: some letters depend on those beside them
+    held, last = np.array([32], np.uint64), 0
+    for at in range(0, max(1, len(low)), block):
+        codes = _letters(low[at : at + block])
+        if len(codes):
+            before = np.concatenate(([last], codes[:-1]))
+            last = codes[-1]
+            codes = codes[(codes != 32) | (before != 32)]
+        end = [32] if at + block >= len(low) else []
+        codes = np.concatenate((held, codes, end)).astype(np.uint64)
+        h = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+        yield (h >> np.uint64(64 - bits)).astype(np.int64)
+        held = codes[max(0, len(codes) - n + 1) :]
 
 
 def ngram_counts(docs: DataFrame, bits: int = 15, lang: str = "lang", text: str = "text", block: int = 1 << 20) -> DataFrame:
     """Counts of hashed n-grams by language over all rows: ``(lang, bucket, n)``.
 
-    Each task adds up dense counts, ``2 ** bits`` a language, and sends one row
-    for each count above zero, so what is shuffled doesn't grow with a task's texts.
+    Each task adds up dense counts of at most 64 languages, ``2 ** bits`` each,
+    before it sends one row for each count above zero, so what is shuffled doesn't
+    grow with a task's texts, nor its memory with the languages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for name, n in sums.items():
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["lang", "bucket", "n"])
+            sums.clear()
+
         for batch in slices(batches):
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name not in sums and len(sums) == 64:
+                    yield from sent()
                 into = sums.setdefault(name, np.zeros(1 << bits, np.int64))
-                for at in range(0, len(t), block):
-                    into += np.bincount(hashed_ngrams(t[at : at + block], bits), minlength=1 << bits)
-        for name, n in sums.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["lang", "bucket", "n"])
+                for part in hashed_ngrams(t, bits, block=block):
+                    into += np.bincount(part, minlength=1 << bits)
+        yield from sent()
 
     picked = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t")).where("lang is not null and t is not null")
     return picked.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -78,9 +105,9 @@ class Mixtures:
         if not self.names or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, {}
         if len(text) <= block:
-            some, n = np.unique(hashed_ngrams(text, self.bits), return_counts=True)
+            some, n = np.unique(next(hashed_ngrams(text, self.bits)), return_counts=True)
         else:
-            dense = sum(np.bincount(hashed_ngrams(text[at : at + block], self.bits), minlength=1 << self.bits) for at in range(0, len(text), block))
+            dense = sum(np.bincount(part, minlength=1 << self.bits) for part in hashed_ngrams(text, self.bits, block=block))
             some = np.flatnonzero(dense)
             n = dense[some]
         logs = self.model[some]
@@ -112,22 +139,24 @@ class Mixtures:
         return self.names[active[k]], float(min(1.0, max(0.0, share[k]))), {self.names[a]: float(s) for a, s in zip(active, share, strict=True)}
 
 
-def learn(docs: DataFrame, bits: int = 15, lang: str = "lang", text: str = "text", most_languages: int = 512) -> Mixtures:
+def learn(docs: DataFrame, bits: int = 15, lang: str = "lang", text: str = "text", cells: int = CELLS) -> Mixtures:
     """Fit on every row with a text and a language.
 
-    The model is languages x ``2 ** bits`` counts. Its size is bounded by
-    ``most_languages``, beyond which this raises.
+    The model is languages x ``2 ** bits`` counts, ``cells`` at most: with more
+    languages than have room, each has fewer buckets, which are joined before
+    they are sent to the driver. No language is left out.
     """
     rows = written(ngram_counts(docs, bits, lang, text), "ngrams")
-    names = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(most_languages + 1).collect()]
-    if len(names) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    counts = np.zeros((len(names), 1 << bits))
+    names = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
+    own = max(1, min(bits, int(math.log2(cells / max(1, len(names))))))
+    if own < bits:
+        rows = rows.groupBy("lang", F.shiftright("bucket", bits - own).alias("bucket")).agg(F.sum("n").alias("n"))
+    counts = np.zeros((len(names), 1 << own))
     if names:
-        got = rows.toArrow()  # at most languages x 2 ** bits rows
+        got = rows.toArrow()  # at most ``cells`` rows
         at = {name: k for k, name in enumerate(names)}
         counts[[at[x] for x in got.column("lang").to_pylist()], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return Mixtures(names, counts, bits)
+    return Mixtures(names, counts, own)
 
 
 def identify(docs: DataFrame, model: Mixtures, keep: list[str] | None = None, text: str = "text") -> DataFrame:

@@ -329,15 +329,43 @@ def test_languages(spark, docs, none):
     assert len(odd) == docs.count() and all(0 <= r["score"] <= 1 for r in odd)
     empty = languages.learn(none)
     assert {r["lang_pred"] for r in languages.identify(docs, empty).collect()} == {"und"} and languages.identify(none, empty).count() == 0
-    with pytest.raises(ValueError):
-        languages.learn(df, most_languages=2)
+    few = languages.learn(df, cells=3 << 9)
+    assert few.bits == 9 and few.infer(model_text(rng, "de", 70))[0] == "de"
 
 
-def test_language_blocks_agree():
-    rng = random.Random(3)
-    m = languages.Mixtures(["a", "b"], np.stack([np.bincount(languages.hashed_ngrams(model_text(rng, x, 500), 12), minlength=1 << 12) for x in ("en", "de")]), 12)
-    t = model_text(rng, "en", 400)
-    assert m.infer(t)[0] == m.infer(t, block=100)[0] == "a"
+def grams_slow(text):
+    """The n-grams by the definition, one after another."""
+    kept = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+    kept = f" {kept} "
+    return collections.Counter(kept[i : i + 3] for i in range(len(kept) - 2))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("abΣ 1\n.éß東"), st.characters(exclude_categories=["Cs"])), max_size=40), st.integers(1, 9))
+def test_language_blocks_count_alike(t, block):
+    whole = collections.Counter(np.concatenate(list(languages.hashed_ngrams(t, 20))).tolist())
+    assert whole == collections.Counter(np.concatenate(list(languages.hashed_ngrams(t, 20, block=block))).tolist())
+    assert sorted(whole.values()) == sorted(grams_slow(t).values())
+
+
+def test_languages_against_brute_force(spark):
+    """Counts of 600 languages by the definition, each text found again, whatever the size of a block."""
+    rng = random.Random(8)
+    rows = [(i, f"{chr(0x4E00 + 3 * i)}{chr(0x4E01 + 3 * i)} {model_text(rng, 'en', 3)} {chr(0x4E02 + 3 * i)}", f"l{i:03}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r["lang"], r["bucket"]): r["n"] for r in languages.ngram_counts(df, bits=20, block=4).collect()}
+    own = collections.defaultdict(int)
+    for _, t, lang in rows:
+        for gram, n in grams_slow(t).items():
+            h = 0
+            for c in gram:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+            h ^= h >> 29
+            own[lang, (h * 0xBF58476D1CE4E5B9 % 2**64) >> 44] += n
+    assert got == own
+    m = languages.learn(df)
+    assert len(m.names) == 600 and m.bits == 13
+    assert [m.infer(t)[0] for _, t, _ in rows[::60]] == [lang for *_, lang in rows[::60]]
 
 
 def junk(rng, kind, n):
