@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+# Fixed values of the model format: kinds of pieces, and the kind of model that merges pairs.
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+BPE = 2
 CACHE_CHUNKS = 400_000
 CACHE_CHARS = 48
 
@@ -106,7 +110,6 @@ class Normalizer:
             out = out.replace(b" ", SPACE.encode())
         return out.decode("utf-8"), np.array([*src, end], np.int64)
 
-
     def _plain(self, data: bytes) -> tuple[str, np.ndarray]:
         """The identity map, whole arrays at a time: each byte comes from its own place."""
         if not data:
@@ -122,12 +125,14 @@ class Normalizer:
 
 
 class Encoder:
-    """Encodes as the library does, keeping this worker's table of chunks met before.
+    """Encodes by pair merges over the normalised text, keeping this worker's table of chunks met before.
 
     No piece of a model that splits at white space holds a space other than in
     front, nor a line feed, so no merge crosses the place before a run of spaces
     or before a line feed. The ids of a text are those of such chunks in order.
-    ``safe`` is false for a model with other pieces; its texts are encoded whole.
+    ``safe`` is false for a model with other pieces, user-defined ones, or of
+    another kind than pair merges with bytes to fall back on; the ids of its
+    texts are the library's.
     """
 
     def __init__(self, path: str):
@@ -137,54 +142,77 @@ class Encoder:
         model = pb.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
-        spec = model.normalizer_spec
+        spec, trained = model.normalizer_spec, model.trainer_spec
         self.lib = spm.SentencePieceProcessor(model_file=path)
         self.normalize = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
-        self.width = np.array([1 if p.type == 6 else 0 if p.type in (2, 3) else len(p.piece.encode()) for p in model.pieces], np.int64)
-        inner = any(SPACE in p.piece.lstrip(SPACE) or "\n" in p.piece for p in model.pieces if p.type not in (2, 3, 6))
-        plain = self.normalize.plain and not spec.remove_extra_whitespaces and spec.add_dummy_prefix and spec.escape_whitespaces
-        self.space = self.lib.piece_to_id(SPACE)
-        self.safe = plain and not inner and model.trainer_spec.model_type == 2 and model.trainer_spec.byte_fallback and self.space != self.lib.unk_id()
-        self.chunk = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
+        self.width = np.array([1 if p.type == BYTE else 0 if p.type in (UNKNOWN, CONTROL) else len(p.piece.encode()) for p in model.pieces], np.int64)
+        self.ids = {p.piece: k for k, p in enumerate(model.pieces) if p.type == NORMAL}
+        self.score = [p.score for p in model.pieces]
+        self.bytes = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == BYTE}
+        inner = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
+        kinds = {p.type for p in model.pieces} <= {NORMAL, UNKNOWN, CONTROL, BYTE}
+        self.safe = kinds and not inner and spec.escape_whitespaces and trained.model_type == BPE and trained.byte_fallback and len(self.bytes) == 256 and not trained.treat_whitespace_as_suffix
+        self.chunk = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*|[^{SPACE}\n]+")
         self.known: dict[str, tuple[bytes, str]] = {}
 
-    def _chunks(self, chunks: set[str]) -> dict[str, tuple[bytes, str]]:
-        # The library puts a space in front: a chunk gives its own, one that starts with a line feed loses it.
-        listed = list(chunks)
-        asked = [c[1:].replace(SPACE, " ") if c[0] == SPACE else c for c in listed]
-        out = {}
-        for c, ids in zip(listed, self.lib.encode(asked, num_threads=1), strict=True):
-            if c == SPACE:
-                ids = [self.space]
-            elif c[0] == "\n":
-                ids = ids[1:]
-            out[c] = (np.array(ids, "<i4").tobytes(), ",".join(map(str, ids)))
+    def merged(self, chunk: str) -> list[int]:
+        """The ids of a chunk: of all neighbours that make a piece the best scored are joined first, of equals the leftmost."""
+        ids, score = self.ids, self.score
+        if chunk in ids and len(chunk) == 1:
+            return [ids[chunk]]
+        part: list[str] = list(chunk)
+        before, after = list(range(-1, len(part) - 1)), [*range(1, len(part)), -1]
+        heap: list[tuple[float, int, int, str]] = []
+
+        def offer(a: int, b: int) -> None:
+            k = ids.get(part[a] + part[b])
+            if k is not None:
+                heapq.heappush(heap, (-score[k], a, b, part[a] + part[b]))
+
+        for at in range(len(part) - 1):
+            offer(at, at + 1)
+        while heap:
+            _, a, b, both = heapq.heappop(heap)
+            if not part[a] or not part[b] or part[a] + part[b] != both or after[a] != b:
+                continue  # one of them was joined meanwhile
+            part[a], part[b] = both, ""
+            after[a] = after[b]
+            if after[b] >= 0:
+                before[after[b]] = a
+                offer(a, after[b])
+            if before[a] >= 0:
+                offer(before[a], a)
+        out: list[int] = []
+        for p in filter(None, part):
+            k = ids.get(p)
+            out += [k] if k is not None else [self.bytes[b] for b in p.encode()]
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """The ids of each text, and the same as decimals joined by commas."""
+    def encode(self, texts: list[str]) -> list[tuple[list[int], str, np.ndarray]]:
+        """The ids of each text, the same as decimals joined by commas, and the source byte of every normalised byte."""
+        normal = [self.normalize(t) for t in texts]
         if not self.safe:
-            return [(ids, ",".join(map(str, ids))) for ids in self.lib.encode(texts, num_threads=1)]
-        known = self.known
-        split = [self.chunk.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        here = self._chunks({c for cs in split for c in cs if c not in known})
-        for c, v in here.items():
-            if len(known) < CACHE_CHUNKS and len(c) <= CACHE_CHARS:
-                known[c] = v
-        out = []
-        for cs in split:
-            got = [known[c] if c in known else here[c] for c in cs]
-            ids = np.frombuffer(b"".join([g[0] for g in got]), "<i4").tolist()
-            out.append((ids, ",".join([g[1] for g in got])))
+            return [(ids, ",".join(map(str, ids)), src) for ids, (_, src) in zip(self.lib.encode(texts, num_threads=1), normal, strict=True)]
+        known, out = self.known, []
+        for text, src in normal:
+            got = []
+            for c in self.chunk.findall(text):
+                one = known.get(c)
+                if one is None:
+                    ids = self.merged(c)
+                    one = (np.array(ids, "<i4").tobytes(), ",".join(map(str, ids)))
+                    if len(known) < CACHE_CHUNKS and len(c) <= CACHE_CHARS:
+                        known[c] = one
+                got.append(one)
+            out.append((np.frombuffer(b"".join([g[0] for g in got]), "<i4").tolist(), ",".join([g[1] for g in got]), src))
         return out
 
-    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of ``text`` that each id stands for, as starts and ends.
+    def spans(self, ids: list[int], src: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The source bytes that each id stands for, as starts and ends.
 
         The pieces cover the normalised text; its alignment takes every piece
         to the source. Byte pieces of one character cover one byte each.
         """
-        _, src = self.normalize(text)
         width = self.width[ids] if ids else np.zeros(0, np.int64)
         if width.sum() != len(src) - 1:
             raise ValueError("the pieces don't cover the normalised text")
@@ -201,7 +229,7 @@ def encode_documents(docs: DataFrame, model: str, id: str = "doc_id", text: str
     """``id``, ``ids``, and the span of source bytes ``[begins[k], ends[k])`` of each id.
 
     Null and empty texts have no ids. A span is empty where the id stands for
-    the space that the model puts in front. Ids are the library's.
+    the space that the model puts in front. Ids equal the library's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,11 +238,11 @@ def encode_documents(docs: DataFrame, model: str, id: str = "doc_id", text: str
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                got = [ids for ids, _ in e.encode(texts)]
-                spans = [e.spans(t, ids) for t, ids in zip(texts, got, strict=True)]
+                got = e.encode(texts)
+                spans = [e.spans(ids, src) for ids, _, src in got]
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(got, pa.list_(pa.int32())), pa.array([s[0].tolist() for s in spans], kind), pa.array([s[1].tolist() for s in spans], kind)],
+                    [part.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([s[0].tolist() for s in spans], kind), pa.array([s[1].tolist() for s in spans], kind)],
                     names=[id, "ids", "begins", "ends"],
                 )
 
@@ -237,11 +265,11 @@ def round_trip(docs: DataFrame, model: str, id: str = "doc_id", text: str = "tex
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 n, ids_sha, text_sha, fit = [], [], [], []
-                for t, (ids, joined) in zip(texts, e.encode(texts), strict=True):
+                for t, (ids, joined, src) in zip(texts, e.encode(texts), strict=True):
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(e.lib.decode(ids).encode("utf-8")).hexdigest() if ids else hashlib.sha256(b"").hexdigest())
-                    begins, ends = e.spans(t, ids)
+                    begins, ends = e.spans(ids, src)
                     fit.append(bool(not ids or (begins[0] == 0 and ends[-1] == len(t.encode("utf-8", "replace")) and (begins <= ends).all() and (begins[1:] == ends[:-1]).all())))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(fit)], names=[id, "n_tokens", "ids_sha256", "decoded_sha256", "spans_ok"])
 

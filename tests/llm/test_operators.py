@@ -288,12 +288,51 @@ def test_pieces(docs, none):
 def test_encoder_is_the_library(t):
     e = pieces.encoder(MODEL)
     ids = e.lib.encode(t)
-    assert e.encode([t])[0] == (ids, ",".join(map(str, ids)))
-    begins, ends = e.spans(t, ids)
+    got, joined, src = e.encode([t])[0]
+    assert e.safe and (got, joined) == (ids, ",".join(map(str, ids)))
+    begins, ends = e.spans(ids, src)
     data = t.encode()
     assert b"".join(data[a:b] for a, b in zip(begins, ends, strict=True)) == data
 
 
+@pytest.fixture(scope="module")
+def mapped(tmp_path_factory):
+    """The model with a compiled character map in front, and squeezed spaces."""
+    import sentencepiece as spm
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto, rules = pb.ModelProto(), pb.ModelProto()
+    with open(MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    rules.ParseFromString(spm.SentencePieceNormalizer(rule_name="nmt_nfkc_cf").serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    path = tmp_path_factory.mktemp("model") / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aB ﬁ½Ⅷ\n　ß́é"), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_encoder_with_a_character_map(mapped, t):
+    e = pieces.encoder(mapped)
+    assert e.safe and e.normalize.map.units
+    ids, _, src = e.encode([t])[0]
+    assert ids == e.lib.encode(t)
+    begins, ends = e.spans(ids, src)
+    assert (begins <= ends).all() and (begins[1:] >= begins[:-1]).all() and (not ids or ends[-1] <= len(t.encode()))
+
+
+def test_spans_through_a_character_map(mapped):
+    e = pieces.encoder(mapped)
+    text = "ＡＢＣ ½ ﬁne"
+    ids, _, src = e.encode([text])[0]
+    begins, ends = e.spans(ids, src)
+    data = text.encode()
+    by_piece = {e.lib.id_to_piece(k).lstrip("▁"): data[a:b].decode() for k, a, b in zip(ids, begins, ends, strict=True) if e.lib.id_to_piece(k).isalpha() or "▁" in e.lib.id_to_piece(k)}
+    assert e.lib.decode(ids) == "abc 1⁄2 fine" and "".join(by_piece.values()).replace(" ", "").startswith("ＡＢＣ")
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_normaliser_is_the_library(rule):
     import sentencepiece as spm
