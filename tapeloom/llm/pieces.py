@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -18,8 +19,10 @@ SPACE = "▁"
 # Fixed values of the model format: kinds of pieces, and the kind of model that merges pairs.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 CACHE_CHARS = 48
+#: Chunks of more characters are merged with a queue.
+SCANNED = 64
 
 
 class CharacterMap:
@@ -147,7 +150,7 @@ class Encoder:
         self.normalize = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         self.width = np.array([1 if p.type == BYTE else 0 if p.type in (UNKNOWN, CONTROL) else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.ids = {p.piece: k for k, p in enumerate(model.pieces) if p.type == NORMAL}
-        self.score = [p.score for p in model.pieces]
+        self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == BYTE}
         inner = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         kinds = {p.type for p in model.pieces} <= {NORMAL, UNKNOWN, CONTROL, BYTE}
@@ -157,17 +160,38 @@ class Encoder:
 
     def merged(self, chunk: str) -> list[int]:
         """The ids of a chunk: of all neighbours that make a piece the best scored are joined first, of equals the leftmost."""
-        ids, score = self.ids, self.score
-        if chunk in ids and len(chunk) == 1:
-            return [ids[chunk]]
+        part = self._scanned(chunk) if len(chunk) <= SCANNED else self._queued(chunk)
+        out: list[int] = []
+        for p in part:
+            k = self.ids.get(p)
+            out += [k] if k is not None else [self.bytes[b] for b in p.encode()]
+        return out
+
+    def _scanned(self, chunk: str) -> list[str]:
+        """The pieces of a short chunk, looking over all neighbours for each merge."""
+        scores, none = self.scores, -math.inf
+        part = list(chunk)
+        value = [scores.get(a + b, none) for a, b in zip(part, part[1:], strict=False)]
+        while value and (best := max(value)) > none:
+            at = value.index(best)
+            part[at : at + 2] = [part[at] + part[at + 1]]
+            del value[at]
+            if at < len(value):
+                value[at] = scores.get(part[at] + part[at + 1], none)
+            if at:
+                value[at - 1] = scores.get(part[at - 1] + part[at], none)
+        return part
+
+    def _queued(self, chunk: str) -> list[str]:
+        """The same for a long chunk, with a queue of merges."""
+        scores = self.scores
         part: list[str] = list(chunk)
         before, after = list(range(-1, len(part) - 1)), [*range(1, len(part)), -1]
         heap: list[tuple[float, int, int, str]] = []
 
         def offer(a: int, b: int) -> None:
-            k = ids.get(part[a] + part[b])
-            if k is not None:
-                heapq.heappush(heap, (-score[k], a, b, part[a] + part[b]))
+            if (both := part[a] + part[b]) in scores:
+                heapq.heappush(heap, (-scores[both], a, b, both))
 
         for at in range(len(part) - 1):
             offer(at, at + 1)
@@ -182,11 +206,7 @@ class Encoder:
                 offer(a, after[b])
             if before[a] >= 0:
                 offer(before[a], a)
-        out: list[int] = []
-        for p in filter(None, part):
-            k = ids.get(p)
-            out += [k] if k is not None else [self.bytes[b] for b in p.encode()]
-        return out
+        return [p for p in part if p]
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str, np.ndarray]]:
         """The ids of each text, the same as decimals joined by commas, and the source byte of every normalised byte."""

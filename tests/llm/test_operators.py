@@ -295,6 +295,14 @@ def test_encoder_is_the_library(t):
     assert b"".join(data[a:b] for a, b in zip(begins, ends, strict=True)) == data
 
 
+def test_long_chunks_merge_alike(monkeypatch):
+    e = pieces.encoder(MODEL)
+    words = ["▁" + "internationalisation" * k + "東京é🎈" for k in (1, 3, 9)]
+    short = [e.merged(w) for w in words[:1]] + [e.lib.encode(w[1:]) for w in words[1:]]
+    monkeypatch.setattr(pieces, "SCANNED", 0)
+    assert [e.merged(w) for w in words] == short
+
+
 @pytest.fixture(scope="module")
 def mapped(tmp_path_factory):
     """The model with a compiled character map in front, and squeezed spaces."""
