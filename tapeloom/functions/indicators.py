@@ -74,7 +74,11 @@ def with_ichimoku(candles: DataFrame, live: bool = False) -> DataFrame:
     extra = {f"{c}_{n}": F.lag(c, n).over(by_bar()) for c in ("high", "low") for n in (26, 27)} | {"prev_close": F.lag("close", 1).over(by_bar()), "idx": session_index()}
     rows = candles.withColumns(lines | extra)
     gated = {k: F.when(F.col("idx") >= ICHIMOKU_BARS - 1, F.col(k)) for k in lines}
-    rows = rows.withColumns(gated)
+    return ichimoku_clouds(rows.withColumns(gated))
+
+
+def ichimoku_clouds(rows: DataFrame) -> DataFrame:
+    """The leading spans and the edges of both clouds, from the midpoints."""
     spans = {"span_a": (F.col("past_conversion") + F.col("past_base")) / 2, "span_a_52": (F.col("past_conversion_52") + F.col("past_base_52")) / 2}
     rows = rows.withColumns(spans)
     return rows.withColumns({f"cloud_{e}{s}": f(f"span_a{s}", f"span_b{s}") for e, f in (("top", F.greatest), ("bottom", F.least)) for s in ("", "_52")})

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +24,15 @@ class Strategy:
     rules: Callable[[DataFrame], DataFrame]
 
 
-def ichimoku_rules(candles: DataFrame) -> DataFrame:
-    rows = with_ichimoku(candles)
+def ichimoku_variant() -> Column:
+    """The first Ichimoku rule that a bar's lines meet, or null."""
     e = F.expr
     above = e("close > cloud_top and close > high_26 and conversion >= base and close > conversion and close > cloud_top_52")
     below = e("base > conversion and conversion > close and cloud_bottom_52 > close and close < low_26 and close < cloud_bottom")
     breaks_up = e("(open <= cloud_top and close > cloud_top) or (prev_close <= cloud_top and open > cloud_top)")
     breaks_down = e("(open >= cloud_bottom and close < cloud_bottom) or (prev_close >= cloud_bottom and open < cloud_bottom)")
     name = "IchimokuKinkoHyo"
-    variant = (
+    return (
         F.when(above & breaks_up, f"{name} (BUY)")
         .when(above & e("prev_close < high_27"), f"{name} (BUY) 1A")
         .when(e("prev_base >= prev_conversion and base < conversion and close > high_26 and close > past_conversion and close > conversion"), f"{name} (BUY) Gold Cross")
@@ -41,7 +42,11 @@ def ichimoku_rules(candles: DataFrame) -> DataFrame:
         .when(e("prev_conversion >= prev_base and base > conversion and conversion > close and close < low_26 and past_conversion > close"), f"{name} (SELL) Death Cross")
         .when(e("prev_close >= past_prev_conversion and close < past_conversion and conversion > close and base > conversion"), f"{name} (SELL) Death Cross A")
     )
-    return rows.withColumn("variant", variant)
+
+
+def ichimoku_rules(candles: DataFrame, live: bool = False) -> DataFrame:
+    return with_ichimoku(candles, live).withColumn("variant", ichimoku_variant())
+
 
 
 @dataclass(frozen=True)
@@ -99,6 +104,8 @@ STRATEGIES: dict[str, Strategy] = {
     "hilega": Strategy("HilegaMilega", 60, hilega_rules()),
     "hilega-long": Strategy("HilegaMilega", 60, hilega_rules(long_only=True)),
 }
+#: As bars are evaluated during the session: the previous lines reach one bar further back.
+LIVE_ICHIMOKU = Strategy("IchimokuKinkoHyo", 110, partial(ichimoku_rules, live=True))
 
 
 def register(name: str, strategy: Strategy) -> None:

@@ -8,16 +8,16 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from datetime import datetime
-from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.formats import alert_payload
+from ..functions.indicators import LIVE_MIDPOINTS, by_bar, frame, ichimoku_clouds, session_index
+from ..operators.signals import STRATEGIES, direction, ichimoku_variant
 
 ZONE = "Asia/Kolkata"
 
@@ -27,28 +27,31 @@ def ticks(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("token"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
 
 
-def _day(zone: str):
+def _day(zone: str) -> Column:
     return F.to_date(F.from_utc_timestamp("ts", zone))
 
 
 def intraday_bars(rows: DataFrame, zone: str = ZONE, late: str | None = None) -> DataFrame:
     """The running bar of each token and local day: first, highest, lowest, last price and the tick count.
 
-    On a stream, ``late`` is the watermark's delay; output mode ``update`` gives
-    the bar after each micro-batch. Partial aggregates combine before the shuffle.
+    On a stream, ``late`` is the watermark's delay, in local time (an hour at least
+    where clocks go back at midnight); output mode ``update`` gives the bar after
+    each micro-batch. Partial aggregates combine before the shuffle.
     """
+    # In local time a day is a tumbling window, whatever its length, that the watermark can close.
+    rows = rows.withColumn("local", F.from_utc_timestamp("ts", zone))
     if late:
-        rows = rows.withWatermark("ts", late)
-    # Local midnight is a fixed offset from UTC midnight, so the day is a tumbling window that the watermark can close.
-    offset = ZoneInfo(zone).utcoffset(datetime(2000, 1, 1))
-    start = int(-offset.total_seconds() // 60) % 1440
-    w = F.window("ts", "1 day", "1 day", f"{start} minutes")
+        rows = rows.withWatermark("local", late)
+    w = F.window("local", "1 day")
     got = rows.groupBy(w.alias("w"), "token").agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.count("*").alias("ticks"))
-    return got.select("token", F.to_date(F.from_utc_timestamp("w.start", zone)).alias("day"), "open", "high", "low", "close", "ticks")
+    return got.select("token", F.to_date("w.start").alias("day"), "open", "high", "low", "close", "ticks")
 
 
 def snapshots(rows: DataFrame, zone: str = ZONE, keep: str = "2 days") -> DataFrame:
-    """The running bar after every tick of a stream (per-token state, dropped when idle for ``keep``)."""
+    """The running bar after every tick of a stream (per-token state, dropped when idle for ``keep``).
+
+    A late tick of a day before the running bar's changes nothing and gives no row.
+    """
     prepared = rows.withWatermark("ts", keep).withColumn("day", _day(zone))
     schema = "token long, ts timestamp, day date, open double, high double, low double, close double, ticks long"
     state = "day date, open double, high double, low double, close double, ticks long"
@@ -61,6 +64,8 @@ def snapshots(rows: DataFrame, zone: str = ZONE, keep: str = "2 days") -> DataFr
         rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
         out = []
         for ts, price, day in zip(rows["ts"], rows["price"], rows["day"], strict=True):
+            if bar is not None and day < bar[0]:
+                continue
             bar = (day, price, price, price, price, 1) if bar is None or bar[0] != day else (day, bar[1], max(bar[2], price), min(bar[3], price), price, bar[5] + 1)
             out.append((key[0], ts, *bar))
         held.update(bar)
@@ -73,18 +78,62 @@ def snapshots(rows: DataFrame, zone: str = ZONE, keep: str = "2 days") -> DataFr
 def first_of_day(signals: DataFrame, zone: str = ZONE, late: str | None = None) -> DataFrame:
     """The first signal of each strategy, token and local day (not of each variant).
 
-    On a stream give ``late``: the state of a day goes once the watermark has passed it.
+    On a stream give ``late``, the watermark's delay: the first to arrive passes,
+    and a day's state is held until the watermark is past local midnight.
     """
     rows = signals.withColumn("day", _day(zone))
-    if late:
-        return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["strategy", "token", "day"])
-    order = F.struct("ts", "variant")
-    return rows.groupBy("strategy", "token", "day").agg(F.min(order).alias("first")).select("strategy", "token", "day", F.col("first.ts").alias("ts"), F.col("first.variant").alias("variant"))
+    if late is None:
+        order = F.struct("ts", "variant")
+        return rows.groupBy("strategy", "token", "day").agg(F.min(order).alias("first")).select("strategy", "token", "day", F.col("first.ts").alias("ts"), F.col("first.variant").alias("variant"))
+    midnight = F.unix_millis(F.to_utc_timestamp(F.date_add("day", 1).cast("timestamp"), zone))
+    rows = rows.withWatermark("ts", late).select("strategy", "token", "day", midnight.alias("until"), "ts", "variant")
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(["ts", "variant"], kind="stable")
+        if not held.exists:
+            yield pd.DataFrame([(*key, rows["ts"].iloc[0], rows["variant"].iloc[0])], columns=["strategy", "token", "day", "ts", "variant"])
+        held.update((True,))
+        held.setTimeoutTimestamp(max(int(rows["until"].iloc[0]), held.getCurrentWatermarkMs() + 1))
+
+    schema = "strategy string, token long, day date, ts timestamp, variant string"
+    return rows.groupBy("strategy", "token", "day").applyInPandasWithState(run, schema, "passed boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def live_lines(bars: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Stream–static join of running bars with each token's last closed lines (the snapshot has a row for each token)."""
-    return bars.join(snapshot, "token")
+def closed_lines(candles: DataFrame) -> DataFrame:
+    """What each token's closed bars say of its next bar: one row a token.
+
+    The frames of the live session reach the running bar or end before it; each
+    is taken here as far as closed bars go, as its highest high and lowest low.
+    """
+    last = F.max("date").over(by_bar().rowsBetween(0, 1)) == F.col("date")  # no bar follows
+    ends = {}
+    for name, (first, to) in LIVE_MIDPOINTS.items():
+        f = frame(first + 1, min(to + 1, 0))
+        ends |= {f"{name}_hi": F.max("high").over(f), f"{name}_lo": F.min("low").over(f)}
+    ends |= {f"{c}_{n}": F.lag(c, n - 1).over(by_bar()) for c in ("high", "low") for n in (26, 27)}
+    rows = candles.withColumns(ends | {"__last": last, "idx": session_index() + 1, "prev_close": F.col("close")})
+    return rows.where("__last").select("token", "idx", "prev_close", *ends)
+
+
+def live_signals(bars: DataFrame, lines: DataFrame) -> DataFrame:
+    """Ichimoku signals of running bars (``token, ts, open, high, low, close``), each row evaluated by itself.
+
+    ``lines`` comes from ``closed_lines``, computed once after the market closes;
+    on a stream of ``snapshots`` this is a stream-static join with a row for each
+    token and column rules, so that every tick is evaluated without state.
+    Feed the result to ``first_of_day``.
+    """
+    strategy = STRATEGIES["ichimoku"]
+    rows = bars.join(lines, "token").where(F.col("idx") >= strategy.warmup)
+    mids = {}
+    for name, (_, to) in LIVE_MIDPOINTS.items():
+        hi, lo = F.col(f"{name}_hi"), F.col(f"{name}_lo")
+        mids[name] = (F.greatest(hi, "high") + F.least(lo, "low")) / 2 if to == 0 else (hi + lo) / 2
+    rows = ichimoku_clouds(rows.withColumns(mids)).withColumn("variant", ichimoku_variant()).where("variant is not null")
+    return rows.select(F.lit(strategy.name).alias("strategy"), "token", "ts", "variant", direction(F.col("variant")).alias("direction"), F.col("close").alias("entry_price"))
 
 
 def payloads(signals: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -47,6 +47,57 @@ def test_daily_dedup_crosses_the_local_day(spark, tmp_path):
     assert sorted((r["strategy"], r["variant"], str(r["day"])) for r in batch.collect()) == [("R", "R", "2024-01-01"), ("S", "S (A)", "2024-01-01"), ("S", "S (A)", "2024-01-02")]
 
 
+SIGNAL = "strategy string, token long, ts timestamp, variant string"
+
+
+def test_one_signal_a_day_with_a_short_delay(spark, tmp_path):
+    """Signals hours apart, in batches of their own, with a delay of minutes: the day's state outlives the delay."""
+    path = str(tmp_path / "signals")
+    hours = [0, 2, 4, 6, 30, 31]
+    for k, h in enumerate(hours):
+        spark.createDataFrame([("S", 1, dt.datetime(2024, 1, 2, 3) + dt.timedelta(hours=h), f"S ({k})")], SIGNAL).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(SIGNAL).option("maxFilesPerTrigger", 1).parquet(path)
+    q = live.first_of_day(stream, late="10 minutes").writeStream.format("memory").queryName("day_t").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(240)
+    got = sorted((str(r["day"]), r["variant"]) for r in spark.table("day_t").collect())
+    assert got == [("2024-01-02", "S (0)"), ("2024-01-03", "S (4)")]
+
+
+def test_days_across_a_change_of_clocks(spark):
+    """Local midnight in New York is 05:00 UTC in winter and 04:00 in summer."""
+    at = [dt.datetime(2024, 7, 10, 3, 50), dt.datetime(2024, 7, 10, 4, 10), dt.datetime(2024, 1, 10, 4, 50), dt.datetime(2024, 1, 10, 5, 10)]
+    rows = spark.createDataFrame([(1, t, float(k)) for k, t in enumerate(at)], "token long, ts timestamp, price double")
+    got = sorted((r["day"], r["close"]) for r in live.intraday_bars(rows, "America/New_York").collect())
+    assert got == [(dt.date(2024, 1, 9), 2.0), (dt.date(2024, 1, 10), 3.0), (dt.date(2024, 7, 9), 0.0), (dt.date(2024, 7, 10), 1.0)]
+
+
+def test_replayed_ticks_give_the_signals_of_the_finished_bars(spark, tmp_path):
+    """Ticks of each token's last bar, evaluated one by one against the lines of the bars before it."""
+    from tapeloom.functions.indicators import session_index
+    from tapeloom.operators import signals
+    from tapeloom.sources.candles import from_lineitem
+
+    bars = from_lineitem(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")).withColumn("idx", session_index()).cache()
+    found = [r.asDict() for r in signals.fired(bars, signals.LIVE_ICHIMOKU).collect()]
+    first = {}
+    for r in sorted(found, key=lambda r: r["session_idx"]):
+        first.setdefault(r["token"], r)
+    cut = spark.createDataFrame([(t, r["session_idx"]) for t, r in first.items()], "token long, cut int")
+    rows = bars.join(cut, "token")
+    lines = live.closed_lines(rows.where("idx < cut").drop("cut", "idx")).cache()
+    running = rows.where("idx = cut").collect()
+    path = str(tmp_path / "ticks")
+    ticks = [(r["token"], dt.datetime(2024, 1, 2, 4, m), p) for r in running for m, p in enumerate((r["open"], r["high"], r["low"], r["close"]))]
+    write_ticks(spark, path, ticks)
+    stream = spark.readStream.schema("token long, ts timestamp, price double").parquet(path)
+    q = live.live_signals(live.snapshots(stream), lines).writeStream.format("memory").queryName("live_t").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(240)
+    got = {(r["token"], r["variant"]) for r in spark.table("live_t").where("minute(ts) = 3").collect()}
+    assert got == {(t, r["variant"]) for t, r in first.items()} and len(got) >= 5
+    batch = live.live_signals(rows.where("idx = cut").withColumnRenamed("date", "ts").drop("idx"), lines)
+    assert {(r["token"], r["variant"]) for r in batch.collect()} == got
+
+
 def test_alerts_try_again(spark, tmp_path):
     path = str(tmp_path / "signals")
     spark.createDataFrame([("S", 1, T, "S (A)"), ("S", 2, T, "S (A)")], "strategy string, token long, ts timestamp, variant string").write.parquet(path)
@@ -66,7 +117,6 @@ def test_alerts_try_again(spark, tmp_path):
 
 
 
-
 def test_formats(spark):
     from tapeloom.functions import formats as fm
 
