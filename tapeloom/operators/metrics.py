@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,12 +77,15 @@ def summarize(legs: DataFrame) -> DataFrame:
     One pass: each leg counts in its four groups, which are pre-aggregated
     before the shuffle. Only the medians need a second one; the table of groups
     that it reads is broadcast, since rules, sides, years and horizons bound it.
+    The legs are kept in the cache until the session clears it.
     """
     groups = F.array(
         F.struct(F.lit("overall").alias("t"), F.lit("ALL SIGNALS").alias("g")), F.struct(F.lit("signal").alias("t"), F.col("variant").alias("g")),
         F.struct(F.lit("direction").alias("t"), F.col("direction").alias("g")), F.struct(F.lit("year").alias("t"), F.year("date").cast("string").alias("g")),
     )
     keys = ["group_type", "group", "horizon", "horizon_days"]
+    # Read twice: kept, so that legs are not measured again. Lost blocks are computed anew.
+    legs = legs.select("horizon", "horizon_days", "valid", "return_pct", "mfe_pct", "mae_pct", "direction", "variant", "date").persist(StorageLevel.MEMORY_AND_DISK)
     rows = legs.select("horizon", "horizon_days", "valid", F.when(F.col("valid"), F.col("return_pct")).alias("return_pct"), "mfe_pct", "mae_pct", "direction", F.explode(groups).alias("x"))
     rows = rows.select("*", F.col("x.t").alias("group_type"), F.col("x.g").alias("group")).drop("x")
     stats = _statistics(rows, keys)
@@ -102,9 +106,9 @@ def ordered(summary: DataFrame, primary: str) -> DataFrame:
 
 
 def top_trades(legs: DataFrame, horizon: str, n: int, best: bool = True) -> DataFrame:
-    """The ``n`` best or worst valid legs of a horizon; ties by date, token and variant."""
+    """The ``n`` best or worst valid legs of a horizon; ties by date, symbol (token where there is none) and variant."""
     rows = legs.where((F.col("horizon") == horizon) & F.col("valid"))
-    return rows.orderBy(F.col("return_pct").desc() if best else F.col("return_pct"), "date", "token", "variant").limit(n)
+    return rows.orderBy(F.col("return_pct").desc() if best else F.col("return_pct"), "date", *(["symbol"] if "symbol" in legs.columns else []), "token", "variant").limit(n)
 
 
 def run_counters(candles: DataFrame, legs: DataFrame, warmup: int) -> DataFrame:

@@ -28,11 +28,17 @@ def _forward(rows: DataFrame, horizons: tuple[Horizon, ...]) -> DataFrame:
     return rows.withColumns(out)
 
 
-def _stops(rows: DataFrame, horizons: tuple[Horizon, ...], stop: StopRule) -> DataFrame:
-    """``__ahead``: the following bars of each bar, up to the longest horizon, with the stop's average."""
-    rows = rows.withColumn("__sma", sma(stop.sma)) if stop.sma > 0 else rows.withColumn("__sma", F.lit(None).cast("double"))
+def _stops(trades: DataFrame, candles: DataFrame, horizons: tuple[Horizon, ...], stop: StopRule) -> DataFrame:
+    """``__ahead``: the bars that follow each trade's, up to the longest horizon, with the stop's average.
+
+    A token's bars are gathered once (its sessions bound them) and only trades
+    take their part of them; most bars fire no signal.
+    """
+    average = sma(stop.sma) if stop.sma > 0 else F.lit(None).cast("double")
     bar = F.struct("date", "open", "high", "low", "close", F.col("__sma").alias("sma"))
-    return rows.withColumn("__ahead", F.collect_list(bar).over(frame(1, max(h.days for h in horizons)))).drop("__sma")
+    whole = candles.withColumn("__sma", average).groupBy("token").agg(F.array_sort(F.collect_list(bar)).alias("__bars"))
+    ahead = F.slice("__bars", F.col("session_idx") + 2, F.lit(max(h.days for h in horizons)))
+    return trades.join(whole, "token").withColumn("__ahead", ahead).drop("__bars")
 
 
 def _first_exit(stop: StopRule) -> Column:
@@ -111,13 +117,14 @@ def legs_of(candles: DataFrame, strategy: Strategy, config: BacktestConfig) -> D
     """A strategy's trades, one row for each trade and horizon.
 
     Indicators, rules, the forward look and the entry are columns over one
-    ordering by token, so nothing is joined. A signal enters at its close; with a
+    ordering by token, so nothing is joined but, for stops, the few trades to their
+    token's bars. A signal enters at its close; with a
     stop the horizon is a longest holding time, and a trade that is still open
     where the data end has no valid leg. Excursions are gross and start from the
     net return. Moves beyond ``max_move_pct`` are marked ``outlier``, not valid.
     """
     rows = evaluated(candles, strategy)
-    rows = _stops(rows, config.horizons, config.stop) if config.stop.active else _forward(rows, config.horizons)
+    rows = rows if config.stop.active else _forward(rows, config.horizons)
     ahead = [c for c in rows.columns if c.startswith("__")]
     rows = rows.where(F.col("variant").isNotNull() & (F.col("idx") >= strategy.warmup))
     trades = rows.select(
@@ -125,18 +132,23 @@ def legs_of(candles: DataFrame, strategy: Strategy, config: BacktestConfig) -> D
         direction(F.col("variant")).alias("direction"), F.col("close").alias("entry_price"), *ahead,
     )
     trades = cooled(in_window(trades, config.start, config.end), config.cooldown)
-    trades = trades.withColumn("__sign", F.when(F.col("direction") == SHORT, -1.0).otherwise(1.0))
-    return _legs(trades, config.horizons, config)
+    return _measured(trades, candles, config)
+
+
+def _measured(trades: DataFrame, candles: DataFrame, config: BacktestConfig) -> DataFrame:
+    if config.stop.active:
+        trades = _stops(trades, candles, config.horizons, config.stop)
+    return _legs(trades.withColumn("__sign", F.when(F.col("direction") == SHORT, -1.0).otherwise(1.0)), config.horizons, config)
 
 
 def legs_of_trades(candles: DataFrame, trades: DataFrame, config: BacktestConfig) -> DataFrame:
     """Legs of given trades (``token, session_idx, strategy, variant, direction``), entered at their session's close."""
     rows = candles.withColumn("idx", F.row_number().over(by_bar()) - 1)
-    rows = _stops(rows, config.horizons, config.stop) if config.stop.active else _forward(rows, config.horizons)
+    rows = rows if config.stop.active else _forward(rows, config.horizons)
     ahead = [c for c in rows.columns if c.startswith("__")]
     rows = rows.select("token", "date", F.col("idx").cast("int").alias("session_idx"), F.col("close").alias("entry_price"), *ahead)
     rows = trades.select("token", F.col("session_idx").cast("int").alias("session_idx"), "strategy", "variant", "direction").join(rows, ["token", "session_idx"])
-    return _legs(rows.withColumn("__sign", F.when(F.col("direction") == SHORT, -1.0).otherwise(1.0)), config.horizons, config)
+    return _measured(rows, candles, config)
 
 
 def stop_usage(legs: DataFrame, horizon: str) -> DataFrame:
