@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import LONG, SHORT, ConfluenceOptions
+from ..schema import LONG, SHORT, BacktestConfig, ConfluenceOptions, Horizon
 from .signals import cooled
 
 
@@ -72,3 +72,15 @@ def confluence(trades: DataFrame, strategies: list[str], opt: ConfluenceOptions
     events = hits.select("token", "direction", "session_idx", "date", "entry_price", F.array_join(names, "  +  ").alias("variant"), (F.col("session_idx") - F.least("session_idx", "earliest")).alias("align_gap"))
     events = cooled(events, opt.cooldown, ("token", "direction"))
     return events.select("token", "date", "session_idx", F.lit("Confluence").alias("strategy"), "variant", "direction", "entry_price", "align_gap")
+
+
+def mean_gap(events: DataFrame) -> DataFrame:
+    """How many events there are, and how many sessions their strategies lay apart on average (one row)."""
+    return events.agg(F.count("*").alias("events"), F.avg("align_gap").alias("mean_gap"))
+
+
+def common_horizons(configs: list[BacktestConfig]) -> tuple[Horizon, ...]:
+    """The horizons of runs that are put together; they must be the same ones in the same order."""
+    if not configs or any(c.horizons != configs[0].horizons for c in configs):
+        raise ValueError("runs to be combined need the same horizons")
+    return configs[0].horizons

@@ -184,6 +184,34 @@ def universe(spark: SparkSession, d: str) -> DataFrame:
     return src.universe(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("token")))
 
 
+@query("select distinct l_suppkey as token from lineitem order by token limit 25")
+def capped_universe(spark: SparkSession, d: str) -> DataFrame:
+    return src.universe(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("token")), most=25)
+
+
+_RAW_SQL = "with s as (select o_custkey as token, case o_orderkey % 3 when 2 then null else o_orderdate::date end as date, o_totalprice as close from orders where o_orderkey % 9 != 8) "
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as raw rows with dates as text, in two formats or none."""
+    o, k = table(spark, d, "orders").where("o_orderkey % 9 != 8"), F.col("o_orderkey") % 3
+    at = F.col("o_orderdate").cast("timestamp")
+    text = F.when(k == 0, fm.rfc3339(at)).when(k == 1, F.date_format(at, "yyyy-MM-dd")).otherwise("soon")
+    return o.select(F.col("o_custkey").alias("token"), text.alias("date"), F.col("o_totalprice").alias("close"))
+
+
+def _scan_query(mode: str, where: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return src.scan(_raw(spark, d), mode).groupBy("token").agg(F.count("*").alias("bars"), F.count("date").alias("dated"), F.to_date(F.max("date")).alias("latest"))
+
+    run.__name__ = f"scanned_{mode}"
+    query(f"{_RAW_SQL}select token, count(*) as bars, count(date) as dated, max(date) as latest from s {where} group by token")(run)
+
+
+for _mode, _where in (("skip", "where date is not null"), ("keep", ""), ("fail_token", "where token not in (select token from s where date is null)")):
+    _scan_query(_mode, _where)
+
+
 @query(_with(select="select date, close from b where token = 7 and date >= date '1995-01-01'"))
 def history_scan(spark: SparkSession, d: str) -> DataFrame:
     return src.history(bars(spark, d), 7, "1995-01-01").select(day(), "close")
@@ -290,9 +318,9 @@ def token_spans(spark: SparkSession, d: str) -> DataFrame:
     return store.spans(bars(spark, d)).withColumns({"latest": F.to_date("latest"), "oldest": F.to_date("oldest")})
 
 
-@query(_with(select="select token, max(date) as latest from b group by token having max(date) < date '1998-11-29'"))
+@query(_with(select="select token, max(date) as latest from b group by token having max(date) < date '2001-10-27'"))
 def stale_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return store.stale(bars(spark, d), F.lit("1998-11-30").cast("timestamp")).withColumn("latest", F.to_date("latest"))
+    return store.stale(bars(spark, d), F.lit("2001-10-28").cast("timestamp")).withColumn("latest", F.to_date("latest"))
 
 
 _CHUNK = "from w, generate_series(0, 20) as s(i) where start <= stop and start + 1901 * i <= stop"
@@ -419,14 +447,38 @@ def cooled_signals(spark: SparkSession, d: str) -> DataFrame:
     return _signals(signals.cooled(signals.fired(bars(spark, d), signals.STRATEGIES["ichimoku"]), 10))
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """Bars up to a session that differs by token, so that the latest bars fall in all kinds of markets."""
+    return rows.withColumn("idx", ind.session_index()).where("idx <= 180 + token * 97 % 300").drop("idx")
+
+
 @query(_with(_ichimoku_sql(), _ICH_RULES, select="select token, s_name as symbol, date, case when prev_close <= cloud_top and open > cloud_top and not (open <= cloud_top and close > cloud_top) then 'GAP_OPEN' else 'INTRADAY' end as scenario, close from ichr join supplier on s_suppkey = token where rule = ' (BUY)'"))
 def scanner_history(spark: SparkSession, d: str) -> DataFrame:
     return scanner.scan(bars(spark, d), _suppliers(spark, d), every_bar=True).select("token", "symbol", day(), "scenario", "close")
 
 
-@query(_with(_ichimoku_sql(), _ICH_RULES, "z as (select *, max(idx) over (partition by token) as n from ichr)", select="select token, s_name as symbol, date, case when prev_close <= cloud_top and open > cloud_top and not (open <= cloud_top and close > cloud_top) then 'GAP_OPEN' else 'INTRADAY' end as scenario, close from z join supplier on s_suppkey = token where rule = ' (BUY)' and idx = n"))
+@query(_with(_ichimoku_sql(), _ICH_RULES, "z as (select *, max(idx) over (partition by token) as n from ichr where idx <= 180 + token * 97 % 300)", select="select token, s_name as symbol, date, case when prev_close <= cloud_top and open > cloud_top and not (open <= cloud_top and close > cloud_top) then 'GAP_OPEN' else 'INTRADAY' end as scenario, close from z join supplier on s_suppkey = token where rule = ' (BUY)' and idx = n"))
 def scanner_latest(spark: SparkSession, d: str) -> DataFrame:
-    return scanner.scan(bars(spark, d), _suppliers(spark, d)).select("token", "symbol", day(), "scenario", "close")
+    return scanner.scan(_cut(bars(spark, d)), _suppliers(spark, d)).select("token", "symbol", day(), "scenario", "close")
+
+
+@query(_with(_ichimoku_sql(ind.LIVE_MIDPOINTS), _ICH_RULES, select=_SIGNAL + "ichs"))
+def live_session_signals(spark: SparkSession, d: str) -> DataFrame:
+    return _signals(signals.fired(bars(spark, d), signals.LIVE_ICHIMOKU))
+
+
+@query(_with(_ichimoku_sql(ind.LIVE_MIDPOINTS), _ICH_RULES, select="select token, date, variant, direction, entry as entry_price from ichs where idx = 180 + token * 97 % 300 + 1"))
+def live_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Running bars against the lines of the closed ones: the bar after each token's cut is the running one."""
+    rows = bars(spark, d)
+    running = rows.withColumn("idx", ind.session_index()).where("idx = 180 + token * 97 % 300 + 1").withColumnRenamed("date", "ts").drop("idx")
+    return live.live_signals(running, live.closed_lines(_cut(rows))).select("token", F.to_date("ts").alias("date"), "variant", "direction", "entry_price")
+
+
+@query(_with(select="select token, count(*) as bars, max(date) as latest from b where date < date '1998-06-01' group by token"))
+def closed_bars(spark: SparkSession, d: str) -> DataFrame:
+    rows = signals.closed_bars(bars(spark, d), F.lit(AS_OF).cast("date"))
+    return rows.groupBy("token").agg(F.count("*").alias("bars"), F.to_date(F.max("date")).alias("latest"))
 
 
 # Trades.
@@ -668,6 +720,17 @@ def confluence_legs(spark: SparkSession, d: str) -> DataFrame:
     return _legs(trades.legs_of_trades(bars(spark, d), events, BacktestConfig()))
 
 
+@query(_with(_ichimoku_sql(), _ICH_RULES, _HILEGA, _HILEGA_RULES, _confluence_sql(["ichs", "hils"], True), select=f"select count(*) as events, round(avg(align_gap), 6) as mean_gap from ({_confluence_select()})"))
+def confluence_gap(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(con.mean_gap(con.confluence(_trades(spark, d, "ichimoku", "hilega"), _TWO)), "mean_gap")
+
+
+@query(_with(_ichimoku_sql(), _ICH_RULES, _fixed_sql("ichs"), select="select horizon, count(*) as legs, count(*) filter (where valid) as valid from leg where direction = 'LONG' group by horizon"))
+def filtered_run(spark: SparkSession, d: str) -> DataFrame:
+    result = backtest.run(bars(spark, d), signals.STRATEGIES["ichimoku"]).filtered("direction = 'LONG'", "longs only")
+    return result.legs.groupBy("horizon").agg(F.count("*").alias("legs"), F.count_if("valid").alias("valid"))
+
+
 # Ticks and alerts.
 @query("select user_id as token, (ts + interval 330 minute)::date as day, arg_min(value, ts) as open, max(value) as high, min(value) as low, arg_max(value, ts) as close, count(*) as ticks from events group by 1, 2")
 def intraday_bars(spark: SparkSession, d: str) -> DataFrame:
@@ -686,6 +749,23 @@ def alert_payloads(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", fm.alert_payload(F.concat(F.lit("S"), F.col("user_id").cast("string")), F.col("event_type"), ts).alias("body"))
 
 
+@query("""select event_type as strategy, user_id as token, ts, '{"username":"Signals","embeds":[{"title":"📊 ' || coalesce(s_name, 'UNKNOWN') || '","description":"**' || coalesce(s_name, 'UNKNOWN') || '** triggered the **' || event_type || '** strategy.","color":51283,"footer":{"text":"Signals Engine"},"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}]}' as body from events left join supplier on s_suppkey = user_id""")
+def named_payloads(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("event_type").alias("strategy"), F.col("user_id").alias("token"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("variant"))
+    return live.payloads(e, _suppliers(spark, d)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("select event_id, '[' || event_type || '] S' || user_id || ' | Time: ' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as line from events")
+def signal_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", fm.signal_line(F.col("event_type"), F.concat(F.lit("S"), F.col("user_id").cast("string")), F.col("ts").cast("timestamp")).alias("line"))
+
+
+@query("select s_suppkey as token, unnest([s_suppkey, s_suppkey * 10, 7])::bigint as listed from supplier")
+def token_lists(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat_ws(", ", F.col("token"), F.lit(""), F.col("token") * 10, F.lit(" 7 "))
+    return _suppliers(spark, d).select("token", F.explode(ins.token_list(text)).alias("listed"))
+
+
 @query("select event_type, sum(cast(props->>'k' as bigint))::bigint as total, count(*) as n from events group by event_type")
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_type", F.from_json("props", "k long")["k"].alias("k"))

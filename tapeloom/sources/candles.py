@@ -57,8 +57,10 @@ def from_lineitem(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def universe(candles: DataFrame) -> DataFrame:
-    return candles.select("token").distinct().orderBy("token")
+def universe(candles: DataFrame, most: int = 0) -> DataFrame:
+    """The stored tokens in order; the first ``most`` of them, if given."""
+    tokens = candles.select("token").distinct().orderBy("token")
+    return tokens.limit(most) if most > 0 else tokens
 
 
 def first_table(spark: SparkSession, *names: str) -> DataFrame:

@@ -71,7 +71,7 @@ def index_universe(candles: DataFrame, symbols: DataFrame, index: DataFrame) ->
 
 def token_list(text: Column) -> Column:
     """Comma-separated tokens as longs; blanks drop, anything else that is no number raises."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(parts, lambda x: x.cast("long"))
 
 
