@@ -19,7 +19,7 @@ SPACE = "▁"
 # Fixed values of the model format: kinds of pieces, and the kind of model that merges pairs.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 1_500_000
 CACHE_CHARS = 48
 #: Chunks of more characters are merged with a queue.
 SCANNED = 64
@@ -156,16 +156,15 @@ class Encoder:
         kinds = {p.type for p in model.pieces} <= {NORMAL, UNKNOWN, CONTROL, BYTE}
         self.safe = kinds and not inner and spec.escape_whitespaces and trained.model_type == BPE and trained.byte_fallback and len(self.bytes) == 256 and not trained.treat_whitespace_as_suffix
         self.chunk = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*|[^{SPACE}\n]+")
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, str] = {}
 
     def merged(self, chunk: str) -> list[int]:
         """The ids of a chunk: of all neighbours that make a piece the best scored are joined first, of equals the leftmost."""
         part = self._scanned(chunk) if len(chunk) <= SCANNED else self._queued(chunk)
-        out: list[int] = []
-        for p in part:
-            k = self.ids.get(p)
-            out += [k] if k is not None else [self.bytes[b] for b in p.encode()]
-        return out
+        out = list(map(self.ids.get, part))
+        if None not in out:
+            return out
+        return [k for p, one in zip(part, out, strict=True) for k in ([self.bytes[b] for b in p.encode()] if one is None else [one])]
 
     def _scanned(self, chunk: str) -> list[str]:
         """The pieces of a short chunk, looking over all neighbours for each merge."""
@@ -215,16 +214,12 @@ class Encoder:
             return [(ids, ",".join(map(str, ids)), src) for ids, (_, src) in zip(self.lib.encode(texts, num_threads=1), normal, strict=True)]
         known, out = self.known, []
         for text, src in normal:
-            got = []
-            for c in self.chunk.findall(text):
-                one = known.get(c)
-                if one is None:
-                    ids = self.merged(c)
-                    one = (np.array(ids, "<i4").tobytes(), ",".join(map(str, ids)))
-                    if len(known) < CACHE_CHUNKS and len(c) <= CACHE_CHARS:
-                        known[c] = one
-                got.append(one)
-            out.append((np.frombuffer(b"".join([g[0] for g in got]), "<i4").tolist(), ",".join([g[1] for g in got]), src))
+            chunks, here = self.chunk.findall(text), {}
+            for c in {c for c in chunks if c not in known}:
+                into = known if len(known) < CACHE_CHUNKS and len(c) <= CACHE_CHARS else here
+                into[c] = ",".join(map(str, self.merged(c)))
+            joined = ",".join([known[c] if c in known else here[c] for c in chunks] if here else [known[c] for c in chunks])
+            out.append((np.fromstring(joined, np.int32, sep=",").tolist() if joined else [], joined, src))
         return out
 
     def spans(self, ids: list[int], src: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
