@@ -11,8 +11,8 @@ from .common import written
 
 #: Hashes up to this many are broadcast when rows are looked up by them; more are joined by shuffle.
 BROADCAST_HASHES = 1_000_000
-#: Rows that one neighbour bucket should hold, about, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 4_000, 8_192
+#: Rows that one neighbour bucket should hold, about.
+BUCKET_ROWS = 4_000
 
 
 def _icu(kind: str, method: str, text: Column) -> Column:
@@ -79,15 +79,12 @@ def ranked(hash: str) -> Column:
 
 
 def cuts_below(value: Column, cuts: list[int]) -> Column:
-    """How many of the rising ``cuts`` are below ``value``: first among every so many of them, then in one stretch."""
+    """How many of the rising ``cuts`` are below ``value``, by binary search; none for a null value."""
     if not cuts:
         return F.lit(0)
-    wide = math.isqrt(len(cuts) - 1) + 1
-    stretches = [cuts[k : k + wide] for k in range(0, len(cuts), wide)]
-    below = lambda some: F.size(F.filter(some, lambda c: value > c))
-    at = below(F.array(*(F.lit(x[0]) for x in stretches)))
-    inner = below(F.get(F.array(*(F.array(*map(F.lit, x)) for x in stretches)), at - 1))
-    return F.when(at == 0, 0).otherwise((at - 1) * wide + inner)
+    held = F.array(*map(F.lit, cuts))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < value, at + step).otherwise(at))
 
 
 def beside_next(docs: DataFrame, id: str, text: str, carried: dict[str, Column]) -> DataFrame:
@@ -96,12 +93,15 @@ def beside_next(docs: DataFrame, id: str, text: str, carried: dict[str, Column])
     The last row's next is the first. Equal ids follow each other by falling text;
     null ids come last. Rows are dealt by id ranges taken from the ids' quantiles,
     and each range also gets the head of the following one, so the order over all
-    rows needs one shuffle and no single task.
+    rows needs one shuffle and no single task. There are no more ranges than the
+    session has shuffle partitions (8,192 where that is less), which so set how
+    much one task sorts.
     """
     rows = docs.select(F.col(id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__t")).select("__id", "__t", *(c.alias(k) for k, c in carried.items()))
     ids = docs.select(F.col(id).alias("__id"))
     total = ids.count()
-    buckets = max(1, min(MOST_BUCKETS, math.ceil(total / BUCKET_ROWS)))
+    most = max(8_192, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(1, min(most, math.ceil(total / BUCKET_ROWS)))
     cuts: list[int] = []
     if buckets > 1:
         points = [k / buckets for k in range(1, buckets)]
@@ -112,9 +112,10 @@ def beside_next(docs: DataFrame, id: str, text: str, carried: dict[str, Column])
     into = {r["__head"]: heads[k - 1]["__b"] for k, r in enumerate(heads)}  # where a bucket's head is also wanted
     real = rows.withColumn("__b", bucket).withColumn("__ghost", F.lit(False))
     if into:
-        keys = [k for k in into if k is not None]
-        place = F.get(F.array(*(F.lit(into[k]) for k in keys)), F.array_position(F.array(*map(F.lit, keys)), F.col("__id")).cast("int") - 1) if keys else F.lit(None).cast("int")
-        some = F.col("__id").isin(keys)
+        keys = sorted(k for k in into if k is not None)
+        at = cuts_below(F.col("__id"), keys)
+        some = F.coalesce(F.get(F.array(*map(F.lit, keys)), at) == F.col("__id"), F.lit(False)) if keys else F.lit(False)
+        place = F.get(F.array(*(F.lit(into[k]) for k in keys)), at) if keys else F.lit(None).cast("int")
         if None in into:
             place, some = F.when(F.col("__id").isNull(), F.lit(into[None])).otherwise(place), some | F.col("__id").isNull()
         real = real.union(rows.where(some).withColumn("__b", place).withColumn("__ghost", F.lit(True)))
@@ -131,30 +132,29 @@ def edited(docs: DataFrame, id: str = "doc_id", text: str = "text", bits: int =
     fingerprint, edited_fingerprint, near_edited, near_next``.
     """
 
-    def texts() -> DataFrame:
-        near = beside_next(docs, id, text, {"__h": wide_hash(canonical(F.col("__t")), bits)})
-        third = F.floor(F.length("__t") / 3).cast("int")
-        e = F.concat(F.left(F.col("__t"), (F.length("__t") - third)), F.left(F.col("next_t"), third))
-        return near.withColumn("__e", e)
-
-    slim = texts().select(
+    near = beside_next(docs, id, text, {"__h": wide_hash(canonical(F.col("__t")), bits)})
+    third = F.floor(F.length("__t") / 3).cast("int")
+    near = near.withColumn("__e", F.concat(F.left(F.col("__t"), (F.length("__t") - third)), F.left(F.col("next_t"), third)))
+    near = near.withColumn("__ec", canonical(F.col("__e")))
+    # The canonical edited text is kept, so that equal buckets are compared from the file and not by dealing texts anew.
+    slim = near.select(
         F.col("__id"), F.length("__t").cast("long").alias("n_chars"), F.sha2(F.col("__e").cast("binary"), 256).alias("edited_sha256"),
-        "__h", F.col("next_h").alias("__nh"), wide_hash(canonical(F.col("__e")), bits).alias("__eh"),
+        "__h", F.col("next_h").alias("__nh"), wide_hash(F.col("__ec"), bits).alias("__eh"), "__ec",
     )
     slim = written(slim, "edited")
     again = written(repeated(slim.select("__h").union(slim.select("__eh")), "__h"), "repeated")
     own = docs.select(canonical(F.col(text)).alias("__c")).select(wide_hash(F.col("__c"), bits).alias("__h"), "__c")
-    changed = texts().select(canonical(F.col("__e")).alias("__c")).select(wide_hash(F.col("__c"), bits).alias("__h"), "__c")
+    changed = slim.select(F.col("__eh").alias("__h"), F.col("__ec").alias("__c"))
     found = written(clashes(only(own.union(changed), again, "__h"), "__h", "__c"), "clashes")
     if not found.isEmpty():
-        return _with_clashes(docs, id, text, texts(), found, bits)
+        return _with_clashes(near, id, found, bits)
     return _result(slim.select("__id", "n_chars", "edited_sha256", F.col("__h").alias("f"), F.col("__nh").alias("nf"), F.col("__eh").alias("ef")), id)
 
 
-def _with_clashes(docs: DataFrame, id: str, text: str, near: DataFrame, found: DataFrame, bits: int) -> DataFrame:
+def _with_clashes(near: DataFrame, id: str, found: DataFrame, bits: int) -> DataFrame:
     rows = near.select(
         "__id", F.length("__t").cast("long").alias("n_chars"), F.sha2(F.col("__e").cast("binary"), 256).alias("edited_sha256"),
-        canonical(F.col("__t")).alias("c"), canonical(F.col("next_t")).alias("nc"), canonical(F.col("__e")).alias("ec"),
+        canonical(F.col("__t")).alias("c"), canonical(F.col("next_t")).alias("nc"), F.col("__ec").alias("ec"),
     )
     for name, c in (("f", "c"), ("nf", "nc"), ("ef", "ec")):
         rows = rows.withColumn("__h", wide_hash(F.col(c), bits))
