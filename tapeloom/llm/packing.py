@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import math
 import re
 import zlib
@@ -23,6 +24,18 @@ _beyond_latin = re.compile("[^\x00-ÿ]")
 _spaces = re.compile("[\t\n\x0b\x0c\r ]+")
 _MARKS = (".", ",")
 _known: dict[str, dict[str, bytes]] = {}
+#: The normaliser and the splitting rule of tokenizers whose ids can be taken run by run.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 @lru_cache(maxsize=4)
@@ -37,6 +50,15 @@ def _added(path: str) -> tuple[str, ...]:
     return tuple(x.content.lower() for x in _tokenizer(path).get_added_tokens_decoder().values())
 
 
+@lru_cache(maxsize=4)
+def _by_runs(path: str) -> bool:
+    """Whether the tokenizer's file says that white space only parts words and case is folded, as ``encode_all`` needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    whole = not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
+    return whole and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
+
+
 def _lowered(text: str, path: str) -> str:
     """The text in lower case where that leaves its ids alone, so that more runs are alike.
 
@@ -51,12 +73,15 @@ def _lowered(text: str, path: str) -> str:
 def encode_all(texts: list[str | None], path: str, end_id: int = 0) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit words, ``end_id`` last.
 
-    The tokenizer normalises and splits at white space before anything else, so
+    Where the tokenizer normalises and splits at white space before anything else,
     the ids of a text are those of its runs of non-space, in order. Runs that
     this worker has met are looked up; the others of a batch are encoded together.
+    Any other tokenizer gets whole texts.
     """
     known, tok = _known.setdefault(path, {}), _tokenizer(path)
     end = end_id.to_bytes(4, "little")
+    if not _by_runs(path):
+        return [b"".join(i.to_bytes(4, "little") for i in e.ids) + end for e in tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
     split = [_spaces.split(_lowered(t, path)) if t else [] for t in texts]
     new = {w for words in split for w in words if w not in known}
     here: dict[str, bytes] = {}

@@ -567,6 +567,14 @@ def test_added_tokens_are_matched_by_case(t):
     assert np.frombuffer(packing.encode_all([t], WORDS)[0], "<u4").tolist() == [*ids, 0]
 
 
+@pytest.mark.parametrize("t", ["The  Cat's\n\tHat.", "", None, " ÉCOLE, 12,3 <|endoftext|> "])
+def test_other_tokenizers_get_whole_texts(t):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = packing._tokenizer(path).encode(t or "", add_special_tokens=False).ids
+    assert packing._by_runs(WORDS) and not packing._by_runs(path)
+    assert np.frombuffer(packing.encode_all([t], path)[0], "<u4").tolist() == [*ids, 0]
+
+
 def test_quality_rules(docs, none):
     want = collections.Counter()
     for r in docs.collect():
