@@ -202,17 +202,27 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
 
 
 def lookup(index: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
-    """The payload (null for a revisit) of each record that ``wanted`` (a column ``id``) names, one frame read each."""
+    """The payload (null for a revisit) of each record that ``wanted`` (a column ``id``) names.
+
+    Records are dealt by bundle and read in the order of their frames, so that a
+    seek table and a frame are read once for all records wanted of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, data, bundle, last = [], b"", None, None
         for batch in batches:
             for i, name, frame, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                offset, size, _ = seek_table(f"{folder}/{name}")[frame]
-                head, block, _ = parse(read_frame(f"{folder}/{name}", offset, size), at)
+                if name != bundle:
+                    table, bundle, last = seek_table(f"{folder}/{name}"), name, None
+                if frame != last:
+                    offset, size, _ = table[frame]
+                    data, last = read_frame(f"{folder}/{name}", offset, size), frame
+                head, block, _ = parse(data, at)
                 payload = None if head["warc-type"] == "revisit" else block.partition(b"\r\n\r\n")[2]
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([head["warc-type"]]), pa.array([payload], pa.binary())], names=["id", "record_type", "payload"])
 
-    return index.join(wanted.select("id").distinct(), "id").select("id", "bundle", "frame", "record_offset").mapInArrow(run, "id long, record_type string, payload binary")
+    found = index.join(wanted.select("id").distinct(), "id").select("id", "bundle", "frame", "record_offset")
+    return found.repartition("bundle").sortWithinPartitions("bundle", "frame", "record_offset").mapInArrow(run, "id long, record_type string, payload binary")
 
 
 def archived(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", least: int = 100) -> DataFrame:
