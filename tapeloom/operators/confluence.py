@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +86,31 @@ def common_horizons(configs: list[BacktestConfig]) -> tuple[Horizon, ...]:
     if not configs or any(c.horizons != configs[0].horizons for c in configs):
         raise ValueError("runs to be combined need the same horizons")
     return configs[0].horizons
+
+
+def combined_counters(counters: list[DataFrame], events: DataFrame) -> DataFrame:
+    """Counters of runs that are put together, in their order (one row).
+
+    Each of ``counters`` is a row of ``metrics.run_counters``. Sessions and outlier
+    legs add up, the span of data widens; tokens are those of the first run, since
+    all read the same candles. First and last signal are those of the ``events``.
+    """
+    rows = reduce(DataFrame.unionByName, (c.withColumn("__k", F.lit(k)) for k, c in enumerate(counters)))
+    out = rows.agg(
+        *(F.min_by(c, "__k").alias(c) for c in ("universe", "replayed", "skipped")), F.sum("sessions").alias("sessions"),
+        F.min("data_start").alias("data_start"), F.max("data_end").alias("data_end"), F.sum("outliers").alias("outliers"),
+    )
+    seen = events.agg(F.min("date").alias("first_signal"), F.max("date").alias("last_signal"))
+    return out.join(seen, how="cross")  # one row each
+
+
+def notes(strategies: list[str], opt: ConfluenceOptions, conflicts: int, gap: float | None) -> tuple[str, ...]:
+    """What a report says of a combined run: its rule, entry, cooldown, conflicts and mean gap."""
+    within = f"within {opt.window} sessions" if opt.window > 0 else "in one session"
+    return (
+        f"Rule: {'all' if opt.require_all else 'two or more'} of {', '.join(strategies)} on the same side {within}",
+        "Entry: at the last of the agreeing signals",
+        f"Cooldown: {opt.cooldown} sessions for each token and side",
+        f"Conflicts: {conflicts:,} setups in which a strategy was on the other side only",
+        f"Mean gap: {gap or 0.0:.1f} sessions between the first and the last agreeing signal",
+    )

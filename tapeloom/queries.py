@@ -725,6 +725,14 @@ def confluence_gap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(con.mean_gap(con.confluence(_trades(spark, d, "ichimoku", "hilega"), _TWO)), "mean_gap")
 
 
+@query(_with(_ichimoku_sql(), _ICH_RULES, _HILEGA, _HILEGA_RULES, _confluence_sql(["ichs", "hils"], True), "two as (select token, date, idx, strategy, variant, direction, entry from ichs union all select token, date, idx, strategy, variant, direction, entry from hils)", _fixed_sql("two", cap=5.0), "tn as (select token, count(*) as n, min(date) as f, max(date) as l from b group by token)", f"wu as (select n, f, l, w from tn, (values (110), ({signals.STRATEGIES['hilega'].warmup})) as t(w) where n > w)", f"met as ({_confluence_select()})", select="select (select count(*) from tn) as universe, (select count(*) from tn where n > 110) as replayed, (select count(*) from tn where n <= 110) as skipped, sum(n - w)::bigint as sessions, min(f) as data_start, max(l) as data_end, (select count(*) from leg where outlier) as outliers, (select min(date)::date from met) as first_signal, (select max(date)::date from met) as last_signal from wu"))
+def combined_counters(spark: SparkSession, d: str) -> DataFrame:
+    rows = bars(spark, d)
+    each = [metrics.run_counters(rows, _run(spark, d, n, max_move_pct=5.0), signals.STRATEGIES[n].warmup) for n in ("ichimoku", "hilega")]
+    got = con.combined_counters(each, con.confluence(_trades(spark, d, "ichimoku", "hilega"), _TWO))
+    return got.withColumns({c: F.to_date(c) for c in ("data_start", "data_end", "first_signal", "last_signal")})
+
+
 @query(_with(_ichimoku_sql(), _ICH_RULES, _fixed_sql("ichs"), select="select horizon, count(*) as legs, count(*) filter (where valid) as valid from leg where direction = 'LONG' group by horizon"))
 def filtered_run(spark: SparkSession, d: str) -> DataFrame:
     result = backtest.run(bars(spark, d), signals.STRATEGIES["ichimoku"]).filtered("direction = 'LONG'", "longs only")

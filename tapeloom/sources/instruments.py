@@ -22,6 +22,11 @@ def symbol_cache(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("token is not null and symbol is not null").groupBy("token").agg(F.max_by("symbol", "at").alias("symbol"))
 
 
+def write_symbols(symbols: DataFrame, path: str) -> None:
+    """Write ``(token, symbol)`` as headed CSV in the order of tokens, for ``symbol_cache`` to read."""
+    symbols.select("token", "symbol").orderBy("token").write.mode("overwrite").option("header", True).csv(path)
+
+
 def constituents(spark: SparkSession, path: str, column: str = "Symbol") -> DataFrame:
     """The distinct trimmed values of a CSV's column, found by name in any case; raises where the column or the values lack."""
     rows = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("encoding", "UTF-8").csv(path)

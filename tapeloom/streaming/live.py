@@ -145,6 +145,8 @@ def payloads(signals: DataFrame, symbols: DataFrame) -> DataFrame:
 def alerts(stream: DataFrame, send: Callable[[str], None], checkpoint: str, per_second: float = 2.0, burst: int = 5, attempts: int = 5) -> DataStreamWriter:
     """A writer that posts each row's ``body`` by ``send``, no faster than the limit, trying again after failures.
 
+    An error that carries ``retry_after`` (seconds, from a receiver that limits its
+    senders) is waited for just so long, and a little; other errors ever longer.
     A batch is sent at least once: after a crash it is sent again, so the
     receiver should ignore a body it has seen. Few rows pass the daily
     deduplication; they are streamed to the driver, which alone knows the limit.
@@ -167,9 +169,10 @@ def alerts(stream: DataFrame, send: Callable[[str], None], checkpoint: str, per_
                 try:
                     send(row["body"])
                     break
-                except Exception:
+                except Exception as e:
                     if attempt == attempts - 1:
                         raise
-                    time.sleep(min(2**attempt, 30) * 0.05)
+                    asked = getattr(e, "retry_after", None)
+                    time.sleep(asked + 0.05 if asked and asked > 0 else min(2**attempt, 30) * 0.05)
 
     return stream.writeStream.foreachBatch(post).option("checkpointLocation", checkpoint)

@@ -64,3 +64,16 @@ def test_names(spark):
 def test_needs_two():
     with pytest.raises(ValueError):
         con.confluence(None, ["Alpha"])
+
+
+def test_combined_runs(spark):
+    import datetime as dt
+
+    day = lambda k: dt.datetime(2024, 1, k)
+    kind = "universe long, replayed long, skipped long, sessions long, data_start timestamp, data_end timestamp, outliers long, first_signal timestamp, last_signal timestamp"
+    a = spark.createDataFrame([(9, 7, 2, 100, day(3), day(20), 4, day(4), day(5))], kind)
+    b = spark.createDataFrame([(9, 8, 1, 130, day(2), day(19), 5, day(6), day(7))], kind)
+    events = spark.createDataFrame([(day(10),), (day(12),)], "date timestamp")
+    assert tuple(con.combined_counters([a, b], events).first()) == (9, 7, 2, 230, day(2), day(20), 9, day(10), day(12))
+    lines = con.notes(["A", "B"], ConfluenceOptions(window=0), 1234, None)
+    assert len(lines) == 5 and "in one session" in lines[0] and "1,234" in lines[3] and "0.0" in lines[4]

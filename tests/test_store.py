@@ -78,6 +78,15 @@ def test_symbol_cache(spark, tmp_path):
     assert ins.symbol_cache(spark, str(tmp_path / "none.csv")).count() == 0
 
 
+def test_symbols_written_and_read(spark, tmp_path):
+    rows = [(12, "BBB"), (3, "A&B"), (7, "C C")]
+    ins.write_symbols(spark.createDataFrame(rows, "token long, symbol string"), str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in ins.symbol_cache(spark, str(tmp_path / "c")).collect()) == sorted(rows)
+    parts = sorted((tmp_path / "c").glob("*.csv"))
+    lines = [x for p in parts for x in p.read_text().split("\n") if x and x != "token,symbol"]
+    assert lines == ["3,A&B", "7,C C", "12,BBB"]
+
+
 def test_constituents(spark, tmp_path):
     path = tmp_path / "i.csv"
     path.write_text("﻿Company, SYMBOL ,x\nA, AAA ,1\nB,,2\nC,CCC,3\n", encoding="utf-8")

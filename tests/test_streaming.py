@@ -1,5 +1,8 @@
 import datetime as dt
+import time
+import types
 
+import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.streaming import live
@@ -116,6 +119,38 @@ def test_alerts_try_again(spark, tmp_path):
     assert len(sent) == 2 and sum("AAA" in b for b in sent) == 2 - sum("UNKNOWN" in b for b in sent) == 1
 
 
+def test_alerts_wait_as_long_as_asked(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "signals")
+    spark.createDataFrame([("x",)], "body string").write.parquet(path)
+    sent, slept = [], []
+
+    class Limited(Exception):
+        retry_after = 0.4
+
+    def send(body):
+        if not slept:
+            raise Limited
+        sent.append(body)
+
+    monkeypatch.setattr(live, "time", types.SimpleNamespace(sleep=slept.append, monotonic=time.monotonic))
+    batch = spark.read.parquet(path)
+    post = {}
+
+    class Writer:
+        def foreachBatch(self, f):
+            post["f"] = f
+            return self
+
+        def option(self, *_):
+            return self
+
+    class Stream:
+        writeStream = Writer()
+
+    live.alerts(Stream(), send, str(tmp_path / "c"))
+    post["f"](batch, 0)
+    assert sent == ["x"] and slept == [pytest.approx(0.45)]
+
 
 def test_formats(spark):
     from tapeloom.functions import formats as fm
