@@ -31,4 +31,19 @@ b as (select doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\
 f as (select *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (100 * n_symbols > 20 * n_words)::bigint + 8 * (100 * n_bangs > 50 * n_words)::bigint
              + 16 * (100 * n_dup_lines > 60 * n_lines)::bigint + 32 * (2 * n_words > word_chars)::bigint + 64 * (word_chars > 25 * n_words)::bigint as fail_bits from b)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) != 0 as base_failed, fail_bits = 0 as kept, fail_bits from f""",
+    "op13_phrases": r"""
+with d as (select row_number() over () as d, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, list_filter(string_split_regex(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x != '') as w from d),
+g as (select lang, w, unnest(generate_series(1, len(w))) as i from p where len(w) > 0),
+f as (select lang, phrase, k, count(*)::bigint as f from (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from (select *, unnest([1, 2, 3]) as k from g) where i + k - 1 <= len(w)) group by all),
+n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as (select lang, phrase, k, f as a, string_split(phrase, ' ') as w from f where k >= 2 and f >= 10),
+x as (select lang, phrase, k, a, j, array_to_string(w[1:j], ' ') as first, array_to_string(w[j + 1 :], ' ') as rest from (select *, unnest(generate_series(1, k - 1)) as j from c)),
+y as (select x.*, u.f as l, v.f as r, ((1000000::hugeint * a * a) // (u.f::hugeint * v.f))::bigint as score from x join f u on u.lang = x.lang and u.phrase = x.first join f v on v.lang = x.lang and v.phrase = x.rest),
+s as (select * from y qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+m as (select lang, phrase, max(a) as longer from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from c where k = 3) group by all),
+e as (select s.* from s left join m on m.lang = s.lang and m.phrase = s.phrase and s.k = 2 where longer is null or 100 * longer < 50 * a),
+q as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from e)
+select q.lang, rank::bigint as rank, phrase, a, l, r, n, score from q join n using (lang) where rank <= 2000""",
 }
