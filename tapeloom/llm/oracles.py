@@ -31,6 +31,22 @@ b as (select doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\
 f as (select *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (100 * n_symbols > 20 * n_words)::bigint + 8 * (100 * n_bangs > 50 * n_words)::bigint
              + 16 * (100 * n_dup_lines > 60 * n_lines)::bigint + 32 * (2 * n_words > word_chars)::bigint + 64 * (word_chars > 25 * n_words)::bigint as fail_bits from b)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) != 0 as base_failed, fail_bits = 0 as kept, fail_bits from f""",
+    "op11_trie": r"""
+with o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p from conversations where conv_id is not null),
+b as (select distinct conv_id, flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])) as s from o),
+c as (select conv_id, conv_id - conv_id % 5 as base, xor(list_reduce(list_concat([4294967295], s), lambda acc, x: case when x >= 0 then xor(acc, x) else xor(acc >> 1, 3988292384 * (acc & 1)) end), 4294967295) % 9 as h from b),
+n as (select conv_id, count(*) as n from o group by conv_id),
+r as (select c.conv_id, o.p as d, role, text from c join o on o.conv_id = c.base where o.p <= h
+      union all select c.conv_id, least(h, coalesce(n.n, 0)) + o.p - h, role, text from c join o using (conv_id) left join n on n.conv_id = c.base where o.p > h),
+l as (select conv_id, array_agg({'r': role, 't': text} order by d) as path from r group by conv_id),
+f as (select conv_id, coalesce(path, []) as path from c left join l using (conv_id)),
+x as (select conv_id, len(path) as n, d, path[1:d] as path from (select *, unnest(generate_series(0, len(path))) as d from f)),
+v as (select path, d, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '') as ends from x group by path, d),
+k as (select path[1 : d - 1] as path, count(*) as n_children from v where d > 0 group by 1),
+w as (select v.*, coalesce(n_children, 0) as n_children, case when v.d = 0 then 0 else (n_convs - 1) * octet_length(encode(v.path[v.d].t)) end as own from v left join k using (path)),
+s as (select path[1:i] as path, sum((n_children = 0)::bigint)::bigint as n_leaves, sum(own)::bigint as saved_tokens from (select *, unnest(generate_series(0, d)) as i from w) group by 1)
+select w.conv_id, w.d::bigint as depth, u.conv_id::double as parent_conv_id, w.n_convs::bigint as n_convs, w.n_children::bigint as n_children, s.n_leaves, s.saved_tokens, sha256(w.ends) as ends_sha256
+from w join s using (path) left join v u on w.d > 0 and u.d = w.d - 1 and u.path = w.path[1 : w.d - 1]""",
     "op13_phrases": r"""
 with d as (select row_number() over () as d, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 p as (select lang, list_filter(string_split_regex(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x != '') as w from d),
