@@ -33,7 +33,7 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else 0xFF if c in b".,;:!?\x0a\x0b\x0c\x0
 class _Counts:
     """N-grams of one to three words, counted over many texts as words' numbers."""
 
-    def __init__(self, most_words: int = 1 << 19, most_held: int = 3_000_000) -> None:
+    def __init__(self, most_words: int = 1 << 18, most_held: int = 1_500_000) -> None:
         self.most_words, self.most_held = most_words, most_held
         self.clear()
 
