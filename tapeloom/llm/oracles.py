@@ -47,6 +47,19 @@ w as (select v.*, coalesce(n_children, 0) as n_children, case when v.d = 0 then
 s as (select path[1:i] as path, sum((n_children = 0)::bigint)::bigint as n_leaves, sum(own)::bigint as saved_tokens from (select *, unnest(generate_series(0, d)) as i from w) group by 1)
 select w.conv_id, w.d::bigint as depth, u.conv_id::double as parent_conv_id, w.n_convs::bigint as n_convs, w.n_children::bigint as n_children, s.n_leaves, s.saved_tokens, sha256(w.ends) as ends_sha256
 from w join s using (path) left join v u on w.d > 0 and u.d = w.d - 1 and u.path = w.path[1 : w.d - 1]""",
+    "op12_suffixes": r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+g as (select doc_id, x, len(x) // 2 as n from d),
+w as (select doc_id, unnest(generate_series(0, n - 200)) as i, x from g where n >= 200),
+h as (select doc_id, i, md5_number(substring(x, 2 * i + 1, 400)) as h from w),
+c as (select h from h group by h having count(*) > 1),
+r as (select doc_id, i from h where h in (select h from c)),
+a as (select *, i > max(i + 200) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as s from r),
+b as (select *, count(*) filter (s is null or s) over (partition by doc_id order by i rows unbounded preceding) as k from a),
+m as (select doc_id, min(i) as a, max(i) + 200 as b from b group by doc_id, k),
+o as (select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as last, row_number() over (partition by doc_id order by a desc) = 1 as final from m),
+k as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed, string_agg(substring(x, 2 * last + 1, 2 * (a - last)), '' order by a) || max(case when final then substring(x, 2 * b + 1) end) as kept from o join g using (doc_id) group by doc_id)
+select g.doc_id, g.n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, x))) as kept_sha256 from g left join k using (doc_id)""",
     "op13_phrases": r"""
 with d as (select row_number() over () as d, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 p as (select lang, list_filter(string_split_regex(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x != '') as w from d),

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, languages, packing, phrases, pieces, quality_model, quality_rules, sharding, simhash, substrings, tries, warc
+from . import fingerprints, languages, packing, phrases, pieces, quality_model, quality_rules, sharding, simhash, substrings, suffixes, tries, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +67,15 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.rebuilt_trie(table(spark, sf_dir, "conversations")).drop("pre", "end")
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffixes.without_repeats(table(spark, sf_dir, "documents"), least=200)
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=10, percent=50, most=2000)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_warc, op3_fingerprints, op4_pieces, op5_quality_model, op6_substrings, op7_packing, op8_quality_rules, op9_languages, op10_sharding, op11_trie, op13_phrases)
+    found = (op1_simhash, op2_warc, op3_fingerprints, op4_pieces, op5_quality_model, op6_substrings, op7_packing, op8_quality_rules, op9_languages, op10_sharding, op11_trie, op12_suffixes, op13_phrases)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
