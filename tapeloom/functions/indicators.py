@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from . import recurrences as rec
+
 
 def by_bar() -> WindowSpec:
     """A token's bars by date. All row frames share this order, so Catalyst plans them as one window operator."""
@@ -45,10 +43,6 @@ def wma(period: int, value: str = "close") -> Column:
     return terms / (period * (period + 1) / 2)
 
 
-def rsi_of(gain: Column, loss: Column) -> Column:
-    return F.when(loss == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + gain / loss))
-
-
 #: Ichimoku lines by name: midpoints of closed-market frames (rows back from the bar).
 MIDPOINTS: dict[str, tuple[int, int]] = {
     "conversion": (-8, 0),
@@ -84,152 +78,55 @@ def ichimoku_clouds(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"cloud_{e}{s}": f(f"span_a{s}", f"span_b{s}") for e, f in (("top", F.greatest), ("bottom", F.least)) for s in ("", "_52")})
 
 
-# The recurrences below are loops on purpose. They feed comparisons with equal
-# and nearly equal readings, so each step keeps one order of operations; a closed
-# form or another smoothing routine rounds differently. A group is one token's
-# history, thousands of bars at most.
+def _scanned(candles: DataFrame, start: Column, step: rec.Step) -> DataFrame:
+    """Every bar with the state ``s`` after it.
 
+    A token's bars are gathered once, in order of date (its sessions bound them),
+    and folded; the bars ride along, so that nothing is joined back.
+    """
+    rest = [c for c in candles.columns if c not in ("token", "date")]
+    rows = candles.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("date", *rest))).alias("b"))
+    rows = rows.select("token", F.explode(F.arrays_zip("b", rec.scan(F.col("b"), start, step).alias("s"))).alias("x"))
+    return rows.select(*(F.col(c) if c == "token" else F.col(f"x.b.{c}").alias(c) for c in candles.columns), F.col("x.s").alias("s"))
 
-def _averages(prices: np.ndarray, period: int) -> tuple[list[float], list[float]]:
-    """Wilder averages of gains and losses, from the ``period``-th change on."""
-    change = np.diff(prices)
-    gains, losses = np.where(change > 0, change, 0.0).tolist(), np.where(change > 0, 0.0, -change).tolist()
-    if period < 1 or len(gains) < period:
-        return [], []
-    g = l = 0.0  # noqa: E741
-    for k in range(period):
-        g += gains[k]
-        l += losses[k]  # noqa: E741
-    g, l = g / period, l / period  # noqa: E741
-    up, down = [g], [l]
-    for k in range(period, len(gains)):
-        g = (g * (period - 1) + gains[k]) / period
-        l = (l * (period - 1) + losses[k]) / period  # noqa: E741
-        up.append(g), down.append(l)
-    return up, down
-
-
-def _rsi(g: float, l: float) -> float:  # noqa: E741
-    return 100.0 if l == 0 else 100.0 - 100.0 / (1.0 + g / l)
-
-
-def rsi_values(prices: Sequence[float], period: int) -> np.ndarray:
-    """Wilder's RSI of each price, NaN where it isn't defined."""
-    p = np.asarray(prices, float)
-    out = np.full(len(p), np.nan)
-    up, down = _averages(p, period)
-    if up:
-        out[period:] = [_rsi(g, l) for g, l in zip(up, down, strict=True)]  # noqa: E741
-    return out
-
-
-def ema_values(values: Sequence[float], period: int) -> np.ndarray:
-    """The exponential average, seeded with the mean of the first ``period`` values; leading NaNs are skipped."""
-    v = np.asarray(values, float)
-    out = np.full(len(v), np.nan)
-    start = int(np.argmax(~np.isnan(v))) if (~np.isnan(v)).any() else len(v)
-    own = v[start:].tolist()
-    if period < 1 or len(own) < period:
-        return out
-    prev, k = 0.0, 2.0 / (period + 1.0)
-    for x in own[:period]:
-        prev += x
-    prev /= period
-    got = [prev]
-    for x in own[period:]:
-        prev = x * k + prev * (1 - k)
-        got.append(prev)
-    out[start + period - 1 :] = got
-    return out
-
-
-def wma_values(values: Sequence[float], period: int) -> np.ndarray:
-    """The linearly weighted average, newest weight ``period``; leading NaNs are skipped."""
-    v = np.asarray(values, float)
-    out = np.full(len(v), np.nan)
-    start = int(np.argmax(~np.isnan(v))) if (~np.isnan(v)).any() else len(v)
-    n = len(v) - start - period + 1
-    if period < 1 or n < 1:
-        return out
-    num = np.zeros(n)
-    for k in range(period):
-        num += v[start + k : start + k + n] * (k + 1)
-    out[start + period - 1 :] = num / (period * (period + 1) / 2)
-    return out
 
+def with_hilega(candles: DataFrame, rsi: int = 9, ema: int = 3, weighted: int = 21, state: bool = False) -> DataFrame:
+    """Add ``rsi``, ``ema`` and ``wma`` (both of the RSI), null where not defined; with ``state`` also the recurrences' ``day_state`` and ``ema_state``."""
 
-def bucket_rsi_values(closes: Sequence[float], buckets: Sequence, period: int) -> np.ndarray:
-    """RSI of a coarser timeframe at every bar: completed buckets' last closes, then the bar's own close.
+    def step(s: Column, x: Column) -> Column:
+        now = rec.wilder(s["day"], x["close"], rsi)
+        return F.struct(now.alias("day"), rec.exponential(s["ema"], rec.rsi(now, rsi), ema).alias("ema"))
 
-    One pass: the averages after each completed bucket are kept, and a bar takes
-    one provisional step from those before its own bucket (or completes the seed).
-    """
-    c = np.asarray(closes, float)
-    out = np.full(len(c), np.nan)
-    if not len(c) or period < 1:
-        return out
-    b = np.asarray(buckets)
-    new = np.concatenate(([True], b[1:] != b[:-1]))
-    number = np.cumsum(new) - 1
-    last = c[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(c) - 1]))]
-    change = np.diff(last)
-    gains, losses = np.where(change > 0, change, 0.0).tolist(), np.where(change > 0, 0.0, -change).tolist()
-    up, down = _averages(last, period)
-    for i in range(len(c)):
-        k = int(number[i])  # completed buckets
-        if k < period:
-            continue
-        d = float(c[i] - last[k - 1])
-        gain, loss = (d, 0.0) if d > 0 else (0.0, -d)
-        if k == period:
-            g = l = 0.0  # noqa: E741
-            for j in range(period - 1):
-                g += gains[j]
-                l += losses[j]  # noqa: E741
-            g, l = (g + gain) / period, (l + loss) / period  # noqa: E741
-        else:
-            g = (up[k - 1 - period] * (period - 1) + gain) / period
-            l = (down[k - 1 - period] * (period - 1) + loss) / period  # noqa: E741
-        out[i] = _rsi(g, l)
-    return out
-
-
-def _per_token(candles: DataFrame, extra: str, add) -> DataFrame:
-    names = candles.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable").reset_index(drop=True)
-        out = pdf[names].assign(**add(pdf))
-        return out
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candles.schema)
-    got = candles.groupBy("token").applyInPandas(run, f"{fields}, {extra}")
-    new = [x.split()[0] for x in extra.split(", ")]
-    return got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in new})
-
-
-def with_hilega(candles: DataFrame, rsi: int = 9, ema: int = 3, wma: int = 21) -> DataFrame:
-    """Add ``rsi``, ``ema`` and ``wma`` (both of the RSI), null where not defined. One grouped pass."""
-
-    def add(pdf: pd.DataFrame) -> dict:
-        r = rsi_values(pdf["close"], rsi)
-        return {"rsi": r, "ema": ema_values(r, ema), "wma": wma_values(r, wma)}
-
-    return _per_token(candles, "rsi double, ema double, wma double", add)
-
-
-def with_mtf_rsi(candles: DataFrame, period: int = 14) -> DataFrame:
-    """Add ``rsi``, ``rsi_weekly`` and ``rsi_monthly`` at every bar, null where not defined.
-
-    Weeks are ISO weeks and months calendar months of the stored (UTC) date.
+    rows = _scanned(candles, F.struct(rec.no_prices().alias("day"), rec.no_values().alias("ema")), step)
+    rows = rows.select(*candles.columns, rec.rsi(F.col("s.day"), rsi).alias("rsi"), rec.average_of(F.col("s.ema"), ema).alias("ema"), *([F.col("s.day").alias("day_state"), F.col("s.ema").alias("ema_state")] if state else []))
+    return rows.withColumn("wma", wma(weighted, "rsi"))
+
+
+def week_of(date: Column) -> Column:
+    """The ISO week's first day."""
+    return F.trunc(date, "week")
+
+
+def month_of(date: Column) -> Column:
+    return F.trunc(date, "month")
+
+
+def with_mtf_rsi(candles: DataFrame, period: int = 14, state: bool = False) -> DataFrame:
+    """Add ``rsi``, ``rsi_weekly`` and ``rsi_monthly`` at every bar, null where not defined; with ``state`` also ``day_state``, ``week_state`` and ``month_state``.
+
+    The coarser two are of the last closes of completed buckets, then the bar's
+    own close. Weeks are ISO weeks and months calendar months of the stored (UTC)
+    date. The averages after each completed bucket are kept, and a bar takes one
+    provisional step from those before its own bucket.
     """
+    buckets = {"week": week_of, "month": month_of}
 
-    def add(pdf: pd.DataFrame) -> dict:
-        days = pdf["date"].to_numpy("datetime64[D]").astype(np.int64)
-        weeks, months = (days + 3) // 7, pdf["date"].to_numpy("datetime64[M]").astype(np.int64)
-        return {"rsi": rsi_values(pdf["close"], period), "rsi_weekly": bucket_rsi_values(pdf["close"], weeks, period), "rsi_monthly": bucket_rsi_values(pdf["close"], months, period)}
+    def step(s: Column, x: Column) -> Column:
+        return F.struct(rec.wilder(s["day"], x["close"], period).alias("day"), *(rec.bucketed(s[k], x["close"], f(x["date"]), period).alias(k) for k, f in buckets.items()))
 
-    return _per_token(candles, "rsi double, rsi_weekly double, rsi_monthly double", add)
+    rows = _scanned(candles, F.struct(rec.no_prices().alias("day"), *(rec.no_buckets("date").alias(k) for k in buckets)), step)
+    coarse = [rec.rsi(rec.wilder(F.col(f"s.{k}.done"), F.col("close"), period), period).alias(f"rsi_{k}ly") for k in buckets]
+    return rows.select(*candles.columns, rec.rsi(F.col("s.day"), period).alias("rsi"), *coarse, *([F.col(f"s.{k}").alias(f"{k}_state") for k in ("day", *buckets)] if state else []))
 
 
 def resampled(candles: DataFrame, unit: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 
+import loops
 import numpy as np
 import pytest
 
@@ -25,9 +26,9 @@ def test_sma(spark):
 
 
 def test_wma_ema():
-    assert ind.wma_values([1, 2, 3, 4], 3)[2:].tolist() == [14 / 6, 20 / 6]
-    assert ind.ema_values([10, 20, 30, 40, 50], 3)[2:].tolist() == [20, 30, 40]
-    assert np.isnan(ind.ema_values([1, 2], 3)).all() and np.isnan(ind.wma_values([], 3)).all()
+    assert loops.wma_values([1, 2, 3, 4], 3)[2:].tolist() == [14 / 6, 20 / 6]
+    assert loops.ema_values([10, 20, 30, 40, 50], 3)[2:].tolist() == [20, 30, 40]
+    assert np.isnan(loops.ema_values([1, 2], 3)).all() and np.isnan(loops.wma_values([], 3)).all()
 
 
 def test_wma_column(spark):
@@ -36,25 +37,25 @@ def test_wma_column(spark):
 
 
 def test_rsi_edges():
-    assert ind.rsi_values(range(1, 16), 14)[-1] == 100
-    assert ind.rsi_values(range(15, 0, -1), 14)[-1] == 0
-    assert np.isnan(ind.rsi_values(range(14), 14)).all()
-    assert ind.rsi_values([5] * 15, 14)[-1] == 100  # flat
+    assert loops.rsi_values(range(1, 16), 14)[-1] == 100
+    assert loops.rsi_values(range(15, 0, -1), 14)[-1] == 0
+    assert np.isnan(loops.rsi_values(range(14), 14)).all()
+    assert loops.rsi_values([5] * 15, 14)[-1] == 100  # flat
 
 
 def test_rsi_worked_example():
     closes = [44.3389, 44.0902, 44.1497, 43.6124, 44.3278, 44.8264, 45.0955, 45.4245, 45.8433, 46.0826, 45.8931, 46.0328, 45.6140, 46.2820, 46.2820]
-    assert abs(ind.rsi_values(closes, 14)[-1] - 70.53) < 0.1
+    assert abs(loops.rsi_values(closes, 14)[-1] - 70.53) < 0.1
 
 
 def test_bucket_rsi_equals_recomputation():
     rng = np.random.default_rng(3)
     c = 500 + np.cumsum(rng.integers(-5, 6, 300)).astype(float)
     buckets = np.arange(300) // 7
-    got = ind.bucket_rsi_values(c, buckets, 14)
+    got = loops.bucket_rsi_values(c, buckets, 14)
     for i in range(0, 300, 11):
         closes = [c[j] for j in range(i + 1) if j == i or buckets[j] != buckets[j + 1]]
-        want = ind.rsi_values(closes, 14)[-1]
+        want = loops.rsi_values(closes, 14)[-1]
         assert (math.isnan(want) and math.isnan(got[i])) or abs(want - got[i]) < 1e-9
 
 
@@ -70,6 +71,50 @@ def test_iso_year_boundary(spark):
     assert [r["close"] for r in ind.resampled(rows, "week").orderBy("bucket").collect()] == [55.0, 60.0]
 
 
+def walks(spark):
+    """Walks of several lengths with flat stretches, and the closes by token."""
+    import datetime as dt
+
+    rng = np.random.default_rng(8)
+    closes = {t: (500 + np.cumsum(rng.integers(-4, 5, n) * rng.integers(0, 2, n) * 0.35)).tolist() for t, n in enumerate((700, 430, 131, 64, 22, 15, 14, 9, 1))}
+    days = {t: sorted(rng.choice(900, len(c), replace=False).tolist()) for t, c in closes.items()}
+    rows = [(t, dt.datetime(2020, 12, 20) + dt.timedelta(days=i), x, x, x, x, 1) for t, c in closes.items() for i, x in zip(days[t], c, strict=True)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "token long, date timestamp, open double, high double, low double, close double, volume long").repartition(3), closes, days
+
+
+def by_token(df, *names):
+    out = {}
+    for r in df.orderBy("date").collect():
+        for c in names:
+            out.setdefault((r["token"], c), []).append(r[c])
+    return out
+
+
+def plain(values):
+    return [None if math.isnan(v) else float(v) for v in values]
+
+
+def test_recurrences_equal_loops_to_the_last_bit(spark):
+    df, closes, days = walks(spark)
+    got = by_token(ind.with_hilega(df), "rsi", "ema", "wma")
+    for t, c in closes.items():
+        r = loops.rsi_values(c, 9)
+        assert got[t, "rsi"] == plain(r) and got[t, "ema"] == plain(loops.ema_values(r, 3)) and got[t, "wma"] == plain(loops.wma_values(r, 21))
+    got = by_token(ind.with_mtf_rsi(df, 5), "rsi", "rsi_weekly", "rsi_monthly")
+    start = np.datetime64("2020-12-20")
+    for t, c in closes.items():
+        d = start + np.array(days[t], "timedelta64[D]")
+        assert got[t, "rsi"] == plain(loops.rsi_values(c, 5))
+        assert got[t, "rsi_weekly"] == plain(loops.bucket_rsi_values(c, (d.astype(np.int64) + 3) // 7, 5))
+        assert got[t, "rsi_monthly"] == plain(loops.bucket_rsi_values(c, d.astype("datetime64[M]").astype(np.int64), 5))
+
+
+def test_no_candles(spark):
+    df = bars(spark, [1.0]).where("false")
+    assert ind.with_hilega(df).collect() == [] and ind.with_mtf_rsi(df).collect() == []
+
+
 def test_bands_are_disjoint_and_bounded(spark):
     from pyspark.sql import functions as F
 
