@@ -65,14 +65,18 @@ def turned_up(prev: Column, now: Column, band: Band) -> Column:
     return prev.between(band.low, band.high) & (now > prev) & (now > band.level)
 
 
+def gfs_variant(prev: Column, rsi: Column, weekly: Column, monthly: Column, mtf_level: float = 60.0) -> Column:
+    """The turn-up that a bar makes, confirmed by both coarser readings, or null."""
+    confirmed = (weekly > mtf_level) & (monthly > mtf_level)
+    return F.when(turned_up(prev, rsi, ADVANCED_GFS) & confirmed, "RSI (Advanced GFS)").when(turned_up(prev, rsi, GFS) & confirmed, "RSI (GFS)")
+
+
 def gfs_rules(period: int = 14, mtf_level: float = 60.0) -> Callable[[DataFrame], DataFrame]:
     """A daily RSI turn-up, confirmed by weekly and monthly RSI above ``mtf_level``."""
 
     def rules(candles: DataFrame) -> DataFrame:
         rows = with_mtf_rsi(candles, period).withColumns({"idx": session_index(), "prev_rsi": F.lag("rsi", 1).over(by_bar())})
-        confirmed = (F.col("rsi_weekly") > mtf_level) & (F.col("rsi_monthly") > mtf_level)
-        variant = F.when(turned_up(F.col("prev_rsi"), F.col("rsi"), ADVANCED_GFS) & confirmed, "RSI (Advanced GFS)").when(turned_up(F.col("prev_rsi"), F.col("rsi"), GFS) & confirmed, "RSI (GFS)")
-        return rows.withColumn("variant", variant)
+        return rows.withColumn("variant", gfs_variant(F.col("prev_rsi"), F.col("rsi"), F.col("rsi_weekly"), F.col("rsi_monthly"), mtf_level))
 
     return rules
 
@@ -84,16 +88,19 @@ def tier(rsi: Column, ema: Column, wma: Column, prev_wma: Column, buy: float = 5
     return F.when(up & (wma > mid), "BUY-2").when(up, "BUY-1").when(down & (wma < mid), "SELL-2").when(down, "SELL-1")
 
 
+def hilega_variant(tier: Column, before: Column, past_wma: Column, long_only: bool = False) -> Column:
+    """A signal where the tier is one and differs from the bar before, whose own weighted average had one before it (``past_wma``)."""
+    edge = tier.isNotNull() & ~tier.eqNullSafe(before) & past_wma.isNotNull()
+    return F.when(edge & tier.startswith("BUY") if long_only else edge, F.format_string("HilegaMilega (%s)", tier))
+
+
 def hilega_rules(long_only: bool = False) -> Callable[[DataFrame], DataFrame]:
     """A signal where the tier is one and differs from the bar before; ``long_only`` drops selling tiers after that test."""
 
     def rules(candles: DataFrame) -> DataFrame:
         rows = with_hilega(candles).withColumns({"idx": session_index(), "__w": F.lag("wma", 1).over(by_bar()), "__w2": F.lag("wma", 2).over(by_bar())})
         rows = rows.withColumn("tier", tier(F.col("rsi"), F.col("ema"), F.col("wma"), F.col("__w")))
-        edge = F.col("tier").isNotNull() & ~F.col("tier").eqNullSafe(F.lag("tier", 1).over(by_bar())) & F.col("__w2").isNotNull()
-        if long_only:
-            edge = edge & F.col("tier").startswith("BUY")
-        return rows.withColumn("variant", F.when(edge, F.format_string("HilegaMilega (%s)", F.col("tier")))).drop("__w", "__w2")
+        return rows.withColumn("variant", hilega_variant(F.col("tier"), F.lag("tier", 1).over(by_bar()), F.col("__w2"), long_only)).drop("__w", "__w2")
 
     return rules
 

@@ -471,8 +471,46 @@ def live_session_signals(spark: SparkSession, d: str) -> DataFrame:
 def live_signals(spark: SparkSession, d: str) -> DataFrame:
     """Running bars against the lines of the closed ones: the bar after each token's cut is the running one."""
     rows = bars(spark, d)
-    running = rows.withColumn("idx", ind.session_index()).where("idx = 180 + token * 97 % 300 + 1").withColumnRenamed("date", "ts").drop("idx")
-    return live.live_signals(running, live.closed_lines(_cut(rows))).select("token", F.to_date("ts").alias("date"), "variant", "direction", "entry_price")
+    running = _running(rows).where("idx = 180 + token * 97 % 300 + 1").drop("idx")
+    return _live(live.live_signals(running, live.closed_states(_cut(rows), ["ichimoku"])))
+
+
+def _running(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"idx": ind.session_index(), "day": F.to_date("date")}).withColumnRenamed("date", "ts")
+
+
+def _live(df: DataFrame) -> DataFrame:
+    return df.select("token", F.to_date("ts").alias("date"), "variant", "direction", "entry_price")
+
+
+def _every_running_bar(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """Each bar as the running one, against what the bars before it carry on."""
+    rows = bars(spark, d)
+    return _live(live.live_signals(_running(rows), live.closed_states(rows, list(names), every=True), on=("token", "idx")))
+
+
+_LIVE_SELECT = "select token, date, variant, direction, entry as entry_price from "
+
+
+@query(_with(_MTF, _gfs_rules(60), select=_LIVE_SELECT + "gfss"))
+def live_rsi_signals(spark: SparkSession, d: str) -> DataFrame:
+    return _every_running_bar(spark, d, "rsi")
+
+
+@query(_with(_HILEGA, _HILEGA_RULES, select=_LIVE_SELECT + "hils"))
+def live_hilega_signals(spark: SparkSession, d: str) -> DataFrame:
+    return _every_running_bar(spark, d, "hilega")
+
+
+@query(_with(_HILEGA, _HILEGA_RULES, select=_LIVE_SELECT + "hils where direction = 'LONG'"))
+def live_hilega_long_signals(spark: SparkSession, d: str) -> DataFrame:
+    return _every_running_bar(spark, d, "hilega-long")
+
+
+@query(_with(_ichimoku_sql(ind.LIVE_MIDPOINTS), _ICH_RULES, _HILEGA, _HILEGA_RULES, _MTF, _gfs_rules(60), select=_LIVE_SELECT + "ichs union all " + _LIVE_SELECT + "hils union all " + _LIVE_SELECT + "gfss"))
+def live_all_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Every strategy on every running bar, in one pass over the bars."""
+    return _every_running_bar(spark, d, "ichimoku", "rsi", "hilega")
 
 
 @query(_with(select="select token, count(*) as bars, max(date) as latest from b where date < date '1998-06-01' group by token"))

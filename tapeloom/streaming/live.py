@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,9 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.formats import alert_payload
-from ..functions.indicators import LIVE_MIDPOINTS, by_bar, frame, ichimoku_clouds, session_index
-from ..operators.signals import STRATEGIES, direction, ichimoku_variant
+from ..functions import recurrences as rec
+from ..functions.indicators import LIVE_MIDPOINTS, by_bar, frame, ichimoku_clouds, month_of, session_index, week_of, with_hilega, with_mtf_rsi
+from ..operators.signals import STRATEGIES, direction, gfs_variant, hilega_variant, ichimoku_variant, tier
 
 ZONE = "Asia/Kolkata"
 
@@ -102,38 +104,118 @@ def first_of_day(signals: DataFrame, zone: str = ZONE, late: str | None = None)
     return rows.groupBy("strategy", "token", "day").applyInPandasWithState(run, schema, "passed boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def closed_lines(candles: DataFrame) -> DataFrame:
+def _last_bars(rows: DataFrame, every: bool) -> DataFrame:
+    """Each token's last bar (or ``every`` one), with ``idx`` of the bar that comes next."""
+    last = F.max("date").over(by_bar().rowsBetween(0, 1)) == F.col("date")  # no bar follows
+    rows = rows.withColumns({"__last": last, "idx": session_index() + 1})
+    return (rows if every else rows.where("__last")).drop("__last")
+
+
+def closed_lines(candles: DataFrame, every: bool = False) -> DataFrame:
     """What each token's closed bars say of its next bar: one row a token.
 
     The frames of the live session reach the running bar or end before it; each
     is taken here as far as closed bars go, as its highest high and lowest low.
+    With ``every``, a row for each bar as if it were the last one.
     """
-    last = F.max("date").over(by_bar().rowsBetween(0, 1)) == F.col("date")  # no bar follows
     ends = {}
     for name, (first, to) in LIVE_MIDPOINTS.items():
         f = frame(first + 1, min(to + 1, 0))
         ends |= {f"{name}_hi": F.max("high").over(f), f"{name}_lo": F.min("low").over(f)}
     ends |= {f"{c}_{n}": F.lag(c, n - 1).over(by_bar()) for c in ("high", "low") for n in (26, 27)}
-    rows = candles.withColumns(ends | {"__last": last, "idx": session_index() + 1, "prev_close": F.col("close")})
-    return rows.where("__last").select("token", "idx", "prev_close", *ends)
+    rows = candles.withColumns(ends | {"prev_close": F.col("close")})
+    return _last_bars(rows, every).select("token", "idx", "prev_close", *ends)
+
 
+def closed_rsi(candles: DataFrame, period: int = 14, every: bool = False) -> DataFrame:
+    """The RSI's recurrences after each token's closed bars, by day, week and month, and the last bar's RSI: one row a token (or bar)."""
+    rows = _last_bars(with_mtf_rsi(candles, period, state=True), every)
+    return rows.select("token", "idx", F.col("rsi").alias("prev_rsi"), "day_state", "week_state", "month_state")
 
-def live_signals(bars: DataFrame, lines: DataFrame) -> DataFrame:
-    """Ichimoku signals of running bars (``token, ts, open, high, low, close``), each row evaluated by itself.
 
-    ``lines`` comes from ``closed_lines``, computed once after the market closes;
-    on a stream of ``snapshots`` this is a stream-static join with a row for each
-    token and column rules, so that every tick is evaluated without state.
-    Feed the result to ``first_of_day``.
+def closed_hilega(candles: DataFrame, rsi: int = 9, ema: int = 3, weighted: int = 21, every: bool = False) -> DataFrame:
+    """What carries the Hilega lines on: the recurrences, the last RSIs that the next weighted average needs, the last two averages and the last tier.
+
+    One row a token (or bar).
     """
-    strategy = STRATEGIES["ichimoku"]
-    rows = bars.join(lines, "token").where(F.col("idx") >= strategy.warmup)
+    rows = with_hilega(candles, rsi, ema, weighted, state=True).withColumn("prev_wma", F.lag("wma", 1).over(by_bar()))
+    recent = F.collect_list("rsi").over(frame(2 - weighted, 0))
+    rows = _last_bars(rows.withColumns({"recent": recent, "was": tier(F.col("rsi"), F.col("ema"), F.col("wma"), F.col("prev_wma"))}), every)
+    return rows.select("token", "idx", "recent", "wma", "prev_wma", F.col("was").alias("tier_before"), F.col("day_state").alias("rsi_state"), "ema_state")
+
+
+def _ichimoku_now(rows: DataFrame) -> DataFrame:
     mids = {}
     for name, (_, to) in LIVE_MIDPOINTS.items():
         hi, lo = F.col(f"{name}_hi"), F.col(f"{name}_lo")
         mids[name] = (F.greatest(hi, "high") + F.least(lo, "low")) / 2 if to == 0 else (hi + lo) / 2
-    rows = ichimoku_clouds(rows.withColumns(mids)).withColumn("variant", ichimoku_variant()).where("variant is not null")
-    return rows.select(F.lit(strategy.name).alias("strategy"), "token", "ts", "variant", direction(F.col("variant")).alias("direction"), F.col("close").alias("entry_price"))
+    return ichimoku_clouds(rows.withColumns(mids)).withColumn("variant", ichimoku_variant())
+
+
+def _rsi_now(rows: DataFrame, period: int = 14, mtf_level: float = 60.0) -> DataFrame:
+    """One provisional step of each recurrence; a bar that opens a week or month first completes the one before."""
+    price = F.col("close")
+    rows = rows.withColumns({"__week": rec.finished(F.col("week_state"), week_of(F.col("day")), period), "__month": rec.finished(F.col("month_state"), month_of(F.col("day")), period)})
+    now = {"rsi": "day_state", "rsi_weekly": "__week", "rsi_monthly": "__month"}
+    rows = rows.withColumns({name: rec.rsi(rec.wilder(F.col(state), price, period), period) for name, state in now.items()})
+    return rows.withColumn("variant", gfs_variant(F.col("prev_rsi"), F.col("rsi"), F.col("rsi_weekly"), F.col("rsi_monthly"), mtf_level)).drop("__week", "__month")
+
+
+def _hilega_now(rows: DataFrame, rsi: int = 9, ema: int = 3, weighted: int = 21, long_only: bool = False) -> DataFrame:
+    """The lines one bar on: the recurrences take a step, and the weighted average of the carried RSIs and the new one moves up."""
+    rows = rows.withColumn("rsi", rec.rsi(rec.wilder(F.col("rsi_state"), F.col("close"), rsi), rsi))
+    terms = None
+    for k in range(weighted):
+        term = (F.col("rsi") if k == weighted - 1 else F.get("recent", F.lit(k))) * float(k + 1)
+        terms = term if terms is None else terms + term
+    moved = F.when(F.size("recent") == weighted - 1, terms / (weighted * (weighted + 1) / 2))
+    rows = rows.withColumns({"ema": rec.average_of(rec.exponential(F.col("ema_state"), F.col("rsi"), ema), ema), "__now": moved})
+    rows = rows.withColumn("tier", tier(F.col("rsi"), F.col("ema"), F.col("__now"), F.col("wma")))
+    return rows.withColumn("variant", hilega_variant(F.col("tier"), F.col("tier_before"), F.col("prev_wma"), long_only)).drop("__now")
+
+
+#: By strategy: what its closed bars carry on, and its rules for a running bar.
+LIVE: dict[str, tuple[Callable[..., DataFrame], Callable[..., DataFrame]]] = {
+    "ichimoku": (closed_lines, _ichimoku_now),
+    "rsi": (closed_rsi, _rsi_now),
+    "hilega": (closed_hilega, _hilega_now),
+    "hilega-long": (closed_hilega, partial(_hilega_now, long_only=True)),
+}
+
+
+def closed_states(candles: DataFrame, names: list[str] | None = None, every: bool = False) -> DataFrame:
+    """One row a token (or bar) with all that the strategies' rules need of closed bars, each strategy's as a struct of its name.
+
+    Compute it once after the market closes, and again after each roll-up.
+    """
+    out = None
+    for name in names or [n for n in LIVE if n != "hilega-long"]:
+        rows = LIVE[name][0](candles, every=every)
+        rows = rows.select("token", "idx", F.struct(*(c for c in rows.columns if c not in ("token", "idx"))).alias(name))
+        out = rows if out is None else out.join(rows, ["token", "idx"])
+    return out
+
+
+def live_signals(bars: DataFrame, closed: DataFrame, on: tuple[str, ...] = ("token",)) -> DataFrame:
+    """Signals of running bars (``token, ts, day, open, high, low, close``), each row evaluated by itself by all strategies of ``closed``.
+
+    ``closed`` comes from ``closed_states``. On a stream of ``snapshots`` this is a
+    stream-static join with a row for each token and column rules, so that every
+    tick is evaluated by every strategy without a state of its own. ``day`` is the
+    bar's date, by which it falls into a week and month. Feed the result to
+    ``first_of_day``.
+    """
+    names = [c for c in closed.columns if c in LIVE]
+    rows = bars.join(closed.select(*on, *(["idx"] if "idx" not in on else []), *names), list(on))
+    held = ["token", "ts", "idx", "day", "open", "high", "low", "close"]
+    rows = rows.select(*held, *(F.col(n).alias(f"__{n}") for n in names))
+    for name in names:
+        state = rows.schema[f"__{name}"].dataType.names
+        got = LIVE[name][1](rows.withColumns({c: F.col(f"__{name}.{c}") for c in state}))
+        rows = got.select(*rows.columns, F.when(F.col("idx") >= STRATEGIES[name].warmup, F.col("variant")).alias(f"__v_{name}"))
+    found = F.array(*(F.struct(F.lit(STRATEGIES[n].name).alias("strategy"), F.col(f"__v_{n}").alias("variant")) for n in names))
+    rows = rows.select("token", "ts", "close", F.explode(F.filter(found, lambda x: x["variant"].isNotNull())).alias("x"))
+    return rows.select("x.strategy", "token", "ts", "x.variant", direction(F.col("x.variant")).alias("direction"), F.col("close").alias("entry_price"))
 
 
 def payloads(signals: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -74,33 +74,48 @@ def test_days_across_a_change_of_clocks(spark):
     assert got == [(dt.date(2024, 1, 9), 2.0), (dt.date(2024, 1, 10), 3.0), (dt.date(2024, 7, 9), 0.0), (dt.date(2024, 7, 10), 1.0)]
 
 
-def test_replayed_ticks_give_the_signals_of_the_finished_bars(spark, tmp_path):
-    """Ticks of each token's last bar, evaluated one by one against the lines of the bars before it."""
+@pytest.mark.parametrize("name", ["ichimoku", "rsi", "hilega", "hilega-long"])
+def test_replayed_ticks_give_the_signals_of_the_finished_bars(spark, tmp_path, name):
+    """Ticks of a bar of each token, evaluated one by one against what the bars before it carry on."""
     from tapeloom.functions.indicators import session_index
     from tapeloom.operators import signals
     from tapeloom.sources.candles import from_lineitem
 
+    strategy = signals.LIVE_ICHIMOKU if name == "ichimoku" else signals.STRATEGIES[name]
     bars = from_lineitem(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")).withColumn("idx", session_index()).cache()
-    found = [r.asDict() for r in signals.fired(bars, signals.LIVE_ICHIMOKU).collect()]
     first = {}
-    for r in sorted(found, key=lambda r: r["session_idx"]):
+    for r in signals.fired(bars, strategy).orderBy("session_idx").collect():
         first.setdefault(r["token"], r)
     cut = spark.createDataFrame([(t, r["session_idx"]) for t, r in first.items()], "token long, cut int")
     rows = bars.join(cut, "token")
-    lines = live.closed_lines(rows.where("idx < cut").drop("cut", "idx")).cache()
+    closed = live.closed_states(rows.where("idx < cut").drop("cut", "idx"), [name]).cache()
     running = rows.where("idx = cut").collect()
     path = str(tmp_path / "ticks")
-    ticks = [(r["token"], dt.datetime(2024, 1, 2, 4, m), p) for r in running for m, p in enumerate((r["open"], r["high"], r["low"], r["close"]))]
-    write_ticks(spark, path, ticks)
+    ticks = [(r["token"], r["date"] + dt.timedelta(hours=4, minutes=m), p) for r in running for m, p in enumerate((r["open"], r["high"], r["low"], r["close"]))]
+    write_ticks(spark, path, sorted(ticks, key=lambda x: x[1]))
     stream = spark.readStream.schema("token long, ts timestamp, price double").parquet(path)
-    q = live.live_signals(live.snapshots(stream), lines).writeStream.format("memory").queryName("live_t").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q = live.live_signals(live.snapshots(stream, keep="20000 days"), closed).writeStream.format("memory").queryName("live_" + name.replace("-", "_")).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(240)
-    got = {(r["token"], r["variant"]) for r in spark.table("live_t").where("minute(ts) = 3").collect()}
-    assert got == {(t, r["variant"]) for t, r in first.items()} and len(got) >= 5
-    batch = live.live_signals(rows.where("idx = cut").withColumnRenamed("date", "ts").drop("idx"), lines)
+    got = {(r["token"], r["variant"]) for r in spark.table("live_" + name.replace("-", "_")).where("minute(ts) = 3").collect()}
+    assert got == {(t, r["variant"]) for t, r in first.items()} and len(got) >= (2 if name == "rsi" else 5)
+    batch = live.live_signals(rows.where("idx = cut").withColumn("day", F.to_date("date")).withColumnRenamed("date", "ts").drop("idx"), closed)
     assert {(r["token"], r["variant"]) for r in batch.collect()} == got
 
 
+def test_all_strategies_in_one_pass_over_running_bars(spark):
+    """Each strategy's signals as if it ran alone; a token with too few bars has none."""
+    from tapeloom.functions.indicators import session_index
+    from tapeloom.sources.candles import from_lineitem
+
+    bars = from_lineitem(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"))
+    running = bars.withColumns({"idx": session_index(), "day": F.to_date("date")}).withColumnRenamed("date", "ts").cache()
+    found = lambda names: {tuple(r) for r in live.live_signals(running, live.closed_states(bars, names, every=True), on=("token", "idx")).collect()}
+    each = [found([n]) for n in ("ichimoku", "rsi", "hilega")]
+    assert found(["ichimoku", "rsi", "hilega"]) == set().union(*each) and all(each)
+    short = live.closed_states(bars.withColumn("n", session_index()).where("n < 16").drop("n"))
+    assert live.live_signals(running.where("idx = 16").drop("idx"), short).count() == 0
+
+
 def test_alerts_try_again(spark, tmp_path):
     path = str(tmp_path / "signals")
     spark.createDataFrame([("S", 1, T, "S (A)"), ("S", 2, T, "S (A)")], "strategy string, token long, ts timestamp, variant string").write.parquet(path)
