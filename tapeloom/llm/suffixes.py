@@ -40,6 +40,8 @@ GRAM = 32
 WIDTHS = (64, 8, 1)
 #: Positions hashed at once.
 PIECE = 1 << 18
+#: Bits of the filter of repeated anchors that tasks get (16 MB).
+FILTER_BITS = 1 << 27
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -94,16 +96,45 @@ def runs(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return np.concatenate(values), np.concatenate(places), first, np.append(first[1:], n) - 1
 
 
-def run_table(rows: DataFrame, least: int) -> DataFrame:
-    """``(id, k, anchor, c1, c2, span, at)`` of every run; a span is ``begin << 32 | end``, c1 and c2 digest its bytes and ``at``. ``rows`` has ``id, k, text`` (binary)."""
+def repeated_anchors(rows: DataFrame, least: int) -> DataFrame:
+    """``anchor`` of more than one run; ``rows`` has ``id, k, text`` (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        for batch in slices(batches, 256):
+            values, counts = np.unique(np.concatenate([np.empty(0, np.int64), *(runs(t.as_py(), least)[0] for t in batch.column(0))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["anchor", "m"])
+
+    found = rows.select("text").mapInArrow(run, "anchor long, m long")
+    return found.groupBy("anchor").agg(F.sum("m").alias("m")).where("m > 1").select("anchor")
+
+
+def filter_of(anchors: DataFrame) -> bytes:
+    """``FILTER_BITS`` bits, as bytes, with the bit of each anchor set: a filter that lets all of these through, and few others while it is sparse."""
+    bit = F.shiftrightunsigned("anchor", 64 - FILTER_BITS.bit_length() + 1)
+    block = anchors.groupBy(F.shiftright(bit, 15).alias("block")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    out = bytearray(FILTER_BITS // 8)
+    for r in block.toLocalIterator():  # FILTER_BITS / 8 bytes in all
+        out[r["block"] << 12 : r["block"] + 1 << 12] = r["bits"]
+    return bytes(out)
+
+
+def run_table(rows: DataFrame, least: int, wanted: bytes) -> DataFrame:
+    """``(id, k, anchor, c1, c2, span, at)`` of every run whose anchor passes the filter ``wanted``; a span is ``begin << 32 | end``, c1 and c2 digest its bytes and ``at``.
+
+    ``rows`` has ``id, k, text`` (binary).
+    """
+    held = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, bits = xxhash.xxh3_128_digest, np.frombuffer(held.value, np.uint8)
+        shift = np.uint64(64 - FILTER_BITS.bit_length() + 1)
         for batch in slices(batches, 256):
             owner, got, digests = [], [], []
             for k, t in enumerate(batch.column(2)):
                 data = t.as_py()
-                value, place, first, last = runs(data, least)
+                found = runs(data, least)
+                bit = (found[0].view(np.uint64) >> shift).astype(np.int64)
+                value, place, first, last = (x[(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)] for x in found)
                 if len(value):
                     owner.append(np.full(len(value), k, np.int32))
                     got.append((value, first << 32 | last + least, (place - first).astype(np.int32)))
@@ -191,9 +222,8 @@ def repeated_spans(rows: DataFrame, least: int) -> DataFrame:
     rows share a key and count as different places.
     """
     rows = rows.select("id", "k", "text")
-    found = written(run_table(rows, least), "runs")
-    again = found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    found = written(keyed_join(found, again, ["anchor"]), "repeated")
+    # A run whose anchor is met once is alone in its bucket; the few that pass the filter by chance are so later.
+    found = written(run_table(rows, least, filter_of(repeated_anchors(rows, least))), "runs")
     kinds = found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("m"), F.min(F.struct("id", "k", "span", "at")).alias("one"))
     kinds = written(kinds, "kinds")
     spans = keyed_join(found, kinds.where("m > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"]).select("id", "k", "span")

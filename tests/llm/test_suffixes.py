@@ -80,3 +80,12 @@ def test_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, row, 1, "x"), (1, row, 1, "x"), (None, "q" * 10 + row[:30], 1, "x"), (None, None, 1, "x")], SCHEMA)
     got = Counter((r["doc_id"], r["n_removed"]) for r in suffixes.without_repeats(docs, 20).select("doc_id", "n_removed", F.lit(1)).collect())
     assert got == {(1, 50): 2, (None, 30): 1, (None, 0): 1}
+
+
+def test_a_full_filter_only_lets_more_through(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "FILTER_BITS", 1 << 15)
+    texts = texts_of(7, 40)
+    assert found(spark, texts, 40) == brute(texts, 40)
+    anchors = spark.createDataFrame([(0,), (-1,), (1 << 49,), (1 << 62,)], "anchor long")
+    bits = np.unpackbits(np.frombuffer(suffixes.filter_of(anchors), np.uint8), bitorder="little")
+    assert np.flatnonzero(bits).tolist() == [0, 1, 1 << 13, (1 << 15) - 1]
