@@ -11,10 +11,10 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.formats import alert_payload
 from ..functions import recurrences as rec
@@ -22,6 +22,8 @@ from ..functions.indicators import LIVE_MIDPOINTS, by_bar, frame, ichimoku_cloud
 from ..operators.signals import STRATEGIES, direction, gfs_variant, hilega_variant, ichimoku_variant, tier
 
 ZONE = "Asia/Kolkata"
+#: The setting that ``snapshots`` needs.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def ticks(events: DataFrame) -> DataFrame:
@@ -49,59 +51,94 @@ def intraday_bars(rows: DataFrame, zone: str = ZONE, late: str | None = None) ->
     return got.select("token", F.to_date("w.start").alias("day"), "open", "high", "low", "close", "ticks")
 
 
-def snapshots(rows: DataFrame, zone: str = ZONE, keep: str = "2 days") -> DataFrame:
-    """The running bar after every tick of a stream (per-token state, dropped when idle for ``keep``).
+_BAR = "day date, until long, open double, high double, low double, close double, ticks long"
 
-    A late tick of a day before the running bar's changes nothing and gives no row.
+
+class RunningBars(StatefulProcessor):
+    """Each token's running bar as a value state ``bar``: moved by every tick, begun anew on a new day, cleared after its day's end.
+
+    A timer is set for ``until`` (in milliseconds, ``keep`` after local midnight),
+    so that a token without further ticks leaves nothing behind.
     """
-    prepared = rows.withWatermark("ts", keep).withColumn("day", _day(zone))
-    schema = "token long, ts timestamp, day date, open double, high double, low double, close double, ticks long"
-    state = "day date, open double, high double, low double, close double, ticks long"
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        bar = held.get if held.exists else None
-        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bar = handle.getValueState("bar", _BAR)
+
+    def _hold(self, bar: tuple, now: int) -> None:
+        self.bar.update(bar)
+        self.handle.registerTimer(max(bar[1], now + 1))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        bar = self.bar.get() if self.bar.exists() else None
+        ticks = pd.concat(list(rows)).sort_values("ts", kind="stable")
         out = []
-        for ts, price, day in zip(rows["ts"], rows["price"], rows["day"], strict=True):
+        for ts, price, day, until in zip(ticks["ts"], ticks["price"], ticks["day"], ticks["until"], strict=True):
             if bar is not None and day < bar[0]:
                 continue
-            bar = (day, price, price, price, price, 1) if bar is None or bar[0] != day else (day, bar[1], max(bar[2], price), min(bar[3], price), price, bar[5] + 1)
-            out.append((key[0], ts, *bar))
-        held.update(bar)
-        held.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + 1 if held.getCurrentWatermarkMs() == 0 else max(held.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + 1)
+            bar = (day, until, price, price, price, price, 1) if bar is None or bar[0] != day else (day, bar[1], bar[2], max(bar[3], price), min(bar[4], price), price, bar[6] + 1)
+            out.append((key[0], ts, day, *bar[2:]))
+        if bar is not None:
+            self._hold(tuple(x.item() if hasattr(x, "item") else x for x in bar), timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame(out, columns=["token", "ts", "day", "open", "high", "low", "close", "ticks"])
 
-    return prepared.groupBy("token").applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.bar.exists() and self.bar.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.bar.clear()
+        yield from ()
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        r = initialState.iloc[0]
+        self._hold((r["day"], int(r["until"]), *(float(r[c]) for c in ("open", "high", "low", "close")), int(r["ticks"])), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def _ends(zone: str, keep: str) -> Column:
+    """``keep`` after the end of the local ``day``, in milliseconds."""
+    return F.unix_millis(F.to_utc_timestamp(F.date_add("day", 1).cast("timestamp"), zone) + F.expr(f"interval {keep}"))
+
+
+def snapshots(rows: DataFrame, zone: str = ZONE, keep: str = "2 days", initial: DataFrame | None = None) -> DataFrame:
+    """The running bar after every tick of a stream.
+
+    A late tick of a day before the running bar's changes nothing and gives no
+    row. A token's bar is a value state that is dropped ``keep`` after its day's
+    end; between runs it can be read by ``held_bars``. ``initial`` (rows as
+    ``intraday_bars`` gives them, one a token) seeds the bars of a query that
+    starts without a checkpoint of its own, after a loss of the old one, say; the
+    ticks in them must not come again. Needs the RocksDB state store
+    (``STATE_STORE``, which ``tapeloom.session`` sets).
+    """
+    prepared = rows.withWatermark("ts", keep).withColumn("day", _day(zone)).withColumn("until", _ends(zone, keep))
+    seeds = None if initial is None else initial.select("token", "day", _ends(zone, keep).alias("until"), "open", "high", "low", "close", "ticks").groupBy("token")
+    schema = "token long, ts timestamp, day date, open double, high double, low double, close double, ticks long"
+    return prepared.groupBy("token").transformWithStateInPandas(RunningBars(), schema, "Append", "EventTime", initialState=seeds)
+
+
+def held_bars(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The running bars that a stopped ``snapshots`` query holds: ``token, day, open, high, low, close, ticks``."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "bar").load()
+    return state.select(F.col("key.token").alias("token"), *(F.col(f"value.{c}").alias(c) for c in ("day", "open", "high", "low", "close", "ticks")))
 
 
 def first_of_day(signals: DataFrame, zone: str = ZONE, late: str | None = None) -> DataFrame:
     """The first signal of each strategy, token and local day (not of each variant).
 
-    On a stream give ``late``, the watermark's delay: the first to arrive passes,
-    and a day's state is held until the watermark is past local midnight.
+    On a stream give ``late``, the watermark's delay in local time (an hour at
+    least where clocks go back at midnight). The first to arrive passes (of those
+    in one micro-batch any one), and a day's keys are held until the watermark is
+    past local midnight. No Python worker takes part.
     """
-    rows = signals.withColumn("day", _day(zone))
     if late is None:
+        rows = signals.withColumn("day", _day(zone))
         order = F.struct("ts", "variant")
         return rows.groupBy("strategy", "token", "day").agg(F.min(order).alias("first")).select("strategy", "token", "day", F.col("first.ts").alias("ts"), F.col("first.variant").alias("variant"))
-    midnight = F.unix_millis(F.to_utc_timestamp(F.date_add("day", 1).cast("timestamp"), zone))
-    rows = rows.withWatermark("ts", late).select("strategy", "token", "day", midnight.alias("until"), "ts", "variant")
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values(["ts", "variant"], kind="stable")
-        if not held.exists:
-            yield pd.DataFrame([(*key, rows["ts"].iloc[0], rows["variant"].iloc[0])], columns=["strategy", "token", "day", "ts", "variant"])
-        held.update((True,))
-        held.setTimeoutTimestamp(max(int(rows["until"].iloc[0]), held.getCurrentWatermarkMs() + 1))
-
-    schema = "strategy string, token long, day date, ts timestamp, variant string"
-    return rows.groupBy("strategy", "token", "day").applyInPandasWithState(run, schema, "passed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    # In local time a day is a tumbling window, whatever its length, that the watermark can close.
+    rows = signals.withColumn("local", F.from_utc_timestamp("ts", zone)).withWatermark("local", late)
+    rows = rows.select("strategy", "token", F.window("local", "1 day").alias("w"), "ts", "variant").dropDuplicates(["strategy", "token", "w"])
+    return rows.select("strategy", "token", F.to_date("w.start").alias("day"), "ts", "variant")
 
 
 def _last_bars(rows: DataFrame, every: bool) -> DataFrame:

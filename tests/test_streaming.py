@@ -38,6 +38,46 @@ def test_snapshots_after_every_tick(spark, tmp_path):
     assert got == [(10.0, 10.0, 10.0, 1), (12.0, 10.0, 12.0, 2), (11.0, 11.0, 11.0, 1), (11.0, 9.0, 9.0, 2)]
 
 
+def run_snapshots(spark, stream, checkpoint, **kw):
+    """All snapshots that the query of this checkpoint has given."""
+    q = live.snapshots(stream, **kw).writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", checkpoint).start(f"{checkpoint}-out")
+    q.awaitTermination(240)
+    return sorted(map(tuple, spark.read.parquet(f"{checkpoint}-out").collect()))
+
+
+TICK = "token long, ts timestamp, price double"
+
+
+def test_bars_are_held_and_cleared(spark, tmp_path):
+    """The state read back between runs: a bar a token, begun anew on a new day, gone after its day's end."""
+    path, checkpoint = str(tmp_path / "ticks"), str(tmp_path / "c")
+    write_ticks(spark, path, ITEMS)
+    stream = lambda: spark.readStream.schema(TICK).option("maxFilesPerTrigger", 1).parquet(path)
+    run_snapshots(spark, stream(), checkpoint, keep="1 hour")
+    held = {r["token"]: (str(r["day"]), r["open"], r["high"], r["low"], r["close"], r["ticks"]) for r in live.held_bars(spark, checkpoint).collect()}
+    assert held == {1: ("2024-01-02", 11.0, 11.0, 9.0, 9.0, 2), 2: ("2024-01-01", 5.0, 5.0, 5.0, 5.0, 1)}
+    write_ticks(spark, path, [(1, T + dt.timedelta(hours=20), 8.0)])
+    write_ticks(spark, path, [(1, T + dt.timedelta(hours=20, minutes=1), 10.0)])
+    run_snapshots(spark, stream(), checkpoint, keep="1 hour")
+    held = {r["token"]: (str(r["day"]), r["open"], r["high"], r["low"], r["close"], r["ticks"]) for r in live.held_bars(spark, checkpoint).collect()}
+    assert held == {1: ("2024-01-02", 11.0, 11.0, 8.0, 10.0, 4)}
+
+
+def test_seeded_bars_go_on_as_if_never_stopped(spark, tmp_path):
+    """A query that starts anew from the day's bars so far gives the snapshots that the first one would have given, none twice."""
+    early, later, both = (str(tmp_path / x) for x in ("early", "later", "both"))
+    cut = [x for x in ITEMS if x[1] <= T + dt.timedelta(minutes=31)], [x for x in ITEMS if x[1] > T + dt.timedelta(minutes=31)] + [(3, T, 1.0)]
+    for path, items in ((early, cut[0]), (later, cut[1]), (both, cut[0] + cut[1])):
+        write_ticks(spark, path, items)
+    read = lambda path: spark.readStream.schema(TICK).parquet(path)
+    whole = run_snapshots(spark, read(both), str(tmp_path / "a"))
+    days = live.intraday_bars(spark.read.schema(TICK).parquet(early)).groupBy("token").agg(F.max("day").alias("day"))
+    latest = live.intraday_bars(spark.read.schema(TICK).parquet(early)).join(days, ["token", "day"])
+    first = run_snapshots(spark, read(early), str(tmp_path / "b"))
+    second = run_snapshots(spark, read(later), str(tmp_path / "c"), initial=latest)
+    assert sorted(first + second) == whole and len(whole) == len(ITEMS) + 1
+
+
 def test_daily_dedup_crosses_the_local_day(spark, tmp_path):
     path = str(tmp_path / "signals")
     rows = [("S", 1, T, "S (A)"), ("S", 1, T + dt.timedelta(minutes=5), "S (B)"), ("S", 1, T + dt.timedelta(minutes=31), "S (A)"), ("R", 1, T, "R")]
