@@ -73,15 +73,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Spark removes an execution's shuffle files when it ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs a re-read of the file and
     not the work before it, and each reader prunes the columns that it needs.
+    With ``release`` the shuffle files behind it go at once, not when the driver
+    happens to collect its garbage; ``df`` must not be run again then.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    was = spark.conf.get(RELEASE)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keyed_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

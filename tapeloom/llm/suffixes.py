@@ -23,6 +23,7 @@ pre-aggregated group-bys, so that no task gathers one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed_join, slices, written
+from .common import keyed_join, slices
+from .common import written as stored
 from .substrings import _with_spans, merged
 
 #: Bytes of an anchor.
@@ -43,6 +45,7 @@ PIECE = 1 << 18
 #: Bits of the filter of repeated anchors that tasks get (16 MB).
 FILTER_BITS = 1 << 27
 
+written = partial(stored, release=True)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -105,7 +108,7 @@ def repeated_anchors(rows: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["anchor", "m"])
 
     found = rows.select("text").mapInArrow(run, "anchor long, m long")
-    return found.groupBy("anchor").agg(F.sum("m").alias("m")).where("m > 1").select("anchor")
+    return written(found.groupBy("anchor").agg(F.sum("m").alias("m")).where("m > 1").select("anchor"), "anchors")
 
 
 def filter_of(anchors: DataFrame) -> bytes:
@@ -226,7 +229,7 @@ def repeated_spans(rows: DataFrame, least: int) -> DataFrame:
     found = written(run_table(rows, least, filter_of(repeated_anchors(rows, least))), "runs")
     kinds = found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("m"), F.min(F.struct("id", "k", "span", "at")).alias("one"))
     kinds = written(kinds, "kinds")
-    spans = keyed_join(found, kinds.where("m > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"]).select("id", "k", "span")
+    spans = [written(keyed_join(found, kinds.where("m > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"]).select("id", "k", "span"), "copies")]
     # An anchor with one kind of run is settled, and so is one whose kinds are all met twice or more.
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("m").alias("fewest")).where("kinds > 1 and fewest = 1").select("anchor")
     asked = keyed_join(kinds, open_, ["anchor"]).select("one.id", "one.k", F.struct("anchor", "one.span", "one.at", F.least("m", F.lit(2)).cast("int").alias("n")).alias("c"))
@@ -237,14 +240,14 @@ def repeated_spans(rows: DataFrame, least: int) -> DataFrame:
         kind = ["k1", "k2", "h1", "h2"]
         kinds = written(nodes.groupBy(*kind).agg(F.sum("n").alias("m"), F.min(F.struct("id", "k", "place")).alias("one")), "node_kinds")
         settled = keyed_join(nodes.where("n = 1").select("id", "k", "place", "lo", "hi", *kind), kinds.where("m > 1").select(*kind), kind)
-        spans = spans.union(settled.select("id", "k", F.expr(f"shiftleft(place - hi, 32) | (place - lo + {least})").alias("span")))
+        spans.append(written(settled.select("id", "k", F.expr(f"shiftleft(place - hi, 32) | (place - lo + {least})").alias("span")), "settled"))
         if wide is None:
             break
         open_ = kinds.groupBy("k1", "k2").agg(F.count("*").alias("kinds"), F.min("m").alias("fewest")).where("kinds > 1 and fewest = 1").select("k1", "k2")
         on = keyed_join(kinds, open_, ["k1", "k2"]).select(*kind, F.col("one.id").alias("__id"), F.col("one.k").alias("__k"), F.col("one.place").alias("__place"), F.least("m", F.lit(2)).cast("int").alias("__n"))
         n = nodes.join(on, kind).where(F.col("id").eqNullSafe(F.col("__id")) & (F.col("k") == F.col("__k")) & (F.col("place") == F.col("__place"))).withColumn("n", F.col("__n"))
         nodes = written(_next_nodes(n, was, wide, least), "nodes")
-    return spans.groupBy("id", "k").agg(F.collect_set("span").alias("spans"))
+    return written(reduce(DataFrame.union, spans).groupBy("id", "k").agg(F.collect_set("span").alias("spans")), "spans")
 
 
 def without_repeats(docs: DataFrame, least: int = 200, id: str = "doc_id", text: str = "text") -> DataFrame:
