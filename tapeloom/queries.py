@@ -16,11 +16,13 @@ from .functions import formats as fm
 from .functions import indicators as ind
 from .operators import confluence as con
 from .operators import metrics, signals, trades
-from .plans import backtest, scanner
+from .plans import backtest, daily, scanner
 from .schema import DEFAULT_HORIZONS, BacktestConfig, ConfluenceOptions, StopRule
 from .sources import candles as src
+from .scratch import work_folder
+from .sources import fetch, store
 from .sources import instruments as ins
-from .sources import store
+from .sources.stored import CandleStore
 from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -349,6 +351,35 @@ def boot_plan(spark: SparkSession, d: str) -> DataFrame:
     return store.boot_plan(s, bars(spark, d).where("token % 5 != 0"), s.where("token % 10 = 0"), F.lit("1998-11-30").cast("timestamp"), 3)
 
 
+@query(
+    _with(
+        "f as (select * replace (close + 1 as close, case when token % 4 = 0 then date + 400 else date end as date) from b where token % 2 = 0 and date >= date '1998-01-01')",
+        "u as (select token, date, close, volume from f union all select token, date, close, volume from b where (token, date) not in (select token, date from f))",
+        select=f"select token, date, close, volume from u where date >= date '{AS_OF}' - interval 1 year and token in (select s_suppkey from supplier where s_acctbal > 2000)",
+    )
+)
+def rolled_up(spark: SparkSession, d: str) -> DataFrame:
+    """The store's files after a day's roll-up: fresh candles merged, old ones and delisted tokens gone."""
+    rows = bars(spark, d)
+    held = CandleStore(spark, f"{work_folder(spark)}/store", buckets=8)
+    held.merge(rows)
+    daily.end_of_day(held, _fresh(rows), F.lit(AS_OF).cast("date"), 1, _suppliers(spark, d).where("s_acctbal > 2000"))
+    return held.read().select("token", day(), "close", "volume")
+
+
+@query(_with(select="select token, date, close from b where date >= date '1991-06-01' and token in (select token from b where date >= date '1996-01-01')"))
+def backfilled(spark: SparkSession, d: str) -> DataFrame:
+    """A store that begins in 1996, deepened by the answers of an archive of all candles."""
+    folder = work_folder(spark)
+    rows = bars(spark, d)
+    rows.write.partitionBy("token").parquet(f"{folder}/archive")
+    held = CandleStore(spark, f"{folder}/store", buckets=8)
+    held.merge(rows.where("date >= '1996-01-01'"))
+    plan = store.deep_plan(held.read(), F.lit(AS_OF).cast("date"), 7)
+    daily.backfill(held, plan, fetch.archive(f"{folder}/archive"), lanes=8, per_second=1e6)
+    return held.read().select("token", day(), "close")
+
+
 # Indicators.
 _LINES = ["conversion", "base", "prev_conversion", "prev_base", "past_conversion", "past_prev_conversion", "past_base", "span_a", "span_b", "span_a_52", "span_b_52", "cloud_top", "cloud_bottom", "high_26", "low_27", "prev_close"]
 
