@@ -6,12 +6,14 @@ in one state, in order of time, so no two are evaluated out of order.
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +22,7 @@ from ..functions.formats import alert_payload
 from ..functions import recurrences as rec
 from ..functions.indicators import LIVE_MIDPOINTS, by_bar, frame, ichimoku_clouds, month_of, session_index, week_of, with_hilega, with_mtf_rsi
 from ..operators.signals import STRATEGIES, direction, gfs_variant, hilega_variant, ichimoku_variant, tier
+from ..scratch import delete, exists
 
 ZONE = "Asia/Kolkata"
 #: The setting that ``snapshots`` needs.
@@ -261,14 +264,56 @@ def payloads(signals: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.select("strategy", "token", "ts", alert_payload(F.col("symbol"), F.col("variant"), F.col("ts")).alias("body"))
 
 
-def alerts(stream: DataFrame, send: Callable[[str], None], checkpoint: str, per_second: float = 2.0, burst: int = 5, attempts: int = 5) -> DataStreamWriter:
+class Outbox:
+    """What has been sent, by strategy, token and local day, so that a batch that comes again sends only the rest.
+
+    Each alert leaves a mark as soon as it is sent. When all of a batch are, its
+    keys are put into the ledger (JSON files by day) by one Spark job, and the
+    marks go. Only a break between a sending and its mark sends an alert twice.
+    """
+
+    KEYS = ("strategy", "token", "day")
+    _SCHEMA = "strategy string, token long, day date"
+
+    def __init__(self, spark: SparkSession, path: str, zone: str = ZONE) -> None:
+        self.spark, self.path, self.zone = spark, path, zone
+
+    def _read(self, folder: str) -> DataFrame:
+        found = exists(self.spark, f"{self.path}/{folder}")
+        return self.spark.read.schema(self._SCHEMA).json(f"{self.path}/{folder}") if found else self.spark.createDataFrame([], self._SCHEMA)
+
+    def sent(self) -> DataFrame:
+        return self._read("ledger").union(self._read("marks")).distinct()
+
+    def open(self, batch: DataFrame) -> DataFrame:
+        """The batch's alerts that have not been sent, one for each key, with its ``day``."""
+        rows = batch.withColumn("day", F.to_date(F.from_utc_timestamp("ts", self.zone)))
+        return rows.join(self.sent(), list(self.KEYS), "left_anti").groupBy(*self.KEYS).agg(F.min(F.struct("ts", "body")).alias("__x")).select(*self.KEYS, "__x.*")
+
+    def mark(self, row: Row) -> None:
+        jvm, name = self.spark.sparkContext._jvm, uuid.uuid4().hex
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/marks/{name}.json")
+        out = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(at, False)
+        out.write(bytearray(json.dumps({k: str(row[k]) if k == "day" else row[k] for k in self.KEYS}).encode()))
+        out.close()
+
+    def close(self, batch: DataFrame) -> None:
+        """Put the batch's keys into the ledger."""
+        rows = batch.select("strategy", "token", F.to_date(F.from_utc_timestamp("ts", self.zone)).alias("day")).distinct()
+        new = rows.join(self._read("ledger"), list(self.KEYS), "left_anti")
+        new.coalesce(1).write.mode("append").partitionBy("day").json(f"{self.path}/ledger")
+        delete(self.spark, f"{self.path}/marks")
+
+
+def alerts(stream: DataFrame, send: Callable[[str], None], checkpoint: str, per_second: float = 2.0, burst: int = 5, attempts: int = 5, outbox: Outbox | None = None) -> DataStreamWriter:
     """A writer that posts each row's ``body`` by ``send``, no faster than the limit, trying again after failures.
 
     An error that carries ``retry_after`` (seconds, from a receiver that limits its
     senders) is waited for just so long, and a little; other errors ever longer.
-    A batch is sent at least once: after a crash it is sent again, so the
-    receiver should ignore a body it has seen. Few rows pass the daily
-    deduplication; they are streamed to the driver, which alone knows the limit.
+    After a crash a batch comes again: with an ``outbox`` (rows then need
+    ``strategy``, ``token`` and ``ts``) only what is not marked as sent goes out,
+    without one all of it. Few rows pass the daily deduplication; they are
+    streamed to the driver, which alone knows the limit.
     """
     tokens, last = [float(burst)], [time.monotonic()]
 
@@ -282,16 +327,24 @@ def alerts(stream: DataFrame, send: Callable[[str], None], checkpoint: str, per_
         tokens[0] -= 1
 
     def post(batch: DataFrame, _: int) -> None:
-        for row in batch.select("body").toLocalIterator():
+        if outbox is None:
+            return each(batch.select("body"), lambda row: None)
+        each(outbox.open(batch).orderBy("ts", "strategy", "token"), outbox.mark)
+        outbox.close(batch)
+
+    def each(rows: DataFrame, done: Callable[[Row], None]) -> None:
+        for row in rows.toLocalIterator():
             for attempt in range(attempts):
                 wait()
                 try:
                     send(row["body"])
-                    break
                 except Exception as e:
                     if attempt == attempts - 1:
                         raise
                     asked = getattr(e, "retry_after", None)
                     time.sleep(asked + 0.05 if asked and asked > 0 else min(2**attempt, 30) * 0.05)
+                else:
+                    done(row)
+                    break
 
     return stream.writeStream.foreachBatch(post).option("checkpointLocation", checkpoint)

@@ -19,3 +19,23 @@ class Client:
         if token == 5:
             return []
         return [(dt.datetime.combine(first, dt.time()) + dt.timedelta(days=k), 1.0, 1.0, 1.0, float(k), 7) for k in range(0, (last - first).days + 1, 100)]
+
+
+class TickFile:
+    """A feed over a CSV file of ``token,seconds,price`` lines."""
+
+    def __init__(self, path):
+        self.path = str(path)
+
+    def _lines(self):
+        with open(self.path) as f:
+            return f.read().splitlines()
+
+    def end(self):
+        return len(self._lines())
+
+    def ticks(self, start, stop, lane, lanes):
+        for line in self._lines()[start:stop]:
+            token, seconds, price = line.split(",")
+            if int(token) % lanes == lane:
+                yield int(token), dt.datetime(2024, 1, 1, 4, tzinfo=dt.UTC) + dt.timedelta(seconds=float(seconds)), float(price)

@@ -207,6 +207,70 @@ def test_alerts_wait_as_long_as_asked(spark, tmp_path, monkeypatch):
     assert sent == ["x"] and slept == [pytest.approx(0.45)]
 
 
+def test_a_batch_that_comes_again_sends_only_the_rest(spark, tmp_path):
+    """A crash in the middle of a batch, then the same query again: each body once, and none for a day that has had its alert."""
+    path, checkpoint = str(tmp_path / "signals"), str(tmp_path / "c")
+    schema = "strategy string, token long, ts timestamp, body string"
+    rows = [("S", k, T + dt.timedelta(seconds=k), f"body {k}") for k in range(6)]
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    sent, left = [], [3]
+
+    def send(body):
+        if left[0] == 0:
+            raise OSError("gone")
+        left[0] -= 1
+        sent.append(body)
+
+    def run(outbox):
+        q = live.alerts(spark.readStream.schema(schema).parquet(path), send, checkpoint, per_second=1000.0, attempts=1, outbox=outbox).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    box = live.Outbox(spark, str(tmp_path / "box"))
+    with pytest.raises(Exception):
+        run(box)
+    assert sent == ["body 0", "body 1", "body 2"] and box.sent().count() == 3
+    left[0] = 99
+    run(live.Outbox(spark, str(tmp_path / "box")))
+    assert sent == [f"body {k}" for k in range(6)] and box.sent().count() == 6
+    again = [("S", 1, T + dt.timedelta(minutes=3), "same day"), ("S", 1, T + dt.timedelta(hours=3), "next day"), ("R", 1, T, "other")]
+    spark.createDataFrame(again, schema).coalesce(1).write.mode("append").parquet(path)
+    run(box)
+    assert sent[6:] == ["other", "next day"]
+
+
+def test_tick_source_is_bounded_ordered_and_resumes(spark, tmp_path):
+    from fakes import TickFile
+
+    from tapeloom.streaming.feed import tick_stream
+
+    feed, out, checkpoint = tmp_path / "ticks.csv", str(tmp_path / "out"), str(tmp_path / "c")
+    lines = [f"{k % 7},{k},{k * 1.5}" for k in range(95)]
+    feed.write_text("\n".join(lines[:60]) + "\n")
+    sizes = []
+
+    def keep(batch, n):
+        batch = batch.withColumns({"part": F.spark_partition_id(), "n": F.monotonically_increasing_id(), "batch": F.lit(n)}).cache()
+        sizes.append(batch.count())
+        batch.write.mode("append").parquet(out)
+
+    def run():
+        q = tick_stream(spark, TickFile(feed), lanes=3, most=25).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    run()
+    assert [n for n in sizes if n] == [25, 25, 10]
+    feed.write_text("\n".join(lines) + "\n")
+    run()
+    assert [n for n in sizes if n] == [25, 25, 10, 25, 10]
+    got = spark.read.parquet(out).orderBy("batch", "n").collect()
+    assert sorted((r["token"], r["price"]) for r in got) == sorted((k % 7, k * 1.5) for k in range(95))
+    assert all(len({r["part"] for r in got if r["token"] == t and r["batch"] == b}) <= 1 for t in range(7) for b in range(5))
+    assert all([r["price"] for r in got if r["token"] == t] == [k * 1.5 for k in range(95) if k % 7 == t] for t in range(7))
+
+
 def test_formats(spark):
     from tapeloom.functions import formats as fm
 
