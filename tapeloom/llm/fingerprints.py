@@ -15,15 +15,23 @@ BROADCAST_HASHES = 1_000_000
 BUCKET_ROWS = 4_000
 
 
-def _icu(kind: str, method: str, text: Column) -> Column:
-    """A static function of ICU, which Spark ships, on a text and its default flag."""
-    return F.call_function("java_method", F.lit(f"com.ibm.icu.{kind}"), F.lit(method), text, F.lit(True))
+def _icu(kind: str, method: str, text: Column, flag: bool) -> Column:
+    """A static function of ICU, which Spark ships, on a text and its flag."""
+    return F.call_function("java_method", F.lit(f"com.ibm.icu.{kind}"), F.lit(method), text, F.lit(flag))
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, full case folding, runs of Unicode white space as one space, none at the ends; null is empty."""
-    folded = _icu("lang.UCharacter", "foldCase", _icu("text.Normalizer", "compose", F.coalesce(text, F.lit(""))))
-    return F.trim(F.regexp_replace(folded, r"[\s\x85\p{Z}]+", " "))
+    """NFKC and full case folding, runs of Unicode white space as one space, none at the ends; null is empty.
+
+    Folding may undo a normal form and normalising may bring letters that fold, so
+    both are taken twice, on decomposed text: this is Unicode's compatibility
+    caseless matching, by which texts that differ in case or composition alone
+    become equal. The outcome is composed at last.
+    """
+    folded = F.coalesce(text, F.lit(""))
+    for compatible in (False, True):
+        folded = _icu("lang.UCharacter", "foldCase", _icu("text.Normalizer", "decompose", folded, compatible), True)
+    return F.trim(F.regexp_replace(_icu("text.Normalizer", "compose", folded, True), r"[\s\x85\p{Z}]+", " "))
 
 
 def wide_hash(text: Column, bits: int = 128) -> Column:

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from .common import slices, written
 
 UNKNOWN = "und"
-#: Counts of a model at most: 256 languages of 2 ** 15 buckets, or more languages of fewer.
-CELLS = 1 << 23
+#: A model of more languages (128 KB each) is refused.
+MOST_LANGUAGES = 2_048
 
 
 def _letters(low: str) -> np.ndarray:
@@ -139,24 +139,23 @@ class Mixtures:
         return self.names[active[k]], float(min(1.0, max(0.0, share[k]))), {self.names[a]: float(s) for a, s in zip(active, share, strict=True)}
 
 
-def learn(docs: DataFrame, bits: int = 15, lang: str = "lang", text: str = "text", cells: int = CELLS) -> Mixtures:
+def learn(docs: DataFrame, bits: int = 15, lang: str = "lang", text: str = "text") -> Mixtures:
     """Fit on every row with a text and a language.
 
-    The model is languages x ``2 ** bits`` counts, ``cells`` at most: with more
-    languages than have room, each has fewer buckets, which are joined before
-    they are sent to the driver. No language is left out.
+    The model is ``2 ** bits`` counts for each language, whatever the number of
+    the others, so that no prediction depends on it. It comes to the driver a
+    language at a time; more than ``MOST_LANGUAGES`` raise an error.
     """
     rows = written(ngram_counts(docs, bits, lang, text), "ngrams")
-    names = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    own = max(1, min(bits, int(math.log2(cells / max(1, len(names))))))
-    if own < bits:
-        rows = rows.groupBy("lang", F.shiftright("bucket", bits - own).alias("bucket")).agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(names), 1 << own))
-    if names:
-        got = rows.toArrow()  # at most ``cells`` rows
-        at = {name: k for k, name in enumerate(names)}
-        counts[[at[x] for x in got.column("lang").to_pylist()], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return Mixtures(names, counts, own)
+    names = [r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    names.sort()
+    at = {name: k for k, name in enumerate(names)}
+    counts = np.zeros((len(names), 1 << bits))
+    for r in rows.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).toLocalIterator():
+        counts[at[r["lang"]], r["b"]] = r["n"]
+    return Mixtures(names, counts, bits)
 
 
 def identify(docs: DataFrame, model: Mixtures, keep: list[str] | None = None, text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -218,7 +219,10 @@ def test_warc_seek(spark, tmp_path):
 
 
 def canon(t):
-    return re.sub(r"[ \t\n\x0b\f\r]+", " ", unicodedata.normalize("NFKC", t or "").lower()).strip(" ")
+    """Compatibility caseless matching by its definition in the Unicode standard, and the white space."""
+    t = unicodedata.normalize("NFD", t or "").casefold()
+    t = unicodedata.normalize("NFKD", t).casefold()
+    return re.sub(r"[\s\x85]+", " ", unicodedata.normalize("NFKC", t)).strip(" ")
 
 
 def test_fingerprints(docs, none):
@@ -240,6 +244,20 @@ def test_folding(spark):
     assert all(len(r["f"]) == 1 for r in got) and len({r["f"][0] for r in got}) == len(alike)
 
 
+def test_folding_is_closed(spark):
+    """Every letter with a case or a compatibility form, alone and with marks: all its cases are one document."""
+    letters = [chr(c) for c in range(0x250000 >> 4) if not 0xD800 <= c < 0xE000 and (chr(c).lower() != chr(c) or chr(c).upper() != chr(c) or unicodedata.normalize("NFKC", chr(c)) != chr(c)) and unicodedata.category(chr(c)) != "Cn"]
+    letters += [c + m for c in ("ι", "Ϊ", "ΐ", "ǰ", "J", "ß", "İ", "ŉ", "ᾳ") for m in ("\u0301", "\u030c", "\u0345", "\u0307\u0323")]
+    rows = [(k, t) for k, c in enumerate(letters) for t in {c, c.upper(), c.lower(), c.casefold(), *(unicodedata.normalize(f, c) for f in ("NFC", "NFD", "NFKC", "NFKD"))}]
+    df = spark.createDataFrame([*rows, (-1, "ΐ"), (-1, "\u03aa\u0301")], "doc_id long, text string").withColumn("c", fingerprints.canonical(F.col("text")))
+    got = collections.defaultdict(set)
+    for r in df.collect():
+        got[r["doc_id"], canon(r["text"])].add(r["c"])
+        assert r["c"] == canon(r["text"]), (r["text"], r["c"])
+    assert all(len(x) == 1 for x in got.values()) and len(got) > 2500
+    assert len({f for (k, _), v in got.items() if k == -1 for f in v}) == 1
+
+
 @pytest.mark.parametrize("bits", [128, 4])
 def test_edited(docs, bits, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
@@ -376,8 +394,56 @@ def test_languages(spark, docs, none):
     assert len(odd) == docs.count() and all(0 <= r["score"] <= 1 for r in odd)
     empty = languages.learn(none)
     assert {r["lang_pred"] for r in languages.identify(docs, empty).collect()} == {"und"} and languages.identify(none, empty).count() == 0
-    few = languages.learn(df, cells=3 << 9)
-    assert few.bits == 9 and few.infer(model_text(rng, "de", 70))[0] == "de"
+
+
+def test_a_model_does_not_depend_on_the_other_languages(spark, monkeypatch):
+    rng = random.Random(4)
+    few = [(i, model_text(rng, lang, 60), lang) for i, lang in enumerate(["en", "de"] * 20)]
+    many = few + [(100 + i, chr(0x4E00 + i) * 3, f"l{i}") for i in range(300)]
+    a, b = (languages.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")) for rows in (few, many))
+    assert a.bits == b.bits and len(b.names) == 302
+    assert all((a.model[:, a.names.index(x)] == b.model[:, b.names.index(x)]).all() for x in ("en", "de"))
+    assert all(m.infer(model_text(rng, x, 70))[0] == x for m in (a, b) for x in ("en", "de"))
+    monkeypatch.setattr(languages, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        languages.learn(spark.createDataFrame(few, "doc_id long, text string, lang string"))
+
+
+def test_mixtures_against_plain_loops():
+    """The shares, their likelihood and the set that is left, by loops over every n-gram."""
+    rng = random.Random(9)
+    names, bits = ["a", "b", "c", "d"], 6
+    counts = np.array([[rng.randrange(0, 30) for _ in range(1 << bits)] for _ in names], float)
+    m = languages.Mixtures(names, counts, bits)
+    rates = [[(c + 0.5) / sum(x + 0.5 for x in row) for c in row] for row in counts.tolist()]
+
+    def fit(grams, active, share):
+        for _ in range(m.rounds if len(active) > 1 else 0):
+            new = [0.0] * len(active)
+            for g in grams:
+                p = [s * rates[k][g] for k, s in zip(active, share, strict=True)]
+                new = [x + y / sum(p) for x, y in zip(new, p, strict=True)]
+            share = [x / len(grams) for x in new]
+        share = share if len(active) > 1 else [1.0]
+        return share, sum(math.log(sum(s * rates[k][g] for k, s in zip(active, share, strict=True))) for g in grams)
+
+    for n in (1, 5, 30, 200):
+        text = " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6))) for _ in range(n))
+        grams = np.concatenate(list(languages.hashed_ngrams(text, bits))).tolist()
+        active = list(range(len(names)))
+        share, value = fit(grams, active, [1 / len(names)] * len(names))
+        cost = m.penalty * math.log(max(2.0, len(grams)))
+        best = value - cost * len(active)
+        while len(active) > 1:
+            weak = share.index(min(share))
+            rest, start = active[:weak] + active[weak + 1 :], share[:weak] + share[weak + 1 :]
+            less, value = fit(grams, rest, [s / sum(start) for s in start])
+            if value - cost * len(rest) < best:
+                break
+            active, share, best = rest, less, value - cost * len(rest)
+        name, top, mixture = m.infer(text)
+        assert set(mixture) == {names[k] for k in active} and abs(top - max(share)) < 1e-3
+        assert all(abs(mixture[names[k]] - s) < 1e-3 for k, s in zip(active, share, strict=True))
 
 
 def grams_slow(text):
