@@ -83,7 +83,15 @@ def _mid(a: int, z: int) -> str:
     return f"(max(high) over {f} + min(low) over {f}) / 2"
 
 
-def _ichimoku_sql(lines: dict[str, tuple[int, int]] = ind.MIDPOINTS) -> str:
+#: Rows back from the bar that a line's midpoint is of, first and last; spelled out here, apart from the library's own.
+_FRAMES = {
+    "conversion": (-8, 0), "base": (-25, 0), "prev_conversion": (-8, -1), "prev_base": (-25, -1), "past_conversion": (-33, -25), "past_prev_conversion": (-34, -26),
+    "past_base": (-50, -25), "past_conversion_52": (-59, -51), "past_base_52": (-76, -51), "span_b": (-76, -25), "span_b_52": (-102, -51),
+}
+_LIVE_FRAMES = _FRAMES | {"prev_conversion": (-9, -1), "prev_base": (-26, -1)}
+
+
+def _ichimoku_sql(lines: dict[str, tuple[int, int]] = _FRAMES) -> str:
     mids = ", ".join(f"case when idx >= 104 then {_mid(*f)} end as {n}" for n, f in lines.items())
     lags = ", ".join(f"lag({c}, {n}) over ({_P}) as {c}_{n}" for c in ("high", "low") for n in (26, 27))
     return f"""
@@ -389,7 +397,7 @@ def ichimoku_lines(spark: SparkSession, d: str) -> DataFrame:
     return ind.with_ichimoku(bars(spark, d)).where("idx >= 104").select("token", day(), *_LINES)
 
 
-@query(_with(_ichimoku_sql(ind.LIVE_MIDPOINTS), select="select token, date, prev_conversion, prev_base from ich where idx >= 104"))
+@query(_with(_ichimoku_sql(_LIVE_FRAMES), select="select token, date, prev_conversion, prev_base from ich where idx >= 104"))
 def ichimoku_live_lines(spark: SparkSession, d: str) -> DataFrame:
     return ind.with_ichimoku(bars(spark, d), live=True).where("idx >= 104").select("token", day(), "prev_conversion", "prev_base")
 
@@ -493,12 +501,12 @@ def scanner_latest(spark: SparkSession, d: str) -> DataFrame:
     return scanner.scan(_cut(bars(spark, d)), _suppliers(spark, d)).select("token", "symbol", day(), "scenario", "close")
 
 
-@query(_with(_ichimoku_sql(ind.LIVE_MIDPOINTS), _ICH_RULES, select=_SIGNAL + "ichs"))
+@query(_with(_ichimoku_sql(_LIVE_FRAMES), _ICH_RULES, select=_SIGNAL + "ichs"))
 def live_session_signals(spark: SparkSession, d: str) -> DataFrame:
     return _signals(signals.fired(bars(spark, d), signals.LIVE_ICHIMOKU))
 
 
-@query(_with(_ichimoku_sql(ind.LIVE_MIDPOINTS), _ICH_RULES, select="select token, date, variant, direction, entry as entry_price from ichs where idx = 180 + token * 97 % 300 + 1"))
+@query(_with(_ichimoku_sql(_LIVE_FRAMES), _ICH_RULES, select="select token, date, variant, direction, entry as entry_price from ichs where idx = 180 + token * 97 % 300 + 1"))
 def live_signals(spark: SparkSession, d: str) -> DataFrame:
     """Running bars against the lines of the closed ones: the bar after each token's cut is the running one."""
     rows = bars(spark, d)
@@ -538,7 +546,7 @@ def live_hilega_long_signals(spark: SparkSession, d: str) -> DataFrame:
     return _every_running_bar(spark, d, "hilega-long")
 
 
-@query(_with(_ichimoku_sql(ind.LIVE_MIDPOINTS), _ICH_RULES, _HILEGA, _HILEGA_RULES, _MTF, _gfs_rules(60), select=_LIVE_SELECT + "ichs union all " + _LIVE_SELECT + "hils union all " + _LIVE_SELECT + "gfss"))
+@query(_with(_ichimoku_sql(_LIVE_FRAMES), _ICH_RULES, _HILEGA, _HILEGA_RULES, _MTF, _gfs_rules(60), select=_LIVE_SELECT + "ichs union all " + _LIVE_SELECT + "hils union all " + _LIVE_SELECT + "gfss"))
 def live_all_signals(spark: SparkSession, d: str) -> DataFrame:
     """Every strategy on every running bar, in one pass over the bars."""
     return _every_running_bar(spark, d, "ichimoku", "rsi", "hilega")
@@ -688,13 +696,20 @@ def summary_hilega(spark: SparkSession, d: str) -> DataFrame:
     return _stats(metrics.summarize(_run(spark, d, "hilega")))
 
 
-_CSV = ["win_pct", "avg_pct", "median_pct", "best_pct"]
+def _cell(x: str, places: int = 4) -> str:
+    """Fixed decimals, ties to even on the shortest decimal that names the double; null where not finite."""
+    n = f"({x}::varchar::decimal(38,18) * 1{'0' * places})"
+    return f"case when isfinite({x}) then printf('%.{places}f', (floor({n}) + case when {n} - floor({n}) > 0.5 or {n} - floor({n}) = 0.5 and floor({n})::hugeint % 2 != 0 then 1 else 0 end)::double / 1{'0' * places}) end"
+
+
+_SUMMARY_CELLS = "win_pct, wins, losses, avg_pct, median_pct, stddev_pct, avg_win_pct, avg_loss_pct, profit_factor, payoff_ratio, sharpe, best_pct, worst_pct, avg_mfe_pct, avg_mae_pct, total_pct".split(", ")
 
 
-@query(_with(_ichimoku_sql(), _ICH_RULES, _fixed_sql("ichs"), _STATS_SQL, select="select group_type, \"group\", horizon, signals, n, wins::varchar as wins, printf('%.4f', best_pct) as best_pct, case when isinf(profit_factor) then null else printf('%.4f', round(profit_factor, 8)) end as profit_factor from summary where group_type != 'signal'"))
+@query(_with(_ichimoku_sql(), _ICH_RULES, _fixed_sql("ichs"), _STATS_SQL, select='select group_type, "group", horizon, horizon_days, signals, n, ' + ", ".join(f"{f'{c}::varchar' if c in ('wins', 'losses') else _cell(f'round({c}, 9)')} as {c}" for c in _SUMMARY_CELLS) + " from summary"))
 def summary_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = backtest.summary_table(metrics.summarize(_run(spark, d)))
-    return rows.where("group_type != 'signal'").select("group_type", "group", "horizon", "signals", "n", "wins", "best_pct", "profit_factor")
+    """All groupings and cells; sums differ in their last bits by order, so nine places are kept before the cells' four."""
+    rows = metrics.summarize(_run(spark, d))
+    return backtest.summary_table(rounded(rows, *_STAT_DOUBLES, places=9))
 
 
 def _top(order: str) -> str:
@@ -715,13 +730,19 @@ def worst_trades(spark: SparkSession, d: str) -> DataFrame:
     _with(
         _ichimoku_sql(), _ICH_RULES, _fixed_sql("ichs"),
         select="select 'T' || token as symbol, token, strategy, variant as signal, direction, strftime(date, '%Y-%m-%d') as entry_date, printf('%.2f', entry) as entry_price, "
-        + ", ".join(f"max(case when valid and horizon = '{h}' then strftime(xd, '%Y-%m-%d') end) as \"{h.lower()}_exit_date\", max(case when valid and horizon = '{h}' then printf('%.2f', x) end) as \"{h.lower()}_exit_price\", max(case when valid and horizon = '{h}' then 'horizon' end) as \"{h.lower()}_exit_reason\", max(case when valid and horizon = '{h}' then held::varchar end) as \"{h.lower()}_held_days\"" for h, _ in _HZ)
+        + ", ".join(
+            f"max(case when valid and horizon = '{h}' then {cell} end) as \"{h.lower()}_{name}\""
+            for h, _ in _HZ
+            for name, cell in {
+                "exit_date": "strftime(xd, '%Y-%m-%d')", "exit_price": _cell("x", 2), "return_pct": _cell("ret"), "mfe_pct": _cell("greatest(ret, up)"), "mae_pct": _cell("least(ret, down)"),
+                "exit_reason": "'horizon'", "held_days": "held::varchar",
+            }.items()
+        )
         + " from leg group by token, strategy, variant, direction, date, entry",
     )
 )
 def trades_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = backtest.trades_table(_run(spark, d), DEFAULT_HORIZONS)
-    return rows.select(*backtest.TRADES_HEAD, *(c for c in rows.columns if c.endswith(("_exit_date", "_exit_price", "_exit_reason", "_held_days"))))
+    return backtest.trades_table(_run(spark, d), DEFAULT_HORIZONS)
 
 
 @query(_with(_ichimoku_sql(), _ICH_RULES, _fixed_sql("ichs"), "tn as (select token, count(*) as n, min(date) as f, max(date) as l from b group by token)", select="select count(*) as universe, count(*) filter (where n > 110) as replayed, count(*) filter (where n <= 110) as skipped, coalesce(sum(n - 110) filter (where n > 110), 0)::bigint as sessions, min(f) filter (where n > 110) as data_start, max(l) filter (where n > 110) as data_end, (select count(*) from leg where outlier) as outliers, (select min(date) from leg) as first_signal, (select max(date) from leg) as last_signal from tn"))
