@@ -13,6 +13,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import recurrences as rec
 from ..functions.indicators import by_bar, session_index, with_hilega, with_ichimoku, with_mtf_rsi
 from ..schema import LONG, SHORT
 
@@ -164,13 +165,19 @@ def matching(signals: DataFrame, fragments: list[str]) -> DataFrame:
     return signals if any_of is None else signals.where(any_of)
 
 
-def in_window(signals: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Signals dated within whole days ``start`` to ``end``. Apply it to signals, never to the bars beneath."""
+def within(start: str | None, end: str | None) -> Column:
+    """Whether ``date`` lies within whole days ``start`` to ``end``."""
+    ok = F.lit(True)
     if start:
-        signals = signals.where(F.col("date") >= F.lit(start).cast("timestamp"))
+        ok &= F.col("date") >= F.lit(start).cast("timestamp")
     if end:
-        signals = signals.where(F.col("date") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp"))
-    return signals
+        ok &= F.col("date") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp")
+    return ok
+
+
+def in_window(signals: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Signals dated within whole days ``start`` to ``end``. Apply it to signals, never to the bars beneath."""
+    return signals.where(within(start, end)) if start or end else signals
 
 
 def closed_bars(candles: DataFrame, as_of: Column, zone: str = "Asia/Kolkata") -> DataFrame:
@@ -178,6 +185,18 @@ def closed_bars(candles: DataFrame, as_of: Column, zone: str = "Asia/Kolkata") -
     return candles.where(F.to_date(F.from_utc_timestamp("date", zone)) < as_of)
 
 
+def _last_kept(rows: Column, sessions: int, index: str) -> Column:
+    """For each of an array of structs in order of ``index``: the session of the last that stayed so far. One stays where that moves."""
+    return rec.scan(rows, F.lit(None).cast("int"), lambda held, x: F.when(held.isNull() | (x[index] - held >= sessions), x[index]).otherwise(held))
+
+
+def cooled_within(rows: Column, sessions: int, index: str = "session_idx") -> Column:
+    """Those of an array of structs, in order of ``index``, that the greedy cooldown leaves."""
+    last = _last_kept(rows, sessions, index)
+    pairs = F.arrays_zip(rows.alias("x"), last.alias("now"), F.concat(F.array(F.lit(None).cast("int")), last).alias("before"))
+    return F.transform(F.filter(pairs, lambda p: p["x"].isNotNull() & (p["now"] == p["x"][index]) & ~p["now"].eqNullSafe(p["before"])), lambda p: p["x"])
+
+
 def cooled(signals: DataFrame, sessions: int, keys: tuple[str, ...] = ("token", "variant"), index: str = "session_idx") -> DataFrame:
     """Greedy cooldown: a signal stays when ``sessions`` or more passed since the last one that stayed.
 
@@ -190,6 +209,19 @@ def cooled(signals: DataFrame, sessions: int, keys: tuple[str, ...] = ("token",
         return signals
     rest = [c for c in signals.columns if c not in (*keys, index)]
     rows = signals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(index, *rest))).alias("__all"))
-    none = F.filter("__all", lambda x: F.lit(False))
-    fold = F.aggregate("__all", none, lambda acc, x: F.when((F.size(acc) == 0) | (x[index] - F.element_at(acc, -1)[index] >= sessions), F.array_append(acc, x)).otherwise(acc))
-    return rows.select(*keys, F.explode(fold).alias("__x")).select(*(F.col(c) if c in keys else F.col(f"__x.{c}") for c in signals.columns))
+    rows = rows.select(*keys, F.explode(cooled_within(F.col("__all"), sessions, index)).alias("__x"))
+    return rows.select(*(F.col(c) if c in keys else F.col(f"__x.{c}") for c in signals.columns))
+
+
+def fired_together(candles: DataFrame, strategies: list[Strategy]) -> DataFrame:
+    """The signals of several strategies, as ``fired`` gives each one's, from one pass over the candles.
+
+    Each strategy's variant is a column of the same ordering by token.
+    """
+    rows = candles
+    for k, s in enumerate(strategies):
+        rows = s.rules(rows).select(*rows.columns, F.col("variant").alias(f"__v{k}"))
+    rows = rows.withColumn("idx", session_index())
+    found = [F.struct(F.lit(s.name).alias("strategy"), F.when(F.col("idx") >= s.warmup, F.col(f"__v{k}")).alias("variant")) for k, s in enumerate(strategies)]
+    rows = rows.select("token", "date", F.col("idx").cast("int").alias("session_idx"), "close", F.explode(F.filter(F.array(*found), lambda x: x["variant"].isNotNull())).alias("x"))
+    return rows.select("token", "date", "session_idx", "x.strategy", "x.variant", direction(F.col("x.variant")).alias("direction"), F.col("close").alias("entry_price"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indicators import by_bar, frame, sma
 from ..schema import SHORT, BacktestConfig, Horizon, StopRule
-from .signals import Strategy, cooled, direction, evaluated, in_window
+from .signals import Strategy, cooled, cooled_within, direction, evaluated, in_window, within
 
 TRADE = ["token", "date", "session_idx", "strategy", "variant", "direction", "entry_price"]
 LEG = ["horizon", "horizon_days", "valid", "exit_date", "exit_price", "return_pct", "mfe_pct", "mae_pct", "stopped", "held_days"]
@@ -28,17 +28,26 @@ def _forward(rows: DataFrame, horizons: tuple[Horizon, ...]) -> DataFrame:
     return rows.withColumns(out)
 
 
+def _average(stop: StopRule) -> Column:
+    return sma(stop.sma) if stop.sma > 0 else F.lit(None).cast("double")
+
+
+def _bars() -> Column:
+    return F.array_sort(F.collect_list(F.struct("date", "open", "high", "low", "close", F.col("__sma").alias("sma"))))
+
+
+def _ahead(session: Column, horizons: tuple[Horizon, ...]) -> Column:
+    return F.slice("__bars", session + 2, F.lit(max(h.days for h in horizons)))
+
+
 def _stops(trades: DataFrame, candles: DataFrame, horizons: tuple[Horizon, ...], stop: StopRule) -> DataFrame:
-    """``__ahead``: the bars that follow each trade's, up to the longest horizon, with the stop's average.
+    """``__ahead`` of given trades: the bars that follow each one's, up to the longest horizon, with the stop's average.
 
     A token's bars are gathered once (its sessions bound them) and only trades
     take their part of them; most bars fire no signal.
     """
-    average = sma(stop.sma) if stop.sma > 0 else F.lit(None).cast("double")
-    bar = F.struct("date", "open", "high", "low", "close", F.col("__sma").alias("sma"))
-    whole = candles.withColumn("__sma", average).groupBy("token").agg(F.array_sort(F.collect_list(bar)).alias("__bars"))
-    ahead = F.slice("__bars", F.col("session_idx") + 2, F.lit(max(h.days for h in horizons)))
-    return trades.join(whole, "token").withColumn("__ahead", ahead).drop("__bars")
+    whole = candles.withColumn("__sma", _average(stop)).groupBy("token").agg(_bars().alias("__bars"))
+    return trades.join(whole, "token").withColumn("__ahead", _ahead(F.col("session_idx"), horizons)).drop("__bars")
 
 
 def _first_exit(stop: StopRule) -> Column:
@@ -117,27 +126,44 @@ def legs_of(candles: DataFrame, strategy: Strategy, config: BacktestConfig) -> D
     """A strategy's trades, one row for each trade and horizon.
 
     Indicators, rules, the forward look and the entry are columns over one
-    ordering by token, so nothing is joined but, for stops, the few trades to their
-    token's bars. A signal enters at its close; with a
-    stop the horizon is a longest holding time, and a trade that is still open
-    where the data end has no valid leg. Excursions are gross and start from the
-    net return. Moves beyond ``max_move_pct`` are marked ``outlier``, not valid.
+    ordering by token, so nothing is joined, and candles are built once. A signal
+    enters at its close; with a stop the horizon is a longest holding time, and a
+    trade that is still open where the data end has no valid leg. Excursions are
+    gross and start from the net return. Moves beyond ``max_move_pct`` are marked
+    ``outlier``, not valid.
     """
     rows = evaluated(candles, strategy)
-    rows = rows if config.stop.active else _forward(rows, config.horizons)
+    if config.stop.active:
+        return _measured(_stopped_trades(rows, strategy, config), config)
+    rows = _forward(rows, config.horizons)
     ahead = [c for c in rows.columns if c.startswith("__")]
     rows = rows.where(F.col("variant").isNotNull() & (F.col("idx") >= strategy.warmup))
     trades = rows.select(
         "token", "date", F.col("idx").cast("int").alias("session_idx"), F.lit(strategy.name).alias("strategy"), "variant",
         direction(F.col("variant")).alias("direction"), F.col("close").alias("entry_price"), *ahead,
     )
-    trades = cooled(in_window(trades, config.start, config.end), config.cooldown)
-    return _measured(trades, candles, config)
+    return _measured(cooled(in_window(trades, config.start, config.end), config.cooldown), config)
 
 
-def _measured(trades: DataFrame, candles: DataFrame, config: BacktestConfig) -> DataFrame:
-    if config.stop.active:
-        trades = _stops(trades, candles, config.horizons, config.stop)
+def _stopped_trades(rows: DataFrame, strategy: Strategy, config: BacktestConfig) -> DataFrame:
+    """The trades of evaluated bars, each with the bars ahead of it.
+
+    A token's bars and trades are gathered together, in the partitioning that the
+    rules have left; each trade takes its part of the bars within the array.
+    """
+    fires = F.col("variant").isNotNull() & (F.col("idx") >= strategy.warmup) & within(config.start, config.end)
+    trade = F.struct(F.col("idx").cast("int").alias("session_idx"), "variant", "date", F.col("close").alias("entry_price"))
+    held = rows.withColumn("__sma", _average(config.stop)).groupBy("token").agg(_bars().alias("__bars"), F.array_sort(F.collect_list(F.when(fires, trade))).alias("__trades"))
+    found = F.col("__trades")
+    if config.cooldown > 0:
+        kinds = F.array_distinct(F.transform(found, lambda t: t["variant"]))
+        found = F.flatten(F.transform(kinds, lambda v: cooled_within(F.filter(found, lambda t: t["variant"] == v), config.cooldown)))
+    parted = F.transform(found, lambda t: F.struct(t.alias("t"), _ahead(t["session_idx"], config.horizons).alias("__ahead")))
+    got = held.select("token", F.explode(parted).alias("x")).select("token", "x.t.*", F.col("x.__ahead"))
+    return got.select("token", "date", "session_idx", F.lit(strategy.name).alias("strategy"), "variant", direction(F.col("variant")).alias("direction"), "entry_price", "__ahead")
+
+
+def _measured(trades: DataFrame, config: BacktestConfig) -> DataFrame:
     return _legs(trades.withColumn("__sign", F.when(F.col("direction") == SHORT, -1.0).otherwise(1.0)), config.horizons, config)
 
 
@@ -148,7 +174,7 @@ def legs_of_trades(candles: DataFrame, trades: DataFrame, config: BacktestConfig
     ahead = [c for c in rows.columns if c.startswith("__")]
     rows = rows.select("token", "date", F.col("idx").cast("int").alias("session_idx"), F.col("close").alias("entry_price"), *ahead)
     rows = trades.select("token", F.col("session_idx").cast("int").alias("session_idx"), "strategy", "variant", "direction").join(rows, ["token", "session_idx"])
-    return _measured(rows, candles, config)
+    return _measured(_stops(rows, candles, config.horizons, config.stop) if config.stop.active else rows, config)
 
 
 def stop_usage(legs: DataFrame, horizon: str) -> DataFrame:

@@ -778,11 +778,7 @@ def _confluence_select() -> str:
 
 
 def _trades(spark: SparkSession, d: str, *names: str) -> DataFrame:
-    out = None
-    for n in names:
-        rows = signals.fired(bars(spark, d), signals.STRATEGIES[n])
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return signals.fired_together(bars(spark, d), [signals.STRATEGIES[n] for n in names])
 
 
 def _events(df: DataFrame) -> DataFrame:

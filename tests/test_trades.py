@@ -114,3 +114,55 @@ def test_exact_median_of_many(spark):
 
 def test_no_legs(spark):
     assert metrics.summarize(_stat_rows(spark, [1.0]).where(F.lit(False))).count() == 0
+
+
+def candles_of(spark):
+    from tapeloom.sources.candles import from_lineitem
+
+    return from_lineitem(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"))
+
+
+@pytest.mark.parametrize("cooldown", [0, 7])
+def test_stops_in_one_pass_equal_stops_of_given_trades(spark, cooldown):
+    """With and without a cooldown and a window of dates; the plan reads the table once and builds candles once."""
+    from tapeloom.operators import signals
+
+    rows, strategy = candles_of(spark), signals.STRATEGIES["ichimoku"]
+    config = BacktestConfig(stop=StopRule(sma=20, trail=True, max_loss_pct=3.0), cooldown=cooldown, start="1996-02-01", end="1999-12-31")
+    legs = trades.legs_of(rows, strategy, config)
+    assert legs._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    picked = signals.cooled(signals.in_window(signals.fired(rows, strategy), config.start, config.end), cooldown)
+    other = trades.legs_of_trades(rows, picked, config)
+    order = [c for c in legs.columns]
+    got, want = (sorted(map(tuple, x.select(order).collect()), key=str) for x in (legs, other))
+    assert got == want and len(got) > 100
+
+
+def test_several_strategies_in_one_pass(spark):
+    from tapeloom.operators import signals
+
+    rows = candles_of(spark)
+    some = [signals.STRATEGIES[n] for n in ("ichimoku", "rsi", "hilega")]
+    together = signals.fired_together(rows, some)
+    assert together._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    each = [r for s in some for r in signals.fired(rows, s).select(together.columns).collect()]
+    assert sorted(map(tuple, together.collect()), key=str) == sorted(map(tuple, each), key=str) and each
+
+
+def test_cooldown_over_many_signals_and_ties(spark):
+    """Against the greedy loop: long runs over several parts of the fold, equal sessions, several keys."""
+    import random
+
+    from tapeloom.operators import signals
+
+    rng = random.Random(6)
+    items = [(t, v, rng.randrange(0, 900), n) for t in (1, 2) for v in "ab" for n in range(400)]
+    got = signals.cooled(spark.createDataFrame(items, "token long, variant string, session_idx int, n int"), 5)
+    want = []
+    for key in {x[:2] for x in items}:
+        last = None
+        for x in sorted((x for x in items if x[:2] == key), key=lambda x: x[2:]):
+            if last is None or x[2] - last >= 5:
+                want.append(x)
+                last = x[2]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
