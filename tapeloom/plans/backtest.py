@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats as f
-from ..operators.metrics import ordered, run_counters, summarize, top_trades
+from ..operators.metrics import ordered, summarize
 from ..operators.signals import Strategy
 from ..operators.trades import TRADE, legs_of
 from ..schema import BacktestConfig, Horizon
 from ..sources.instruments import with_symbol
+from .report import render
 
 
 @dataclass
@@ -78,57 +79,6 @@ def write_summary(result: Result, path: str, primary: str) -> None:
     write_csv(summary_table(ordered(summarize(result.legs), primary)), path)
 
 
-WIDTH = 112
-
-
-def _section(title: str) -> list[str]:
-    return ["", f"  {title}", "  " + "─" * WIDTH]
-
-
-def _num(x: float, form: str = "{:+.2f}") -> str:
-    return "—" if x is None or x != x else "∞" if x == float("inf") else form.format(x)
-
-
-def render(result: Result, primary: str, top: int = 10, min_signals: int = 1, by_direction: bool = True, by_year: bool = True) -> str:
-    """The text report. Only summary rows, counters and the extremes come to the driver."""
-    horizons = result.config.horizons
-    counters = run_counters(result.candles, result.legs, result.strategy.warmup).first()
-    rows = [r.asDict() for r in ordered(summarize(result.legs), primary).collect()]
-    by = {(r["group_type"], r["group"], r["horizon"]): r for r in rows}
-    title = f"BACKTEST REPORT — {result.strategy.name}"
-    out = ["╔" + "═" * (WIDTH - 2) + "╗", f"║ {title:<{WIDTH - 4}} ║", "╚" + "═" * (WIDTH - 2) + "╝", ""]
-    out += [f"  Universe: {counters['universe']:,} tokens ({counters['replayed']:,} replayed, {counters['skipped']:,} skipped)", f"  Data: {counters['data_start']} → {counters['data_end']}", f"  Sessions: {counters['sessions']:,}", f"  Outlier legs: {counters['outliers']:,}"]
-    out += [f"  {n}" for n in result.notes]
-    if not rows:
-        return "\n".join([*out, "", "No signals fired over the chosen universe and window."])
-    out += _section("HEADLINE — forward returns by holding period (entry at the signal day's close)")
-    for h in horizons:
-        r = by[("overall", "ALL SIGNALS", h.label)]
-        name = f"{h.label}({h.days})"
-        if not r["n"]:
-            out.append(f"  {name:<8} {0:>7}   — not enough forward data")
-            continue
-        cells = [_num(r["win_pct"], "{:.2f}"), *(_num(r[c]) for c in ("avg_pct", "median_pct", "avg_win_pct", "avg_loss_pct")), *(_num(r[c], "{:.2f}") for c in ("profit_factor", "payoff_ratio", "sharpe")), _num(r["best_pct"]), _num(r["worst_pct"])]
-        out.append(f"  {name:<8} {r['n']:>7,} " + " ".join(f"{c:>9}" for c in cells))
-    out += _section("EXCURSIONS — best and worst unrealised moves")
-    out += [f"  {h.label:<8} {_num(r['avg_mfe_pct']):>11} {_num(r['avg_mae_pct']):>11} {_num(r['avg_pct']):>11}" for h in horizons if (r := by[("overall", "ALL SIGNALS", h.label)])["n"]]
-    for kind, on in (("signal", True), ("direction", by_direction), ("year", by_year)):
-        if not on:
-            continue
-        out += _section(f"BY {kind.upper()}")
-        for name in dict.fromkeys(r["group"] for r in rows if r["group_type"] == kind):
-            mine = [by[(kind, name, h.label)] for h in horizons]
-            if mine[0]["signals"] >= (min_signals if kind == "signal" else 1):
-                out.append(f"  {name[:32]:<32} {mine[0]['signals']:>7,} " + " ".join(f"{r['n']:>7,} {_num(r['win_pct'], '{:.2f}'):>7} {_num(r['avg_pct']):>8}" for r in mine))
-    for best in (True, False) if top > 0 else ():
-        out += _section(f"{'BEST' if best else 'WORST'} {top} TRADES at {primary}")
-        out += [f"  {r['date']:%Y-%m-%d} {r['token']:>10} {r['variant'][:36]:<36} {r['entry_price']:>10.2f} → {r['exit_price']:>10.2f} {r['return_pct']:>+9.2f}%" for r in top_trades(result.legs, primary, top, best).collect()]
-    edge = by[("overall", "ALL SIGNALS", primary)]
-    stop = result.config.stop
-    out += ["", f"  Verdict at {primary}: {'positive' if edge['avg_pct'] > 0 else 'no positive'} average edge over {edge['n']:,} legs; {'stops are on' if stop.active else 'no stops'}.", ""]
-    return "\n".join(out)
-
-
 def emit(result: Result, folder: str, primary: str) -> str:
     """Write the two CSV folders and return the text report; names derive from the strategy."""
     stem = result.strategy.name.lower().translate(str.maketrans({" ": "-", "/": "-", "(": "", ")": ""}))

@@ -23,4 +23,10 @@ def scan(candles: DataFrame, symbols: DataFrame, every_bar: bool = False) -> Dat
     inside = F.expr("open <= cloud_top and close > cloud_top")
     gap = F.expr("prev_close <= cloud_top and open > cloud_top")
     rows = rows.withColumn("scenario", F.when(gap & ~inside, "GAP_OPEN").otherwise("INTRADAY"))
-    return with_symbol(rows, symbols).select("token", "symbol", "date", "scenario", "open", "close", "cloud_top", "conversion", "base").orderBy("symbol", "date")
+    return with_symbol(rows, symbols).select("token", "symbol", "date", "scenario", "open", "close", "prev_close", "cloud_top", "cloud_bottom", "conversion", "base").orderBy("symbol", "date")
+
+
+def scan_counts(candles: DataFrame) -> DataFrame:
+    """``scanned`` and ``skipped`` (too few bars for the rule): one row."""
+    n = candles.groupBy("token").agg(F.count("*").alias("n"))
+    return n.agg(F.count_if(F.col("n") >= ICHIMOKU_BARS).alias("scanned"), F.count_if(F.col("n") < ICHIMOKU_BARS).alias("skipped"))
