@@ -62,6 +62,12 @@ def log_message(line: Column) -> Column:
     return F.when((at > 1) & (at <= 60), F.substring(bare, at + 2, F.length(bare))).otherwise(bare)
 
 
+def log_record(line: Column, at: Column) -> Column:
+    """A log line as a JSON object: its time, the level that its message tells, and the message."""
+    message = log_message(line)
+    return F.to_json(F.struct(rfc3339(at).alias("time"), log_level(message).alias("level"), message.alias("msg")))
+
+
 def same_day(a: Column, b: Column, zone: str = "Asia/Kolkata") -> Column:
     return F.to_date(F.from_utc_timestamp(a, zone)) == F.to_date(F.from_utc_timestamp(b, zone))
 
@@ -81,3 +87,12 @@ def alert_payload(symbol: Column, signal: Column, ts: Column, sender: str = "Sig
         F.lit(green).alias("color"), F.struct(F.lit(f"{sender} Engine").alias("text")).alias("footer"), rfc3339(ts).alias("timestamp"),
     )
     return F.to_json(F.struct(F.lit(sender).alias("username"), F.array(card).alias("embeds")))
+
+
+def notice_payload(title: Column, message: Column, warning: Column, ts: Column, sender: str = "Signals", blue: int = 0x2979FF, orange: int = 0xFF6D00) -> Column:
+    """The JSON body of a message from the system itself: information, or a warning."""
+    card = F.struct(
+        F.concat(F.when(warning, "⚠️ ").otherwise("ℹ️ "), title).alias("title"), message.alias("description"), F.when(warning, orange).otherwise(blue).alias("color"),
+        F.struct(F.lit(f"{sender} Engine").alias("text")).alias("footer"), rfc3339(ts).alias("timestamp"),
+    )
+    return F.to_json(F.struct(F.lit(sender).alias("username"), F.array(card).alias("embeds")))

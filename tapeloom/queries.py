@@ -16,7 +16,7 @@ from .functions import formats as fm
 from .functions import indicators as ind
 from .operators import confluence as con
 from .operators import metrics, signals, trades
-from .plans import backtest, daily, scanner
+from .plans import backtest, daily, logs, scanner
 from .schema import DEFAULT_HORIZONS, BacktestConfig, ConfluenceOptions, StopRule
 from .sources import candles as src
 from .scratch import work_folder
@@ -886,6 +886,33 @@ def log_records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", fm.log_message(line).alias("msg"), fm.log_level(line).alias("level"))
 
 
+@query("""with m as (select o_orderkey, o_orderdate, case o_orderpriority when '1-URGENT' then 'Fatal ' when '2-HIGH' then 'warning ' else '' end || o_orderstatus || ': "done"' as msg from orders)
+select o_orderdate::date as day, '{"time":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '","level":"' || case when upper(msg) like '%FATAL%' then 'ERROR' when upper(msg) like '%WARN%' then 'WARN' else 'INFO' end || '","msg":"' || replace(msg, '"', '\\"') || ' ' || o_orderkey || '"}' as value from m""")
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    pri = F.col("o_orderpriority")
+    line = F.concat(F.lit("2026/01/01 error.go:42: "), F.when(pri == "1-URGENT", "Fatal ").when(pri == "2-HIGH", "warning ").otherwise(""), F.col("o_orderstatus"), F.lit(': "done" '), F.col("o_orderkey").cast("string"), F.lit("\n"))
+    return logs.records(table(spark, d, "orders").select(line.alias("line"), F.col("o_orderdate").cast("timestamp").alias("at")))
+
+
+@query("""select event_id, '{"username":"Signals","embeds":[{"title":"' || case when event_id % 3 = 0 then '⚠️ ' else 'ℹ️ ' end || event_type || '","description":"token ' || user_id || '","color":' || case when event_id % 3 = 0 then 16739584 else 2718207 end || ',"footer":{"text":"Signals Engine"},"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}]}' as body from events""")
+def notice_payloads(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events")
+    return rows.select("event_id", fm.notice_payload(F.col("event_type"), F.format_string("token %d", "user_id"), F.col("event_id") % 3 == 0, F.col("ts").cast("timestamp")).alias("body"))
+
+
+@query(_INS + f", {_INDEX.replace('s_name as symbol from supplier', 'p_name as symbol from part join supplier on s_suppkey = p_partkey % 10 + 1')} select token, symbol from i where instrument_type = 'EQ' and segment = 'NSE' and symbol in (select symbol from x)")
+def discovered_members(spark: SparkSession, d: str) -> DataFrame:
+    """The index's list can't be read where it is asked for first; a kept table is the next source."""
+    some = _index_of(spark, d)
+    found, _ = ins.discovered(_instruments(spark, d), [f"{d}/no-such-list.csv", some])
+    return found.select("token", "symbol")
+
+
+def _index_of(spark: SparkSession, d: str) -> DataFrame:
+    asia = _suppliers(spark, d).join(_index(spark, d), "symbol", "left_semi").select(F.col("token").alias("__s"))
+    return table(spark, d, "part").join(asia, F.col("p_partkey") % 10 + 1 == F.col("__s"), "left_semi").select(F.col("p_name").alias("symbol"))
+
+
 @query("select o_orderkey, case o_orderkey % 3 when 2 then null else o_orderdate::date end as d from orders")
 def parsed_dates(spark: SparkSession, d: str) -> DataFrame:
     k, at = F.col("o_orderkey") % 3, F.col("o_orderdate").cast("timestamp")

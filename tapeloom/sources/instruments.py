@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,29 @@ def members(instruments: DataFrame, symbols: DataFrame) -> DataFrame:
     return instruments.join(symbols.select("symbol"), "symbol", "left_semi")
 
 
+def discovered(instruments: DataFrame, sources: list[str | DataFrame], column: str = "Symbol") -> tuple[DataFrame, list[str]]:
+    """The equities of an index, whose members come from the first of ``sources`` that can be read; and why those before it could not.
+
+    A source is a CSV's path (``constituents``) or a table with ``symbol``: a live
+    list first, then a kept one. Raises where none can be read, or none of the
+    members is an instrument.
+    """
+    spark, why = instruments.sparkSession, []
+    for source in sources:
+        try:
+            symbols = constituents(spark, source, column) if isinstance(source, str) else source
+            if symbols.isEmpty():
+                raise ValueError("no symbols")
+        except (PySparkException, ValueError) as e:
+            why.append(str(e).split("\n")[0])
+            continue
+        found = members(equities(instruments), symbols)
+        if found.isEmpty():
+            raise ValueError("none of the index's members is an instrument")
+        return found, why
+    raise ValueError(f"no list of members: {'; '.join(why)}")
+
+
 def with_symbol(rows: DataFrame, symbols: DataFrame, default: Column | None = None) -> DataFrame:
     """Add ``symbol``; a token without one gets ``T<token>`` (or ``default``)."""
     default = F.concat(F.lit("T"), F.col("token").cast("string")) if default is None else default

@@ -107,3 +107,39 @@ def test_settings_and_lists(spark):
 def test_symbols_default(spark):
     got = ins.with_symbol(spark.createDataFrame([(1,), (2,), (3,)], "token long"), spark.createDataFrame([(1, "A"), (2, "")], "token long, symbol string"))
     assert {r["token"]: r["symbol"] for r in got.collect()} == {1: "A", 2: "T2", 3: "T3"}
+
+
+def test_members_come_from_the_first_source_that_can_be_read(spark, tmp_path):
+    kinds = [(1, "AAA", "EQ", "NSE", 1.0), (2, "BBB", "EQ", "NSE", 0.0), (3, "AAA", "FUT", "NSE", 1.0), (4, "DDD", "EQ", "NSE", 1.0)]
+    master = spark.createDataFrame(kinds, "token long, symbol string, instrument_type string, segment string, last_price double")
+    live, kept = tmp_path / "live.csv", spark.createDataFrame([("BBB",), ("ZZZ",)], "symbol string")
+    found, why = ins.discovered(master, [str(live), kept])
+    assert [r["token"] for r in found.collect()] == [2] and len(why) == 1
+    live.write_text("Company,Symbol\nA,AAA\nD,DDD\n")
+    found, why = ins.discovered(master, [str(live), kept])
+    assert sorted(r["token"] for r in found.collect()) == [1, 4] and why == []
+    live.write_text("something,else\n1,2\n")
+    assert ins.discovered(master, [str(live), kept])[0].count() == 1
+    with pytest.raises(ValueError, match="no list"):
+        ins.discovered(master, [str(live), kept.where("false")])
+    with pytest.raises(ValueError, match="instrument"):
+        ins.discovered(master, [kept.where("symbol = 'ZZZ'")])
+
+
+def test_log_lines_are_appended_as_json(spark, tmp_path):
+    import json
+
+    from tapeloom.plans import logs
+
+    path, source = str(tmp_path / "logs"), str(tmp_path / "lines")
+    lines = [("2026/01/01 a.go:1: [x] ERROR: \"no\"\n", day(0)), ("plain", day(1)), ("b.go:2: a warning", day(1))]
+    df = spark.createDataFrame(lines, "line string, at timestamp")
+    logs.append(df, path)
+    df.write.parquet(source)
+    q = logs.sink(spark.readStream.schema(df.schema).parquet(source), path + "s", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    logs.append(df.limit(1), path)
+    for where, n in ((path, 4), (path + "s", 3)):
+        got = [(str(r["day"]), json.loads(r["value"])) for r in spark.read.text(where).collect()]
+        assert len(got) == n and ("2024-01-01", {"time": "2024-01-01T00:00:00Z", "level": "ERROR", "msg": '[x] ERROR: "no"'}) in got
+        assert ("2024-01-02", {"time": "2024-01-02T00:00:00Z", "level": "WARN", "msg": "a warning"}) in got
