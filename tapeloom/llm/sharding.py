@@ -43,6 +43,10 @@ def interleaved_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id: st
     shards of equal row counts (law ``rows``: at most one apart), so each shard
     holds each source within about one row of its share.
 
+    Copies of one text are rows like any others: law ``rows`` asks for equal counts,
+    which it could not keep if a group of copies had to stay together, and a group
+    that holds a third of all rows is dealt over all shards in its share.
+
     Returns ``id``, ``source``, ``size`` (UTF-8 bytes plus one), ``text_crc32``,
     ``law``, ``shard``, ``slot`` and ``grown_shard`` (null). Null text counts as
     empty, a null source is a stratum of its own, repeated rows each get a slot

@@ -679,3 +679,39 @@ def test_sharding(docs, none):
     again = sharding.interleaved_shards(docs.repartition(7), shards=5).collect()
     assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, got))
     assert sharding.interleaved_shards(none).count() == 0
+
+
+def chained(seed, *values):
+    """Spark's 64-bit hash of an int and further columns: each value's, seeded with the one before's, as a signed number; nulls change nothing."""
+    h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little", signed=True), 42)
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_shards_and_slots_by_hand(spark):
+    """Ranks in each source, places on the line, and cuts, by sorting whole lists; with copies, null sources and ids, and ties."""
+    rng = random.Random(12)
+    rows = [(k if k % 9 else None, rng.choice(["x", "x", "long text " * 9, None]), rng.choice(["a", "a", "a", "b", "", None]), 1) for k in range(400)] + [(7, "x", "a", 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int").repartition(5)
+    for shards, seed in ((16, 17), (7, 3)):
+        got = collections.Counter((r["doc_id"], r["source"], r["size"], r["text_crc32"], r["law"], r["shard"], r["slot"]) for r in sharding.interleaved_shards(df, shards, seed).collect())
+        strata = collections.defaultdict(list)
+        for i, t, source, _ in rows:
+            data = (t or "").encode()
+            size, crc = len(data) + 1, zlib.crc32(data)
+            name = "0" if source is None else "1" + source
+            strata[name].append((chained(seed, i, size, crc), i, crc, size, source))
+        line = []
+        for name, own in strata.items():
+            own.sort(key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2]))
+            phase = (chained(seed, name) % (1 << 20) + 0.5) / (1 << 20)
+            line += [((r + phase) / len(own), name, x[0], (x[1] is not None, x[1] or 0), x) for r, x in enumerate(own)]
+        line.sort(key=lambda x: x[:4])
+        want, seen = collections.Counter(), collections.Counter()
+        for place, (*_, x) in enumerate(line):
+            shard = place * shards // len(line)
+            want[x[1], x[4], x[3], x[2], "rows", shard, seen[shard]] += 1
+            seen[shard] += 1
+        assert got == want and max(seen.values()) - min(seen.values()) <= 1
