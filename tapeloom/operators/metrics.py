@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import work_folder
+
 #: Rank error of the sketch that brackets a median, as a share of a group's rows.
 BRACKET = 1_000
+#: Bins of equal width that a bracket is counted in, before the values of the middle ones are ranked.
+BINS = 4_096
 
 
 def _bracket(value: Column) -> Column:
@@ -18,20 +23,31 @@ def _bracket(value: Column) -> Column:
 def _middle(rows: DataFrame, ends: DataFrame, keys: list[str], value: str, few: bool) -> DataFrame:
     """The exact medians, given each group's bracket ``__e`` and count ``__n``.
 
-    Values below the bracket are only counted, by a pre-aggregation; the
-    bracket's few distinct values are ranked.
+    Values below the bracket are only counted, by a pre-aggregation. Those within
+    are counted by value, then by bin; only the distinct values of the one or two
+    bins that hold the middle ranks are ranked, so that no task holds a group's
+    bracket.
     """
     ends = ends.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__e")[0].alias("__lo"), F.col("__e")[1].alias("__hi"), "__n")
     rows = rows.where(F.col(value).isNotNull()).select(*(F.col(k).alias(f"__r_{k}") for k in keys), F.col(value).alias("__v"))
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(f"__r_{k}").eqNullSafe(F.col(f"__k_{k}"))
-    near = rows.join(F.broadcast(ends) if few else ends, same).where(F.col("__v") <= F.col("__hi"))
-    counted = near.groupBy(*(F.col(f"__r_{k}").alias(k) for k in keys), F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
-    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("__c"))
-    holds = lambda r: (F.col("__from") < r) & (F.col("__to") >= r) & F.col("__v").isNotNull()
+    same = lambda a, b: reduce(Column.__and__, (F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in keys), F.lit(True))
+    near = rows.join(F.broadcast(ends) if few else ends, same("__r_", "__k_")).where(F.col("__v") <= F.col("__hi"))
+    inside = F.floor((F.col("__v") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * BINS)  # rises with the value
+    bin_ = F.when(F.col("__v") >= F.col("__lo"), F.coalesce(inside, F.lit(0))).otherwise(-1)
+    near = near.withColumns({"__bin": bin_, "__v": F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))})
+    counted = near.groupBy(*(F.col(f"__r_{k}").alias(k) for k in keys), "__bin", "__v").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
+
+    def placed(df: DataFrame, by: list[str], order: str, base: Column) -> DataFrame:
+        upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        return df.withColumn("__to", base + upto).withColumn("__from", F.col("__to") - F.col("__c"))
+
     low, high = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
+    holds = lambda r: (F.col("__from") < r) & (F.col("__to") >= r)
+    bins = counted.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__c"), F.first("__n").alias("__n"))
+    middle = placed(bins, keys, "__bin", F.lit(0)).where((holds(low) | holds(high)) & (F.col("__bin") >= 0))
+    middle = middle.select(*(F.col(k).alias(f"__m_{k}") for k in keys), F.col("__bin").alias("__b"), F.col("__from").alias("__base"))
+    ranked = counted.withColumnsRenamed({k: f"__c_{k}" for k in keys}).join(middle, same("__c_", "__m_") & (F.col("__bin") == F.col("__b")))
+    ranked = placed(ranked.withColumnsRenamed({f"__c_{k}": k for k in keys}), [*keys, "__bin"], "__v", F.col("__base"))
     return ranked.groupBy(*keys).agg(((F.max(F.when(holds(low), F.col("__v"))) + F.max(F.when(holds(high), F.col("__v")))) / 2).alias("median_pct"))
 
 
@@ -39,7 +55,7 @@ def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys`` and ``median_pct``: the exact, interpolated median of each group.
 
     A built-in exact percentile holds all values of a group in one task; here no
-    task holds more than the bracket's distinct values.
+    task holds more than the distinct values of a bin of the bracket, or its bins.
     """
     rows = rows.where(F.col(value).isNotNull())
     return _middle(rows, rows.groupBy(*keys).agg(_bracket(F.col(value)).alias("__e"), F.count("*").alias("__n")), keys, value, few=False)
@@ -77,15 +93,17 @@ def summarize(legs: DataFrame) -> DataFrame:
     One pass: each leg counts in its four groups, which are pre-aggregated
     before the shuffle. Only the medians need a second one; the table of groups
     that it reads is broadcast, since rules, sides, years and horizons bound it.
-    The legs are kept in the cache until the session clears it.
+    The legs are measured at once and written to a work folder.
     """
     groups = F.array(
         F.struct(F.lit("overall").alias("t"), F.lit("ALL SIGNALS").alias("g")), F.struct(F.lit("signal").alias("t"), F.col("variant").alias("g")),
         F.struct(F.lit("direction").alias("t"), F.col("direction").alias("g")), F.struct(F.lit("year").alias("t"), F.year("date").cast("string").alias("g")),
     )
     keys = ["group_type", "group", "horizon", "horizon_days"]
-    # Read twice: kept, so that legs are not measured again. Lost blocks are computed anew.
-    legs = legs.select("horizon", "horizon_days", "valid", "return_pct", "mfe_pct", "mae_pct", "direction", "variant", "date").persist(StorageLevel.MEMORY_AND_DISK)
+    # Read several times: written, so that legs are not measured again, even where an executor is lost.
+    path = f"{work_folder(legs.sparkSession)}/legs"
+    legs.select("horizon", "horizon_days", "valid", "return_pct", "mfe_pct", "mae_pct", "direction", "variant", "date").write.parquet(path)
+    legs = legs.sparkSession.read.parquet(path)
     rows = legs.select("horizon", "horizon_days", "valid", F.when(F.col("valid"), F.col("return_pct")).alias("return_pct"), "mfe_pct", "mae_pct", "direction", F.explode(groups).alias("x"))
     rows = rows.select("*", F.col("x.t").alias("group_type"), F.col("x.g").alias("group")).drop("x")
     stats = _statistics(rows, keys)

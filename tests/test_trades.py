@@ -166,3 +166,21 @@ def test_cooldown_over_many_signals_and_ties(spark):
                 want.append(x)
                 last = x[2]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("bins", [1, 3, 4096])
+def test_median_bins_with_ties_infinities_and_small_groups(spark, monkeypatch, bins):
+    """Ties that fill the middle, groups of one and two values, values as near as floats go, and no values at all."""
+    import random
+    import statistics
+
+    monkeypatch.setattr(metrics, "BINS", bins)
+    rng = random.Random(2)
+    groups = {
+        "ties": [0.0] * 900 + [rng.random() for _ in range(500)], "one": [4.5], "two": [1.0, 2.0], "near": [1.0 + k * 2.0**-52 for k in range(401)],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(777)], "even": [rng.gauss(0, 1) for _ in range(5000)], "same": [7.25] * 1000, None: [3.0, 1.0, 2.0],
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("none", None), ("two", None)]
+    rng.shuffle(rows)
+    got = {r["k"]: r["median_pct"] for r in metrics.exact_median(spark.createDataFrame(rows, "k string, x double").repartition(6), ["k"], "x").collect()}
+    assert got == {k: statistics.median(v) for k, v in groups.items()}
