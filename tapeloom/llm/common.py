@@ -77,24 +77,41 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs a re-read of the file and
     not the work before it, and each reader prunes the columns that it needs.
-    With ``release`` the shuffle files behind it go at once, not when the driver
-    happens to collect its garbage; ``df`` must not be run again then.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    was = spark.conf.get(RELEASE)
-    if release:
-        spark.conf.set(RELEASE, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(RELEASE, was)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Tables:
+    """Tables that are ``written`` under a label and dropped when nothing unwritten needs them any more.
+
+    The shuffle files behind a table go as soon as it is written, not when the
+    driver happens to collect its garbage; a DataFrame is written once only.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        path = self.paths[label] = scratch_path(self.spark, label)
+        was = self.spark.conf.get(RELEASE)
+        self.spark.conf.set(RELEASE, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(RELEASE, was)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(label)).getParent()
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -23,7 +23,7 @@ pre-aggregated group-bys, so that no task gathers one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed_join, slices
-from .common import written as stored
+from .common import Tables, keyed_join, slices
 from .substrings import _with_spans, merged
 
 #: Bytes of an anchor.
@@ -45,7 +44,6 @@ PIECE = 1 << 18
 #: Bits of the filter of repeated anchors that tasks get (16 MB).
 FILTER_BITS = 1 << 27
 
-written = partial(stored, release=True)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -108,7 +106,7 @@ def repeated_anchors(rows: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["anchor", "m"])
 
     found = rows.select("text").mapInArrow(run, "anchor long, m long")
-    return written(found.groupBy("anchor").agg(F.sum("m").alias("m")).where("m > 1").select("anchor"), "anchors")
+    return found.groupBy("anchor").agg(F.sum("m").alias("m")).where("m > 1").select("anchor")
 
 
 def filter_of(anchors: DataFrame) -> bytes:
@@ -225,29 +223,36 @@ def repeated_spans(rows: DataFrame, least: int) -> DataFrame:
     rows share a key and count as different places.
     """
     rows = rows.select("id", "k", "text")
+    tables = Tables(rows.sparkSession)
     # A run whose anchor is met once is alone in its bucket; the few that pass the filter by chance are so later.
-    found = written(run_table(rows, least, filter_of(repeated_anchors(rows, least))), "runs")
+    wanted = filter_of(tables.put(repeated_anchors(rows, least), "anchors"))
+    found = tables.put(run_table(rows, least, wanted), "runs")
     kinds = found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("m"), F.min(F.struct("id", "k", "span", "at")).alias("one"))
-    kinds = written(kinds, "kinds")
-    spans = [written(keyed_join(found, kinds.where("m > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"]).select("id", "k", "span"), "copies")]
+    kinds = tables.put(kinds, "kinds")
+    spans = {"copies": tables.put(keyed_join(found, kinds.where("m > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"]).select("id", "k", "span"), "copies")}
+    tables.drop("anchors", "runs")
     # An anchor with one kind of run is settled, and so is one whose kinds are all met twice or more.
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("m").alias("fewest")).where("kinds > 1 and fewest = 1").select("anchor")
     asked = keyed_join(kinds, open_, ["anchor"]).select("one.id", "one.k", F.struct("anchor", "one.span", "one.at", F.least("m", F.lit(2)).cast("int").alias("n")).alias("c"))
-    asked = asked.groupBy("id", "k").agg(F.collect_list("c").alias("cs"))
+    asked = tables.put(asked.groupBy("id", "k").agg(F.collect_list("c").alias("cs")), "asked")
+    tables.drop("kinds")
     widths = [w for w in WIDTHS if w <= least]
-    nodes = written(_first_nodes(_with_spans(rows, asked, "inner"), widths[0], least), "nodes")
+    nodes = tables.put(_first_nodes(_with_spans(rows, asked, "inner"), widths[0], least), f"nodes_{widths[0]}")
+    tables.drop("asked")
     for was, wide in zip(widths, [*widths[1:], None], strict=True):
         kind = ["k1", "k2", "h1", "h2"]
-        kinds = written(nodes.groupBy(*kind).agg(F.sum("n").alias("m"), F.min(F.struct("id", "k", "place")).alias("one")), "node_kinds")
+        kinds = tables.put(nodes.groupBy(*kind).agg(F.sum("n").alias("m"), F.min(F.struct("id", "k", "place")).alias("one")), f"kinds_{was}")
         settled = keyed_join(nodes.where("n = 1").select("id", "k", "place", "lo", "hi", *kind), kinds.where("m > 1").select(*kind), kind)
-        spans.append(written(settled.select("id", "k", F.expr(f"shiftleft(place - hi, 32) | (place - lo + {least})").alias("span")), "settled"))
-        if wide is None:
-            break
-        open_ = kinds.groupBy("k1", "k2").agg(F.count("*").alias("kinds"), F.min("m").alias("fewest")).where("kinds > 1 and fewest = 1").select("k1", "k2")
-        on = keyed_join(kinds, open_, ["k1", "k2"]).select(*kind, F.col("one.id").alias("__id"), F.col("one.k").alias("__k"), F.col("one.place").alias("__place"), F.least("m", F.lit(2)).cast("int").alias("__n"))
-        n = nodes.join(on, kind).where(F.col("id").eqNullSafe(F.col("__id")) & (F.col("k") == F.col("__k")) & (F.col("place") == F.col("__place"))).withColumn("n", F.col("__n"))
-        nodes = written(_next_nodes(n, was, wide, least), "nodes")
-    return written(reduce(DataFrame.union, spans).groupBy("id", "k").agg(F.collect_set("span").alias("spans")), "spans")
+        spans[f"settled_{was}"] = tables.put(settled.select("id", "k", F.expr(f"shiftleft(place - hi, 32) | (place - lo + {least})").alias("span")), f"settled_{was}")
+        if wide is not None:
+            open_ = kinds.groupBy("k1", "k2").agg(F.count("*").alias("kinds"), F.min("m").alias("fewest")).where("kinds > 1 and fewest = 1").select("k1", "k2")
+            on = keyed_join(kinds, open_, ["k1", "k2"]).select(*kind, F.col("one.id").alias("__id"), F.col("one.k").alias("__k"), F.col("one.place").alias("__place"), F.least("m", F.lit(2)).cast("int").alias("__n"))
+            n = nodes.join(on, kind).where(F.col("id").eqNullSafe(F.col("__id")) & (F.col("k") == F.col("__k")) & (F.col("place") == F.col("__place"))).withColumn("n", F.col("__n"))
+            nodes = tables.put(_next_nodes(n, was, wide, least), f"nodes_{wide}")
+        tables.drop(f"nodes_{was}", f"kinds_{was}")
+    out = tables.put(reduce(DataFrame.union, spans.values()).groupBy("id", "k").agg(F.collect_set("span").alias("spans")), "spans")
+    tables.drop(*spans)
+    return out
 
 
 def without_repeats(docs: DataFrame, least: int = 200, id: str = "doc_id", text: str = "text") -> DataFrame:
