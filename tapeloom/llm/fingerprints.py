@@ -99,7 +99,7 @@ def beside_next(docs: DataFrame, id: str, text: str, carried: dict[str, Column])
     """Each row with its text and ``carried`` columns, and those of the next row by falling ``id`` as ``next_*``.
 
     The last row's next is the first. Equal ids follow each other by falling text;
-    null ids come last. Rows are dealt by id ranges taken from the ids' quantiles,
+    null ids come last. Ids are numbers. Rows are dealt by id ranges taken from the ids' quantiles,
     and each range also gets the head of the following one, so the order over all
     rows needs one shuffle and no single task. There are no more ranges than the
     session has shuffle partitions (8,192 where that is less), which so set how
