@@ -94,8 +94,8 @@ def with_hilega(candles: DataFrame, rsi: int = 9, ema: int = 3, weighted: int =
     """Add ``rsi``, ``ema`` and ``wma`` (both of the RSI), null where not defined; with ``state`` also the recurrences' ``day_state`` and ``ema_state``."""
 
     def step(s: Column, x: Column) -> Column:
-        now = rec.wilder(s["day"], x["close"], rsi)
-        return F.struct(now.alias("day"), rec.exponential(s["ema"], rec.rsi(now, rsi), ema).alias("ema"))
+        moved = lambda now: rec.let(rec.rsi(now, rsi), lambda r: F.struct(now.alias("day"), rec.exponential(s["ema"], r, ema).alias("ema")))
+        return rec.let(rec.wilder(s["day"], x["close"], rsi), moved)
 
     rows = _scanned(candles, F.struct(rec.no_prices().alias("day"), rec.no_values().alias("ema")), step)
     rows = rows.select(*candles.columns, rec.rsi(F.col("s.day"), rsi).alias("rsi"), rec.average_of(F.col("s.ema"), ema).alias("ema"), *([F.col("s.day").alias("day_state"), F.col("s.ema").alias("ema_state")] if state else []))

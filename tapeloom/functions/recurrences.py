@@ -35,6 +35,11 @@ def scan(values: Column, start: Column, step: Step) -> Column:
     return F.flatten(F.transform(done, lambda a: F.slice(a, F.lit(2), F.size(a) - 1)))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` reads it; for use within a step."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def no_prices() -> Column:
     """Wilder's state before any price: their count, the last, and the averages (sums, until there are enough) of gains and losses."""
     return F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("last"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("loss"))
