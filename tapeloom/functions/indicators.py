@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from . import recurrences as rec
+from . import folds
 
 
 def by_bar() -> WindowSpec:
@@ -21,10 +23,41 @@ def session_index() -> Column:
     return F.row_number().over(by_bar()) - 1
 
 
-def midpoint(first: int, last: int) -> Column:
-    """Half of highest high plus lowest low over rows ``first`` to ``last`` from the current one."""
-    f = frame(first, last)
-    return (F.max("high").over(f) + F.min("low").over(f)) / 2
+#: Rows of the widest frame that is taken as it is: a frame is read anew for each bar, so its cost grows with its rows.
+NARROW = 8
+_SIDES = {"hi": ("high", F.max, F.greatest), "lo": ("low", F.min, F.least)}
+
+
+def _shifted(c: str, n: int, ahead: bool = False) -> Column:
+    return (F.lead if ahead else F.lag)(c, n).over(by_bar()) if n else F.col(c)
+
+
+def _with_widths(rows: DataFrame, widths: set[int], ahead: bool = False) -> DataFrame:
+    """Add ``__hi<n>`` and ``__lo<n>``, the highest high and lowest low of the last (``ahead``: next) n bars with the bar itself.
+
+    A wide frame is two overlapping ones of a width that doubles from ``NARROW``
+    on, so that a bar costs a few looks at other rows, however wide its frames are.
+    """
+    names, widest, width = list(rows.columns), max(widths), NARROW
+    first = {w for w in widths if w <= NARROW} | ({NARROW} if widest > NARROW else set())
+    rows = rows.withColumns({f"__{s}{w}": of(value).over(frame(0, w - 1) if ahead else frame(1 - w, 0)) for w in sorted(first) for s, (value, of, _) in _SIDES.items()})
+    steps = [NARROW]
+    while 2 * width <= widest:  # twice and four times the width are of one look
+        rows = rows.withColumns({f"__{s}{n * width}": pick(*(_shifted(f"__{s}{width}", k * width, ahead) for k in range(n))) for s, (_, _, pick) in _SIDES.items() for n in (2, 4)})
+        steps, width = [*steps, 2 * width, 4 * width], 4 * width
+    part = {w: max(x for x in steps if x <= w) for w in widths - first - set(steps)}
+    rows = rows.withColumns({f"__{s}{w}": pick(f"__{s}{x}", _shifted(f"__{s}{x}", w - x, ahead)) for w, x in part.items() for s, (_, _, pick) in _SIDES.items()})
+    return rows.select(*names, *(f"__{s}{w}" for w in sorted(widths) for s in _SIDES))
+
+
+def with_extremes(rows: DataFrame, frames: dict[str, tuple[int, int]], ahead: bool = False) -> DataFrame:
+    """Add ``<name>_hi`` and ``<name>_lo``, the highest high and lowest low over rows first to last of each frame.
+
+    Frames end at the bar or before it; with ``ahead`` they begin at it or after it.
+    """
+    names = rows.columns
+    rows = _with_widths(rows, {last - first + 1 for first, last in frames.values()}, ahead)
+    return rows.select(*names, *(_shifted(f"__{s}{last - first + 1}", first if ahead else -last, ahead).alias(f"{k}_{s}") for k, (first, last) in frames.items() for s in _SIDES))
 
 
 def sma(period: int, value: str = "close") -> Column:
@@ -63,12 +96,13 @@ ICHIMOKU_BARS = 105
 
 
 def with_ichimoku(candles: DataFrame, live: bool = False) -> DataFrame:
-    """Add every Ichimoku line and reference, null before bar 105. All frames are one window operator over one shuffle."""
-    lines = {k: midpoint(*f) for k, f in (LIVE_MIDPOINTS if live else MIDPOINTS).items()}
+    """Add every Ichimoku line and reference, null before bar 105. All frames share one shuffle and order (``with_extremes``)."""
+    lines = LIVE_MIDPOINTS if live else MIDPOINTS
     extra = {f"{c}_{n}": F.lag(c, n).over(by_bar()) for c in ("high", "low") for n in (26, 27)} | {"prev_close": F.lag("close", 1).over(by_bar()), "idx": session_index()}
-    rows = candles.withColumns(lines | extra)
-    gated = {k: F.when(F.col("idx") >= ICHIMOKU_BARS - 1, F.col(k)) for k in lines}
-    return ichimoku_clouds(rows.withColumns(gated))
+    widths = {last - first + 1 for first, last in lines.values()}
+    rows = _with_widths(candles, widths).select(*candles.columns, *(((F.col(f"__hi{w}") + F.col(f"__lo{w}")) / 2).alias(f"__{w}") for w in sorted(widths)))
+    rows = rows.withColumns({k: _shifted(f"__{last - first + 1}", -last) for k, (first, last) in lines.items()} | extra).drop(*(f"__{w}" for w in widths))
+    return ichimoku_clouds(rows.withColumns({k: F.when(F.col("idx") >= ICHIMOKU_BARS - 1, F.col(k)) for k in lines}))
 
 
 def ichimoku_clouds(rows: DataFrame) -> DataFrame:
@@ -78,27 +112,24 @@ def ichimoku_clouds(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"cloud_{e}{s}": f(f"span_a{s}", f"span_b{s}") for e, f in (("top", F.greatest), ("bottom", F.least)) for s in ("", "_52")})
 
 
-def _scanned(candles: DataFrame, start: Column, step: rec.Step) -> DataFrame:
-    """Every bar with the state ``s`` after it.
+def _folded(candles: DataFrame, fold: Callable[[Callable[[str], Column]], Column], **more: Column) -> DataFrame:
+    """Every bar with ``s``, what ``fold`` gives for it; it reads a token's bars as arrays, by column.
 
-    A token's bars are gathered once, in order of date (its sessions bound them),
-    and folded; the bars ride along, so that nothing is joined back.
+    A token's bars are gathered once, in order of date (its sessions bound them);
+    they ride along beside the fold (``folds``), so that nothing is joined back
+    and the partitioning by token stays. ``more`` are columns for the fold alone.
     """
     rest = [c for c in candles.columns if c not in ("token", "date")]
-    rows = candles.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("date", *rest))).alias("b"))
-    rows = rows.select("token", F.explode(F.arrays_zip("b", rec.scan(F.col("b"), start, step).alias("s"))).alias("x"))
+    extra = [c.alias(f"__{k}") for k, c in more.items()]
+    rows = candles.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("date", *rest, *extra))).alias("b"))
+    rows = rows.withColumn("s", fold(lambda c: F.col(f"b.{c}"))).select("token", F.explode(F.arrays_zip("b", "s")).alias("x"))
     return rows.select(*(F.col(c) if c == "token" else F.col(f"x.b.{c}").alias(c) for c in candles.columns), F.col("x.s").alias("s"))
 
 
 def with_hilega(candles: DataFrame, rsi: int = 9, ema: int = 3, weighted: int = 21, state: bool = False) -> DataFrame:
     """Add ``rsi``, ``ema`` and ``wma`` (both of the RSI), null where not defined; with ``state`` also the recurrences' ``day_state`` and ``ema_state``."""
-
-    def step(s: Column, x: Column) -> Column:
-        moved = lambda now: rec.let(rec.rsi(now, rsi), lambda r: F.struct(now.alias("day"), rec.exponential(s["ema"], r, ema).alias("ema")))
-        return rec.let(rec.wilder(s["day"], x["close"], rsi), moved)
-
-    rows = _scanned(candles, F.struct(rec.no_prices().alias("day"), rec.no_values().alias("ema")), step)
-    rows = rows.select(*candles.columns, rec.rsi(F.col("s.day"), rsi).alias("rsi"), rec.average_of(F.col("s.ema"), ema).alias("ema"), *([F.col("s.day").alias("day_state"), F.col("s.ema").alias("ema_state")] if state else []))
+    rows = _folded(candles, lambda of: folds.hilega(of("close"), rsi, ema, state))
+    rows = rows.select(*candles.columns, "s.rsi", "s.ema", *(["s.day_state", "s.ema_state"] if state else []))
     return rows.withColumn("wma", wma(weighted, "rsi"))
 
 
@@ -119,14 +150,9 @@ def with_mtf_rsi(candles: DataFrame, period: int = 14, state: bool = False) -> D
     date. The averages after each completed bucket are kept, and a bar takes one
     provisional step from those before its own bucket.
     """
-    buckets = {"week": week_of, "month": month_of}
-
-    def step(s: Column, x: Column) -> Column:
-        return F.struct(rec.wilder(s["day"], x["close"], period).alias("day"), *(rec.bucketed(s[k], x["close"], f(x["date"]), period).alias(k) for k, f in buckets.items()))
-
-    rows = _scanned(candles, F.struct(rec.no_prices().alias("day"), *(rec.no_buckets("date").alias(k) for k in buckets)), step)
-    coarse = [rec.rsi(rec.wilder(F.col(f"s.{k}.done"), F.col("close"), period), period).alias(f"rsi_{k}ly") for k in buckets]
-    return rows.select(*candles.columns, rec.rsi(F.col("s.day"), period).alias("rsi"), *coarse, *([F.col(f"s.{k}").alias(f"{k}_state") for k in ("day", *buckets)] if state else []))
+    buckets = {"week": week_of(F.col("date")), "month": month_of(F.col("date"))}
+    rows = _folded(candles, lambda of: folds.multi_timeframe(of("close"), {k: of(f"__{k}") for k in buckets}, period, state), **buckets)
+    return rows.select(*candles.columns, "s.rsi", *(f"s.rsi_{k}ly" for k in buckets), *([f"s.{k}_state" for k in ("day", *buckets)] if state else []))
 
 
 def resampled(candles: DataFrame, unit: str) -> DataFrame:

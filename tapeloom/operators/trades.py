@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.indicators import by_bar, frame, sma
+from ..functions.indicators import by_bar, sma, with_extremes
 from ..schema import SHORT, BacktestConfig, Horizon, StopRule
 from .signals import Strategy, cooled, cooled_within, direction, evaluated, in_window, within
 
@@ -23,9 +23,8 @@ def _forward(rows: DataFrame, horizons: tuple[Horizon, ...]) -> DataFrame:
     """Per horizon: the bar that it ends on and the extremes on the way, as forward frames."""
     out = {}
     for k, h in enumerate(horizons):
-        ahead = frame(1, h.days)
-        out |= {f"__c{k}": F.lead("close", h.days).over(by_bar()), f"__d{k}": F.lead("date", h.days).over(by_bar()), f"__h{k}": F.max("high").over(ahead), f"__l{k}": F.min("low").over(ahead)}
-    return rows.withColumns(out)
+        out |= {f"__c{k}": F.lead("close", h.days).over(by_bar()), f"__d{k}": F.lead("date", h.days).over(by_bar())}
+    return with_extremes(rows, {f"__{k}": (1, h.days) for k, h in enumerate(horizons)}, ahead=True).withColumns(out)
 
 
 def _average(stop: StopRule) -> Column:
@@ -104,7 +103,7 @@ def _legs(rows: DataFrame, horizons: tuple[Horizon, ...], config: BacktestConfig
             date, high, low = bar["date"], F.array_max(F.transform(way, lambda b: b["high"])), F.array_min(F.transform(way, lambda b: b["low"]))
         else:
             stopped, held, price = F.lit(False), F.when(F.col(f"__c{k}").isNotNull(), F.lit(h.days)), F.col(f"__c{k}")
-            date, high, low = F.col(f"__d{k}"), F.col(f"__h{k}"), F.col(f"__l{k}")
+            date, high, low = F.col(f"__d{k}"), F.col(f"__{k}_hi"), F.col(f"__{k}_lo")
         parts = {"horizon": F.lit(h.label), "horizon_days": F.lit(h.days), "exit_date": date, "exit_price": price, "high": high, "low": low, "stopped": stopped, "held_days": held}
         each.append(F.struct(*(v.alias(n) for n, v in parts.items())))
     rows = rows.select(*TRADE, "__sign", F.explode(F.array(*each)).alias("x")).select(*TRADE, "__sign", "x.*")

@@ -20,7 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.formats import alert_payload
 from ..functions import recurrences as rec
-from ..functions.indicators import LIVE_MIDPOINTS, by_bar, frame, ichimoku_clouds, month_of, session_index, week_of, with_hilega, with_mtf_rsi
+from ..functions.indicators import LIVE_MIDPOINTS, by_bar, frame, ichimoku_clouds, month_of, session_index, week_of, with_extremes, with_hilega, with_mtf_rsi
 from ..operators.signals import STRATEGIES, direction, gfs_variant, hilega_variant, ichimoku_variant, tier
 from ..scratch import delete, exists
 
@@ -158,13 +158,10 @@ def closed_lines(candles: DataFrame, every: bool = False) -> DataFrame:
     is taken here as far as closed bars go, as its highest high and lowest low.
     With ``every``, a row for each bar as if it were the last one.
     """
-    ends = {}
-    for name, (first, to) in LIVE_MIDPOINTS.items():
-        f = frame(first + 1, min(to + 1, 0))
-        ends |= {f"{name}_hi": F.max("high").over(f), f"{name}_lo": F.min("low").over(f)}
-    ends |= {f"{c}_{n}": F.lag(c, n - 1).over(by_bar()) for c in ("high", "low") for n in (26, 27)}
-    rows = candles.withColumns(ends | {"prev_close": F.col("close")})
-    return _last_bars(rows, every).select("token", "idx", "prev_close", *ends)
+    refs = {f"{c}_{n}": F.lag(c, n - 1).over(by_bar()) for c in ("high", "low") for n in (26, 27)}
+    frames = {name: (first + 1, min(to + 1, 0)) for name, (first, to) in LIVE_MIDPOINTS.items()}
+    rows = with_extremes(candles, frames).withColumns(refs | {"prev_close": F.col("close")})
+    return _last_bars(rows, every).select("token", "idx", "prev_close", *(f"{name}_{s}" for name in frames for s in ("hi", "lo")), *refs)
 
 
 def closed_rsi(candles: DataFrame, period: int = 14, every: bool = False) -> DataFrame:
