@@ -17,6 +17,15 @@ Fetch = Callable[[int, dt.date, dt.date], Sequence[tuple]]
 
 ANSWER = "token long, chunk int, from date, to date, error string, bars array<struct<date: timestamp, open: double, high: double, low: double, close: double, volume: long>>"
 ASKED, FAILED, SKIPPED = None, "failed", "skipped"
+_BAR = pa.struct([("date", pa.timestamp("us", "UTC")), *((c, pa.float64()) for c in ("open", "high", "low", "close")), ("volume", pa.int64())])
+
+
+def _answer(token: int, chunk: int, first: dt.date, last: dt.date, error: str | None, bars: Sequence[tuple]) -> pa.RecordBatch:
+    """One answer as a batch; its bars become columns at once, not value by value."""
+    columns = list(zip(*bars, strict=True)) or [()] * _BAR.num_fields
+    listed = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BAR, strict=True)], fields=list(_BAR))
+    cells = [pa.array([token], pa.int64()), pa.array([chunk], pa.int32()), pa.array([first], pa.date32()), pa.array([last], pa.date32()), pa.array([error], pa.string())]
+    return pa.RecordBatch.from_arrays([*cells, pa.ListArray.from_arrays(pa.array([0, len(bars)], pa.int32()), listed)], names=["token", "chunk", "from", "to", "error", "bars"])
 
 
 class _Lane(InputPartition):
@@ -54,22 +63,22 @@ class _Requests(DataSourceReader):
             of[r[0]].append(r)
         return [_Lane(lane) for lane in lanes if lane]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         failed, after = None, 0.0
         for token, chunk, first, last in partition.value:
             if token == failed:
-                yield token, chunk, first, last, SKIPPED, []
+                yield _answer(token, chunk, first, last, SKIPPED, [])
                 continue
             for attempt in range(self.attempts):
                 time.sleep(max(0.0, after - time.monotonic()))
                 after = time.monotonic() + self.pause
                 try:
-                    yield token, chunk, first, last, ASKED, [tuple(b) for b in self.fetch(token, first, last)]
+                    yield _answer(token, chunk, first, last, ASKED, self.fetch(token, first, last))
                     break
                 except Exception as e:
                     if attempt == self.attempts - 1:
                         failed = token
-                        yield token, chunk, first, last, f"{FAILED}: {e}", []
+                        yield _answer(token, chunk, first, last, f"{FAILED}: {e}", [])
                     else:
                         time.sleep(min(2**attempt, 30) * self.pause)
 
@@ -113,7 +122,7 @@ def archive(path: str) -> Fetch:
         kind, date = data.schema.field("date").type, ds.field("date")
         lo, hi = (pa.scalar(dt.datetime.combine(x, dt.time()), pa.timestamp("us")).cast(pa.timestamp(kind.unit)).cast(kind) for x in (first, last + dt.timedelta(days=1)))
         rows = data.to_table(filter=(date >= lo) & (date < hi), columns=["date", "open", "high", "low", "close", "volume"])
-        rows = rows.set_column(0, "date", rows["date"].cast(pa.timestamp("us")))
-        return [(r["date"].replace(tzinfo=dt.UTC), r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in rows.to_pylist()]
+        rows = rows.set_column(0, "date", rows["date"].cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC")))
+        return list(zip(*(c.to_pylist() for c in rows.columns), strict=True))
 
     return fetch
