@@ -33,7 +33,7 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else 0xFF if c in b".,;:!?\x0a\x0b\x0c\x0
 class _Counts:
     """N-grams of one to three words, counted over many texts as words' numbers."""
 
-    def __init__(self, most_words: int = 1 << 18, most_held: int = 1_500_000) -> None:
+    def __init__(self, most_words: int = 1 << 18, most_held: int = 1_000_000) -> None:
         self.most_words, self.most_held = most_words, most_held
         self.clear()
 
@@ -87,14 +87,17 @@ class _Counts:
         self.clear()
 
 
-def _hashes(lang: str, keys: np.ndarray, value: np.ndarray) -> np.ndarray:
+def _hashes(lang: str, keys: np.ndarray, value: np.ndarray, block: int = 1 << 17) -> np.ndarray:
     """One 64-bit hash for each n-gram, which depends on its language and words only."""
-    h = np.full(len(keys), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
+    out = np.full(len(keys), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
     with np.errstate(over="ignore"):
-        for shift in (2 * _ID_BITS, _ID_BITS, 0):
-            h = (h + value[keys >> shift & _ID]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
-    return h
+        for at in range(0, len(keys), block):
+            h, k = out[at : at + block], keys[at : at + block]
+            for shift in (2 * _ID_BITS, _ID_BITS, 0):
+                h = (h + value[k >> shift & _ID]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(32)
+            out[at : at + block] = h
+    return out
 
 
 def _cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -104,7 +107,7 @@ def _cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
     return (x >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
 
 
-def _counted(batches: Iterable[pa.RecordBatch], room: int = 4 << 20) -> Iterator[tuple]:
+def _counted(batches: Iterable[pa.RecordBatch], room: int = 1 << 20) -> Iterator[tuple]:
     """Counts over all rows ``(lang, text)`` of a task, in as few pieces as its memory allows."""
     counts = _Counts()
     texts: dict[str, list[bytes]] = {}
@@ -127,6 +130,21 @@ def _packed(cells: np.ndarray) -> bytes:
     return (cells[0::2] | cells[1::2] << 4).tobytes()
 
 
+def _raise(held: np.ndarray, h: np.ndarray, counts: np.ndarray, row: int, width: int, block: int = 1 << 17) -> None:
+    """Add ``counts`` to the counters of their hashes in a row that is held as half bytes."""
+    for start in range(0, len(h), block):
+        cells = _cells(h[start : start + block], row, width)
+        order = np.argsort(cells)
+        cells = cells[order]
+        first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+        cells, more = cells[first], np.add.reduceat(np.minimum(counts[start : start + block], FULL)[order], first)
+        for shift in (0, 4):  # two counters of one byte are never raised at once
+            mine = (cells & 1) << 2 == shift
+            at = cells[mine] >> 1
+            new = np.minimum((held[at] >> shift & 15) + more[mine], FULL).astype(np.uint8)
+            held[at] = held[at] & (0xF0 >> shift) | new << shift
+
+
 def _unpacked(data: bytes) -> np.ndarray:
     x = np.frombuffer(data, np.uint8)
     out = np.empty(2 * len(x), np.uint8)
@@ -134,6 +152,15 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out
 
 
+def _filled(batches: Iterable[pa.RecordBatch], width: int) -> np.ndarray:
+    """A task's own sketch: a row of ``width`` counters, as half bytes, for each of ``DEPTH``."""
+    held = np.zeros((DEPTH, width // 2), np.uint8)
+    for _, _, counts, _, h in _counted(batches):
+        for row in range(DEPTH):
+            _raise(held[row], h, counts, row, width)
+    return held
+
+
 def merged_sketch(rows: DataFrame, width: int) -> list[bytes]:
     """The count-min sketch of all n-grams of ``rows`` (``lang, text``), a packed row of ``width`` counters for each of ``DEPTH``.
 
@@ -143,21 +170,12 @@ def merged_sketch(rows: DataFrame, width: int) -> list[bytes]:
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((DEPTH, width), np.uint8)
-        for _, _, counts, _, h in _counted(batches):
-            few = np.minimum(counts, FULL)
-            for row in range(DEPTH):
-                cells = _cells(h, row, width)
-                order = np.argsort(cells)
-                cells = cells[order]
-                first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-                at = cells[first]
-                held[row, at] = np.minimum(held[row, at] + np.add.reduceat(few[order], first), FULL)
-        block = min(width, BLOCK)
+        held = _filled(batches, width)
+        block = min(width, BLOCK) // 2
         for row in range(DEPTH):
-            for at in range(0, width, block):
+            for at in range(0, width // 2, block):
                 if held[row, at : at + block].any():
-                    yield pa.RecordBatch.from_pylist([{"place": row * (width // block) + at // block, "cells": _packed(held[row, at : at + block])}])
+                    yield pa.RecordBatch.from_pylist([{"place": row * (width // 2 // block) + at // block, "cells": held[row, at : at + block].tobytes()}])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, total = None, None
@@ -193,11 +211,13 @@ def phrase_counts(rows: DataFrame, least: int) -> DataFrame:
     width = min(MOST_CELLS, 1 << max(12, math.ceil(math.log2(max(1, size / CELL_BYTES)))))
     sketch = rows.sparkSession.sparkContext.broadcast(merged_sketch(rows, width))
 
-    def often(h: np.ndarray) -> np.ndarray:
+    def often(h: np.ndarray, block: int = 1 << 17) -> np.ndarray:
         ok = np.ones(len(h), bool)
         for row in range(DEPTH):
-            cells = _cells(h, row, width)
-            ok &= (np.frombuffer(sketch.value[row], np.uint8)[cells >> 1] >> (4 * (cells & 1)).astype(np.uint8) & 15) >= least
+            held = np.frombuffer(sketch.value[row], np.uint8)
+            for at in range(0, len(h), block):
+                cells = _cells(h[at : at + block], row, width)
+                ok[at : at + block] &= (held[cells >> 1] >> (4 * (cells & 1)).astype(np.uint8) & 15) >= least
         return ok
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

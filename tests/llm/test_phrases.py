@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tapeloom.llm import phrases
@@ -99,3 +101,27 @@ def test_large_languages_are_ranked_in_parts(spark):
     got = phrases.top(rows, "lang", [F.col("s").desc(), F.col("p")], 900, F.xxhash64("p")).orderBy("rank").collect()
     want = sorted(((r % 7, f"{r:05d}") for r in range(5000)), key=lambda x: (-x[0], x[1]))[:900]
     assert [(r["s"], r["p"]) for r in got] == want and [r["rank"] for r in got] == list(range(1, 901))
+
+
+def test_a_full_row_is_two_counters_a_byte():
+    """Counters that share a byte rise apart and stay at the top; blocks' seams and repeats of a cell lose nothing."""
+    width, rng = 1 << 4, np.random.default_rng(2)
+    h, counts = rng.integers(0, 1 << 63, 500, dtype=np.uint64), rng.integers(1, 4, 500)
+    for upto in (3, 40, 500):
+        held = np.zeros(width // 2, np.uint8)
+        phrases._raise(held, h[:upto], counts[:upto], 1, width, block=7)
+        want = np.bincount(phrases._cells(h[:upto], 1, width), counts[:upto], width)
+        assert (phrases._unpacked(held.tobytes()) == np.minimum(want, phrases.FULL)).all()
+
+
+def test_a_task_holds_its_sketch_and_little_more():
+    """Of the largest width, 64 MB of counters; 128 MB and large copies of the hashes before."""
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(40_000)}" for _ in range(2_000)).encode() for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    tracemalloc.start()
+    try:
+        phrases._filled([batch], phrases.MOST_CELLS)
+        assert tracemalloc.get_traced_memory()[1] < 190 << 20
+    finally:
+        tracemalloc.stop()
