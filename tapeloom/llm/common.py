@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Within it an execution's shuffle files go when it ends; every DataFrame is executed once only."""
+    was = spark.conf.get(RELEASE)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, was)
+
+
 class Tables:
     """Tables that are ``written`` under a label and dropped when nothing unwritten needs them any more.
 
@@ -100,12 +112,8 @@ class Tables:
 
     def put(self, df: DataFrame, label: str) -> DataFrame:
         path = self.paths[label] = scratch_path(self.spark, label)
-        was = self.spark.conf.get(RELEASE)
-        self.spark.conf.set(RELEASE, "true")
-        try:
+        with releasing(self.spark):
             df.write.parquet(path)
-        finally:
-            self.spark.conf.set(RELEASE, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *labels: str) -> None:

@@ -1,4 +1,4 @@
-"""Near copies by exact likeness of word shingles, with MinHash bands as candidate search."""
+"""Near copies by exact likeness of word shingles; SimHash ring chains and MinHash bands are the candidate searches."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, keyed_join, slices, written
+from .common import components, keyed_join, releasing, slices, written
+from .simhash import fingerprint, near_classes
 
 #: Bands of so many MinHashes each. A pair at likeness 0.8 shares no band with probability (1 - 0.8**4)**28 = 4e-7.
 BANDS, ROWS = 28, 4
@@ -58,17 +59,19 @@ def _node(have: np.ndarray) -> int:
 
 
 def with_nodes(docs: DataFrame, text: str, keep: list[str], size: int = 5) -> DataFrame:
-    """``keep`` columns of ``docs``, ``node`` (a hash of the set of shingles) and ``bands``."""
+    """``keep`` columns of ``docs``, ``node`` (a hash of the set of shingles), ``bands`` and ``fp``, the SimHash as a signed long."""
     picked = docs.select(*keep, F.col(text).alias("__text"))
     names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t, size) for t in batch.column(len(names)).to_pylist()]
+            texts = batch.column(len(names)).to_pylist()
+            sets = [shingles(t, size) for t in texts]
             got = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *got], names=[*names, "node", "bands"])
+            fps = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *got, pa.array(fps)], names=[*names, "node", "bands", "fp"])
 
-    added = [T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    added = [T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]
     return picked.mapInArrow(run, T.StructType([*(picked.schema[i] for i in range(len(names))), *added]))
 
 
@@ -121,9 +124,24 @@ def deltas(families: DataFrame, sets: DataFrame, ranked: DataFrame, percent: int
     return rows.mapInArrow(run, "pivot long, e long, node long, component long, n long, d long, at long")
 
 
-def like_classes(sets: DataFrame, percent: int = 80, few: int = FEW) -> DataFrame:
+def ring_pairs(texts: DataFrame, distance: int = 4) -> DataFrame:
+    """Each set with the first of its SimHash class, as pairs ``(a, b)``, from rows ``(node, fp)``.
+
+    Classes are those of op1: fingerprints linked at ``distance`` or fewer bits by
+    ring chains. The pairs are candidates for an exact check.
+    """
+    near = near_classes(texts.select("fp").distinct(), distance)
+    classed = texts.join(near, F.col("fp") == near["node"], "left").select(texts["node"], F.coalesce("component", "fp").alias("class"))
+    classed = written(classed, "classed")
+    first = classed.groupBy("class").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
+    return keyed_join(classed, first, ["class"]).where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+
+
+def like_classes(sets: DataFrame, percent: int = 80, few: int = FEW, *, also: DataFrame | None = None) -> DataFrame:
     """Classes of sets linked at a likeness of ``percent`` or more: ``(node, component)`` of each set with a link.
 
+    Pairs ``(a, b)`` in ``also``, with ``a < b``, are checked first, with those of step 2.
+
     ``sets`` has different longs ``node``, ``n`` and ``have``. Two sets are linked
     when their difference has at most ``(n + m) * r`` elements, where ``r`` is
     ``(100 - percent) / (100 + percent)``. No link is lost:
@@ -162,7 +180,8 @@ def like_classes(sets: DataFrame, percent: int = 80, few: int = FEW) -> DataFram
     pivots = written(pivots, "pivots")
     both = keyed_join(near.select("shingle", "node"), pivots, ["shingle"])
     pairs = both.select(F.col("node").alias("a"), F.explode(F.array("centre", "other")).alias("b"))
-    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = (pairs if also is None else pairs.union(also.select("a", "b"))).distinct()
     known = written(components(written(alike(pairs, sets, percent), "near")), "known")
     label = known.withColumnRenamed("node", "node_")
     labelled = near.join(label, F.col("node") == F.col("node_"), "left").select("shingle", "node", "n", "at", "size", F.coalesce("component", "node").alias("component"))
@@ -206,20 +225,33 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", percent
     """
     row = F.struct(*(docs[c] for c in docs.columns))
     rows = docs.select(row.alias("row"), docs[id].alias("__id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("__k"))
+    with releasing(docs.sparkSession):
+        first = _first_of_class(rows, text, percent, size)
+    kept = rows.join(first, rows["__id"].eqNullSafe(first["__i"]) & (rows["__k"] == first["__l"]), "left_semi")
+    same = Window.partitionBy("__id", "__k").orderBy(F.lit(0))
+    return kept.withColumn("__n", F.row_number().over(same)).where("__n = 1").select("row.*")
+
+
+def _first_of_class(rows: DataFrame, text: str, percent: int, size: int) -> DataFrame:
+    """``(__i, __l)``, id and text hash of the first row of each class of ``rows`` (``row, __id, __k``).
+
+    Candidates are the sets that op1's ring chains put into a class with others (SimHash of the
+    ``size``-word shingles) and those that share a MinHash band. Links are checked in full.
+    """
     named = written(with_nodes(rows.select("__id", "__k", F.col(f"row.{text}").alias("__t")), "__t", ["__id", "__k"], size), "nodes")
-    # A set in no band with another has no near copy; the others are compared in full. One text of each is read.
-    texts = written(named.groupBy("node").agg(F.min(F.struct("__id", "__k")).alias("one"), F.any_value("bands").alias("bands")), "different")
+    # A set in no band and no SimHash class with another has no near copy; the others are compared in full. One text of each is read.
+    texts = named.groupBy("node").agg(F.min(F.struct("__id", "__k")).alias("one"), F.any_value("bands").alias("bands"), F.min("fp").alias("fp"))
+    texts = written(texts, "different")
+    ring = written(ring_pairs(texts.select("node", "fp")), "ring")
     banded = texts.select("node", F.posexplode("bands").alias("slot", "key"))
     shared = banded.groupBy("slot", "key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("slot", "key")
-    some = written(banded.join(shared, ["slot", "key"]).select("node").distinct(), "candidates")
+    chained = ring.select(F.explode(F.array("a", "b")).alias("node"))
+    some = written(banded.join(shared, ["slot", "key"]).select("node").union(chained).distinct(), "candidates")
     some = texts.join(some, "node").select("node", F.col("one.__id").alias("__i"), F.col("one.__k").alias("__l"))
     found = rows.select("__id", "__k", F.col(f"row.{text}").alias("text"))
     found = found.join(some, found["__id"].eqNullSafe(some["__i"]) & (found["__k"] == some["__l"])).select("node", "text")
     sets = written(with_sets(found, size).dropDuplicates(["node"]), "sets")
-    near = like_classes(sets, percent)
+    near = like_classes(sets, percent, also=ring)
     named = named.select("__id", "__k", "node").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__k")).alias("first"))
-    first = first.select(F.col("first.__id").alias("__i"), F.col("first.__k").alias("__l")).distinct()
-    kept = rows.join(first, rows["__id"].eqNullSafe(first["__i"]) & (rows["__k"] == first["__l"]), "left_semi")
-    same = Window.partitionBy("__id", "__k").orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(same)).where("__n = 1").select("row.*")
+    return written(first.select(F.col("first.__id").alias("__i"), F.col("first.__k").alias("__l")).distinct(), "first")

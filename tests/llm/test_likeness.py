@@ -61,3 +61,17 @@ def test_the_stage_drops_near_copies(spark, few, monkeypatch):
 def test_copies_of_a_row_stay_once(spark):
     docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "d e f"), (2, "a b c"), (2, "a b c")], "doc_id long, text string")
     assert sorted(x["text"] + str(x["doc_id"]) for x in likeness.one_of_each(docs).collect()) == ["a b c2", "d e fNone"]
+
+
+def test_ring_chains_find_near_copies_without_bands(spark, monkeypatch):
+    """op1's fingerprints of five-word shingles find copies at 4 bits or fewer, each link checked in full; the bands find nothing here."""
+    r = random.Random(8)
+    rows = []
+    for _ in range(6):
+        base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        rows += [" ".join(base), " ".join([*base[:399], "end"]), " ".join([*base[:200], *(f"z{r.randrange(10**6)}" for _ in range(200))])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    nodes = likeness.with_nodes(docs, "text", ["doc_id"]).select("node", "fp")
+    assert likeness.ring_pairs(nodes).count() == 6
+    monkeypatch.setattr(likeness, "with_nodes", lambda rows, *a, _real=likeness.with_nodes: _real(rows, *a).withColumn("bands", likeness.F.slice("bands", 1, 0)))
+    assert sorted(x["doc_id"] for x in likeness.one_of_each(docs).collect()) == kept_by_force(list(enumerate(rows)))
