@@ -524,8 +524,7 @@ def _live(df: DataFrame) -> DataFrame:
 
 def _every_running_bar(spark: SparkSession, d: str, *names: str) -> DataFrame:
     """Each bar as the running one, against what the bars before it carry on."""
-    rows = bars(spark, d)
-    return _live(live.live_signals(_running(rows), live.closed_states(rows, list(names), every=True), on=("token", "idx")))
+    return _live(live.every_bar_signals(bars(spark, d), list(names)))
 
 
 _LIVE_SELECT = "select token, date, variant, direction, entry as entry_price from "

@@ -10,7 +10,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -20,7 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.formats import alert_payload
 from ..functions import recurrences as rec
-from ..functions.indicators import LIVE_MIDPOINTS, by_bar, frame, ichimoku_clouds, month_of, session_index, week_of, with_extremes, with_hilega, with_mtf_rsi
+from ..functions.indicators import LIVE_MIDPOINTS, by_bar, ichimoku_clouds, month_of, session_index, week_of, with_extremes, with_hilega, with_mtf_rsi
 from ..operators.signals import STRATEGIES, direction, gfs_variant, hilega_variant, ichimoku_variant, tier
 from ..scratch import delete, exists
 
@@ -151,34 +151,50 @@ def _last_bars(rows: DataFrame, every: bool) -> DataFrame:
     return (rows if every else rows.where("__last")).drop("__last")
 
 
-def closed_lines(candles: DataFrame, every: bool = False) -> DataFrame:
-    """What each token's closed bars say of its next bar: one row a token.
+def _lines_carried(candles: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``candles`` with what the bars so far say of the next one's Ichimoku lines, and the names of these columns.
 
     The frames of the live session reach the running bar or end before it; each
     is taken here as far as closed bars go, as its highest high and lowest low.
-    With ``every``, a row for each bar as if it were the last one.
     """
     refs = {f"{c}_{n}": F.lag(c, n - 1).over(by_bar()) for c in ("high", "low") for n in (26, 27)}
     frames = {name: (first + 1, min(to + 1, 0)) for name, (first, to) in LIVE_MIDPOINTS.items()}
     rows = with_extremes(candles, frames).withColumns(refs | {"prev_close": F.col("close")})
-    return _last_bars(rows, every).select("token", "idx", "prev_close", *(f"{name}_{s}" for name in frames for s in ("hi", "lo")), *refs)
+    return rows, ["prev_close", *(f"{name}_{s}" for name in frames for s in ("hi", "lo")), *refs]
+
+
+def _rsi_carried(candles: DataFrame, period: int = 14) -> tuple[DataFrame, list[str]]:
+    """``candles`` with the RSI's recurrences by day, week and month, and the bar's RSI; the names of these columns."""
+    rows = with_mtf_rsi(candles, period, state=True).withColumnRenamed("rsi", "prev_rsi")
+    return rows, ["prev_rsi", "day_state", "week_state", "month_state"]
+
+
+def _hilega_carried(candles: DataFrame, rsi: int = 9, ema: int = 3, weighted: int = 21) -> tuple[DataFrame, list[str]]:
+    """``candles`` with what carries the Hilega lines on: the recurrences, the next weighted average's sum but for its last term, the last two averages and the tier; the names of these columns."""
+    rows = with_hilega(candles, rsi, ema, weighted, state=True).withColumn("prev_wma", F.lag("wma", 1).over(by_bar()))
+    older = reduce(Column.__add__, (F.lag("rsi", weighted - 2 - k).over(by_bar()) * float(k + 1) for k in range(weighted - 1)))
+    rows = rows.withColumns({"older": older, "tier_before": tier(F.col("rsi"), F.col("ema"), F.col("wma"), F.col("prev_wma"))})
+    return rows.withColumnRenamed("day_state", "rsi_state"), ["older", "wma", "prev_wma", "tier_before", "rsi_state", "ema_state"]
+
+
+def _closed(carried: tuple[DataFrame, list[str]], every: bool) -> DataFrame:
+    rows, names = carried
+    return _last_bars(rows, every).select("token", "idx", *names)
+
+
+def closed_lines(candles: DataFrame, every: bool = False) -> DataFrame:
+    """What each token's closed bars say of its next bar's lines: one row a token, or with ``every`` for each bar as if it were the last."""
+    return _closed(_lines_carried(candles), every)
 
 
 def closed_rsi(candles: DataFrame, period: int = 14, every: bool = False) -> DataFrame:
     """The RSI's recurrences after each token's closed bars, by day, week and month, and the last bar's RSI: one row a token (or bar)."""
-    rows = _last_bars(with_mtf_rsi(candles, period, state=True), every)
-    return rows.select("token", "idx", F.col("rsi").alias("prev_rsi"), "day_state", "week_state", "month_state")
+    return _closed(_rsi_carried(candles, period), every)
 
 
 def closed_hilega(candles: DataFrame, rsi: int = 9, ema: int = 3, weighted: int = 21, every: bool = False) -> DataFrame:
-    """What carries the Hilega lines on: the recurrences, the last RSIs that the next weighted average needs, the last two averages and the last tier.
-
-    One row a token (or bar).
-    """
-    rows = with_hilega(candles, rsi, ema, weighted, state=True).withColumn("prev_wma", F.lag("wma", 1).over(by_bar()))
-    recent = F.collect_list("rsi").over(frame(2 - weighted, 0))
-    rows = _last_bars(rows.withColumns({"recent": recent, "was": tier(F.col("rsi"), F.col("ema"), F.col("wma"), F.col("prev_wma"))}), every)
-    return rows.select("token", "idx", "recent", "wma", "prev_wma", F.col("was").alias("tier_before"), F.col("day_state").alias("rsi_state"), "ema_state")
+    """What carries the Hilega lines on after each token's closed bars: one row a token (or bar)."""
+    return _closed(_hilega_carried(candles, rsi, ema, weighted), every)
 
 
 def _ichimoku_now(rows: DataFrame) -> DataFrame:
@@ -199,13 +215,9 @@ def _rsi_now(rows: DataFrame, period: int = 14, mtf_level: float = 60.0) -> Data
 
 
 def _hilega_now(rows: DataFrame, rsi: int = 9, ema: int = 3, weighted: int = 21, long_only: bool = False) -> DataFrame:
-    """The lines one bar on: the recurrences take a step, and the weighted average of the carried RSIs and the new one moves up."""
+    """The lines one bar on: the recurrences take a step, and the weighted average's sum gets its last term."""
     rows = rows.withColumn("rsi", rec.rsi(rec.wilder(F.col("rsi_state"), F.col("close"), rsi), rsi))
-    terms = None
-    for k in range(weighted):
-        term = (F.col("rsi") if k == weighted - 1 else F.get("recent", F.lit(k))) * float(k + 1)
-        terms = term if terms is None else terms + term
-    moved = F.when(F.size("recent") == weighted - 1, terms / (weighted * (weighted + 1) / 2))
+    moved = (F.col("older") + F.col("rsi") * float(weighted)) / (weighted * (weighted + 1) / 2)
     rows = rows.withColumns({"ema": rec.average_of(rec.exponential(F.col("ema_state"), F.col("rsi"), ema), ema), "__now": moved})
     rows = rows.withColumn("tier", tier(F.col("rsi"), F.col("ema"), F.col("__now"), F.col("wma")))
     return rows.withColumn("variant", hilega_variant(F.col("tier"), F.col("tier_before"), F.col("prev_wma"), long_only)).drop("__now")
@@ -218,6 +230,7 @@ LIVE: dict[str, tuple[Callable[..., DataFrame], Callable[..., DataFrame]]] = {
     "hilega": (closed_hilega, _hilega_now),
     "hilega-long": (closed_hilega, partial(_hilega_now, long_only=True)),
 }
+_CARRIED = {"ichimoku": _lines_carried, "rsi": _rsi_carried, "hilega": _hilega_carried, "hilega-long": _hilega_carried}
 
 
 def closed_states(candles: DataFrame, names: list[str] | None = None, every: bool = False) -> DataFrame:
@@ -244,8 +257,29 @@ def live_signals(bars: DataFrame, closed: DataFrame, on: tuple[str, ...] = ("tok
     """
     names = [c for c in closed.columns if c in LIVE]
     rows = bars.join(closed.select(*on, *(["idx"] if "idx" not in on else []), *names), list(on))
-    held = ["token", "ts", "idx", "day", "open", "high", "low", "close"]
-    rows = rows.select(*held, *(F.col(n).alias(f"__{n}") for n in names))
+    return _signals_of(rows.select(*_RUNNING, *(F.col(n).alias(f"__{n}") for n in names)), names)
+
+
+_RUNNING = ["token", "ts", "idx", "day", "open", "high", "low", "close"]
+
+
+def every_bar_signals(candles: DataFrame, names: list[str]) -> DataFrame:
+    """The signals of each bar as the running one, against what the bars before it carry on.
+
+    The next bar meets what a bar carries in one ordering by token, so that
+    candles are built once and nothing is joined. Folds come first; the windows
+    of the lines then stay in one order.
+    """
+    rows = candles.select("token", "date", "open", "high", "low", "close")
+    for name in sorted(names, key=lambda n: n == "ichimoku"):
+        got, carried = _CARRIED[name](rows)
+        rows = got.select(*rows.columns, F.struct(*carried).alias(f"__{name}"))
+    rows = rows.withColumns({"idx": session_index(), **{f"__{n}": F.lag(f"__{n}", 1).over(by_bar()) for n in names}}).where("idx >= 1")
+    return _signals_of(rows.withColumns({"ts": F.col("date"), "day": F.to_date("date")}).select(*_RUNNING, *(f"__{n}" for n in names)), names)
+
+
+def _signals_of(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Signals of running bars, each with what its closed bars carry on as a struct for each strategy."""
     for name in names:
         state = rows.schema[f"__{name}"].dataType.names
         got = LIVE[name][1](rows.withColumns({c: F.col(f"__{name}.{c}") for c in state}))

@@ -280,3 +280,18 @@ def test_formats(spark):
         fm.same_day(F.lit("2024-01-01 18:00:00").cast("timestamp"), F.lit("2024-01-01 19:00:00").cast("timestamp")),
     ).first()
     assert list(r) == ["abc…", " ab  ", "+1.24", "∞", "—", None, "—", "a-b-c", "WARN", "a: b", "-1,234,567", False]
+
+
+def test_every_bar_meets_what_the_bar_before_carries_without_a_join(spark):
+    """One pass over the candles gives the rows of the join of each bar with the closed states before it."""
+    from tapeloom.functions.indicators import session_index
+
+    rows = spark.range(3 * 260).selectExpr("id % 3 as token", "timestamp'2020-01-01' + make_interval(0, 0, 0, cast(id div 3 as int)) as date", "500 + 60 * sin(id div 3 / 9 + id % 3) + pmod(xxhash64(id), 17) as close")
+    rows = rows.selectExpr("token", "date", "close - 2 as open", "close + 3 as high", "close - 4 as low", "close", "1L as volume")
+    names = ["ichimoku", "rsi", "hilega"]
+    got = live.every_bar_signals(rows, names)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    running = rows.withColumns({"idx": session_index(), "day": F.to_date("date")}).withColumnRenamed("date", "ts")
+    want = live.live_signals(running, live.closed_states(rows, names, every=True), on=("token", "idx"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
