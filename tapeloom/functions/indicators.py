@@ -126,6 +126,14 @@ def _folded(candles: DataFrame, fold: Callable[[Callable[[str], Column]], Column
     return rows.select(*(F.col(c) if c == "token" else F.col(f"x.b.{c}").alias(c) for c in candles.columns), F.col("x.s").alias("s"))
 
 
+def gathered(candles: DataFrame) -> DataFrame:
+    """Each ``token`` with its ``bars``, an array of structs in order of date (its sessions bound it). Candles that are so already stay."""
+    if candles.columns == ["token", "bars"]:
+        return candles
+    rest = [c for c in candles.columns if c not in ("token", "date")]
+    return candles.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("date", *rest))).alias("bars"))
+
+
 def with_hilega(candles: DataFrame, rsi: int = 9, ema: int = 3, weighted: int = 21, state: bool = False) -> DataFrame:
     """Add ``rsi``, ``ema`` and ``wma`` (both of the RSI), null where not defined; with ``state`` also the recurrences' ``day_state`` and ``ema_state``."""
     rows = _folded(candles, lambda of: folds.hilega(of("close"), rsi, ema, state))

@@ -10,12 +10,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions import recurrences as rec
-from ..functions.indicators import by_bar, session_index, with_hilega, with_ichimoku, with_mtf_rsi
-from ..schema import LONG, SHORT
+from ..functions.indicators import ICHIMOKU_BARS, MIDPOINTS, by_bar, gathered, session_index, with_hilega, with_ichimoku, with_mtf_rsi
+from ..schema import LONG, SHORT, Horizon
 
 
 @dataclass(frozen=True)
@@ -23,26 +25,48 @@ class Strategy:
     name: str
     warmup: int
     rules: Callable[[DataFrame], DataFrame]
+    #: The same rules over a batch's gathered bars, with dates in a zone: each bar's number of a variant, and their names (``folds.found``).
+    folded: Callable[[folds.Bars, str], tuple[np.ndarray, list[str]]] | None = None
+
+
+def ichimoku_conditions(c: Callable[[str], Column | folds.Reading]) -> dict[str, Column | np.ndarray]:
+    """Each variant's rule over a bar's lines, as columns or as readings, the first that is met first."""
+    close, base, conversion, prev = c("close"), c("base"), c("conversion"), c("prev_close")
+    above = (close > c("cloud_top")) & (close > c("high_26")) & (conversion >= base) & (close > conversion) & (close > c("cloud_top_52"))
+    below = (base > conversion) & (conversion > close) & (c("cloud_bottom_52") > close) & (close < c("low_26")) & (close < c("cloud_bottom"))
+    breaks_up = ((c("open") <= c("cloud_top")) & (close > c("cloud_top"))) | ((prev <= c("cloud_top")) & (c("open") > c("cloud_top")))
+    breaks_down = ((c("open") >= c("cloud_bottom")) & (close < c("cloud_bottom"))) | ((prev >= c("cloud_bottom")) & (c("open") < c("cloud_bottom")))
+    past, past_prev = c("past_conversion"), c("past_prev_conversion")
+    name = "IchimokuKinkoHyo"
+    return {
+        f"{name} (BUY)": above & breaks_up,
+        f"{name} (BUY) 1A": above & (prev < c("high_27")),
+        f"{name} (BUY) Gold Cross": (c("prev_base") >= c("prev_conversion")) & (base < conversion) & (close > c("high_26")) & (close > past) & (close > conversion),
+        f"{name} (BUY) Gold Cross A": (conversion >= base) & (close > c("high_26")) & (close > conversion) & (prev < past_prev) & (close > past),
+        f"{name} (SELL)": breaks_down & below,
+        f"{name} (SELL) 1A": below & (prev > c("low_27")),
+        f"{name} (SELL) Death Cross": (c("prev_conversion") >= c("prev_base")) & (base > conversion) & (conversion > close) & (close < c("low_26")) & (past > close),
+        f"{name} (SELL) Death Cross A": (prev >= past_prev) & (close < past) & (conversion > close) & (base > conversion),
+    }
 
 
 def ichimoku_variant() -> Column:
     """The first Ichimoku rule that a bar's lines meet, or null."""
-    e = F.expr
-    above = e("close > cloud_top and close > high_26 and conversion >= base and close > conversion and close > cloud_top_52")
-    below = e("base > conversion and conversion > close and cloud_bottom_52 > close and close < low_26 and close < cloud_bottom")
-    breaks_up = e("(open <= cloud_top and close > cloud_top) or (prev_close <= cloud_top and open > cloud_top)")
-    breaks_down = e("(open >= cloud_bottom and close < cloud_bottom) or (prev_close >= cloud_bottom and open < cloud_bottom)")
-    name = "IchimokuKinkoHyo"
-    return (
-        F.when(above & breaks_up, f"{name} (BUY)")
-        .when(above & e("prev_close < high_27"), f"{name} (BUY) 1A")
-        .when(e("prev_base >= prev_conversion and base < conversion and close > high_26 and close > past_conversion and close > conversion"), f"{name} (BUY) Gold Cross")
-        .when(e("conversion >= base and close > high_26 and close > conversion and prev_close < past_prev_conversion and close > past_conversion"), f"{name} (BUY) Gold Cross A")
-        .when(breaks_down & below, f"{name} (SELL)")
-        .when(below & e("prev_close > low_27"), f"{name} (SELL) 1A")
-        .when(e("prev_conversion >= prev_base and base > conversion and conversion > close and close < low_26 and past_conversion > close"), f"{name} (SELL) Death Cross")
-        .when(e("prev_close >= past_prev_conversion and close < past_conversion and conversion > close and base > conversion"), f"{name} (SELL) Death Cross A")
-    )
+    return _first_met(ichimoku_conditions(F.col))
+
+
+def _first_met(rules: dict[str, Column]) -> Column:
+    return F.coalesce(*(F.when(rule, name) for name, rule in rules.items()))
+
+
+def _numbered(rules: dict[str, np.ndarray]) -> tuple[np.ndarray, list[str]]:
+    """The number (from 1) of the first rule that each bar meets, and the rules' names."""
+    return np.select(list(rules.values()), range(1, len(rules) + 1), 0), list(rules)
+
+
+def ichimoku_folded(bars: folds.Bars, zone: str) -> tuple[np.ndarray, list[str]]:
+    lines = {k: folds.Reading(v) for k, v in folds.ichimoku_lines(bars, MIDPOINTS, ICHIMOKU_BARS - 1).items()}
+    return _numbered(ichimoku_conditions(lines.__getitem__))
 
 
 def ichimoku_rules(candles: DataFrame, live: bool = False) -> DataFrame:
@@ -66,10 +90,20 @@ def turned_up(prev: Column, now: Column, band: Band) -> Column:
     return prev.between(band.low, band.high) & (now > prev) & (now > band.level)
 
 
+def gfs_conditions(prev, rsi, weekly, monthly, mtf_level: float = 60.0) -> dict[str, Column | np.ndarray]:
+    """Each turn-up's rule, over columns or readings."""
+    confirmed = (weekly > mtf_level) & (monthly > mtf_level)
+    return {"RSI (Advanced GFS)": turned_up(prev, rsi, ADVANCED_GFS) & confirmed, "RSI (GFS)": turned_up(prev, rsi, GFS) & confirmed}
+
+
 def gfs_variant(prev: Column, rsi: Column, weekly: Column, monthly: Column, mtf_level: float = 60.0) -> Column:
     """The turn-up that a bar makes, confirmed by both coarser readings, or null."""
-    confirmed = (weekly > mtf_level) & (monthly > mtf_level)
-    return F.when(turned_up(prev, rsi, ADVANCED_GFS) & confirmed, "RSI (Advanced GFS)").when(turned_up(prev, rsi, GFS) & confirmed, "RSI (GFS)")
+    return _first_met(gfs_conditions(prev, rsi, weekly, monthly, mtf_level))
+
+
+def gfs_folded(bars: folds.Bars, zone: str) -> tuple[np.ndarray, list[str]]:
+    lines = {k: folds.Reading(v) for k, v in folds.mtf_lines(bars, zone).items()}
+    return _numbered(gfs_conditions(*(lines[k] for k in ("was_rsi", "rsi", "rsi_weekly", "rsi_monthly"))))
 
 
 def gfs_rules(period: int = 14, mtf_level: float = 60.0) -> Callable[[DataFrame], DataFrame]:
@@ -82,11 +116,24 @@ def gfs_rules(period: int = 14, mtf_level: float = 60.0) -> Callable[[DataFrame]
     return rules
 
 
-def tier(rsi: Column, ema: Column, wma: Column, prev_wma: Column, buy: float = 55.0, sell: float = 48.0, mid: float = 50.0) -> Column:
-    """The tier that a bar is in, or null: buying tiers need a rising, stacked set of lines above ``buy``, selling ones the mirror."""
+def tier_conditions(rsi, ema, wma, prev_wma, buy: float = 55.0, sell: float = 48.0, mid: float = 50.0) -> dict[str, Column | np.ndarray]:
+    """Each tier's rule, over columns or readings."""
     up = (rsi > buy) & (ema < rsi) & (wma < ema) & (wma > prev_wma)
     down = (rsi < sell) & (ema > rsi) & (wma > ema) & (wma < prev_wma)
-    return F.when(up & (wma > mid), "BUY-2").when(up, "BUY-1").when(down & (wma < mid), "SELL-2").when(down, "SELL-1")
+    return {"BUY-2": up & (wma > mid), "BUY-1": up, "SELL-2": down & (wma < mid), "SELL-1": down}
+
+
+def tier(rsi: Column, ema: Column, wma: Column, prev_wma: Column, buy: float = 55.0, sell: float = 48.0, mid: float = 50.0) -> Column:
+    """The tier that a bar is in, or null: buying tiers need a rising, stacked set of lines above ``buy``, selling ones the mirror."""
+    return _first_met(tier_conditions(rsi, ema, wma, prev_wma, buy, sell, mid))
+
+
+def hilega_folded(bars: folds.Bars, zone: str, long_only: bool = False) -> tuple[np.ndarray, list[str]]:
+    lines = {k: folds.Reading(v) for k, v in folds.hilega_lines(bars).items()}
+    now, names = _numbered(tier_conditions(*(lines[k] for k in ("rsi", "ema", "wma", "was_wma"))))
+    before, _ = _numbered(tier_conditions(*(lines[k] for k in ("was_rsi", "was_ema", "was_wma", "past_wma"))))
+    fires = (now != before) & lines["past_wma"].ok & ((now <= 2) | (not long_only))
+    return np.where(fires, now, 0), [f"HilegaMilega ({n})" for n in names]
 
 
 def hilega_variant(tier: Column, before: Column, past_wma: Column, long_only: bool = False) -> Column:
@@ -107,10 +154,10 @@ def hilega_rules(long_only: bool = False) -> Callable[[DataFrame], DataFrame]:
 
 
 STRATEGIES: dict[str, Strategy] = {
-    "ichimoku": Strategy("IchimokuKinkoHyo", 110, ichimoku_rules),
-    "rsi": Strategy("RSI", 18, gfs_rules()),
-    "hilega": Strategy("HilegaMilega", 60, hilega_rules()),
-    "hilega-long": Strategy("HilegaMilega", 60, hilega_rules(long_only=True)),
+    "ichimoku": Strategy("IchimokuKinkoHyo", 110, ichimoku_rules, ichimoku_folded),
+    "rsi": Strategy("RSI", 18, gfs_rules(), gfs_folded),
+    "hilega": Strategy("HilegaMilega", 60, hilega_rules(), hilega_folded),
+    "hilega-long": Strategy("HilegaMilega", 60, hilega_rules(long_only=True), partial(hilega_folded, long_only=True)),
 }
 #: As bars are evaluated during the session: the previous lines reach one bar further back.
 LIVE_ICHIMOKU = Strategy("IchimokuKinkoHyo", 110, partial(ichimoku_rules, live=True))
@@ -213,11 +260,22 @@ def cooled(signals: DataFrame, sessions: int, keys: tuple[str, ...] = ("token",
     return rows.select(*(F.col(c) if c in keys else F.col(f"__x.{c}") for c in signals.columns))
 
 
-def fired_together(candles: DataFrame, strategies: list[Strategy]) -> DataFrame:
+def fired_together(candles: DataFrame, strategies: list[Strategy], horizons: tuple[Horizon, ...] = ()) -> DataFrame:
     """The signals of several strategies, as ``fired`` gives each one's, from one pass over the candles.
 
-    Each strategy's variant is a column of the same ordering by token.
+    Strategies with folded rules run side by side in one Arrow function over each
+    token's bars (candles may come gathered), which gives out the bars that fire,
+    with the columns of ``trades.looks`` for ``horizons``. Else each strategy's
+    variant is a column of the same ordering by token.
     """
+    if all(s.folded for s in strategies):
+        zone = candles.sparkSession.conf.get("spark.sql.session.timeZone")
+        hits = folds.found(F.col("bars"), [(s.name, s.warmup, s.folded) for s in strategies], [h.days for h in horizons], zone)
+        rows = gathered(candles).select("token", hits.alias("x")).select("token", F.explode("x").alias("x")).select("token", "x.*")
+        rest = [c for c in rows.columns if c.startswith("__")]
+        return rows.select("token", "date", "session_idx", "strategy", "variant", direction(F.col("variant")).alias("direction"), "entry_price", *rest)
+    if horizons:
+        raise ValueError("only strategies with folded rules look ahead")
     rows = candles
     for k, s in enumerate(strategies):
         rows = s.rules(rows).select(*rows.columns, F.col("variant").alias(f"__v{k}"))

@@ -50,6 +50,10 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
     return src.from_lineitem(table(spark, d, "lineitem"))
 
 
+def gathered_bars(spark: SparkSession, d: str) -> DataFrame:
+    return src.gathered_lineitem(table(spark, d, "lineitem"))
+
+
 def day(c: str = "date") -> Column:
     return F.to_date(c).alias(c)
 
@@ -776,8 +780,8 @@ def _confluence_select() -> str:
     return f"select c.token, t.date, c.idx::int as session_idx, array_to_string(list_sort(list_concat([t.short], c.names)), '  +  ') as variant, c.direction, t.entry as entry_price, (c.idx - c.earliest)::int as align_gap from cool c join tr t on t.token = c.token and t.idx = c.idx and t.strategy = c.strategy and t.variant = c.variant"
 
 
-def _trades(spark: SparkSession, d: str, *names: str) -> DataFrame:
-    return signals.fired_together(bars(spark, d), [signals.STRATEGIES[n] for n in names])
+def _trades(spark: SparkSession, d: str, *names: str, horizons: tuple = ()) -> DataFrame:
+    return signals.fired_together(gathered_bars(spark, d), [signals.STRATEGIES[n] for n in names], horizons)
 
 
 def _events(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import folds
+
 
 def parsed_date(text: Column) -> Column:
     """A stored date: RFC 3339 first, then ``YYYY-MM-DD``; null if neither."""
@@ -57,6 +59,21 @@ def from_lineitem(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def gathered_lineitem(lineitem: DataFrame) -> DataFrame:
+    """The bars of ``from_lineitem``, gathered: ``token`` and its ``bars`` in order of date (``indicators.gathered``).
+
+    A token's lines meet in one shuffle; an Arrow function sorts, sums and
+    aggregates those of a batch's tokens.
+    """
+    parts = {
+        "date": F.col("l_shipdate").cast("timestamp"), "a": F.col("l_orderkey").cast("long"), "b": F.col("l_linenumber").cast("long"), "c": F.col("l_partkey").cast("long"),
+        "dx": F.round(F.col("l_discount") * 100).cast("long") - 5, "tx": F.round(F.col("l_tax") * 100).cast("long"), "ln": F.col("l_linenumber").cast("long"), "q": F.col("l_quantity").cast("long"),
+    }
+    lines = lineitem.groupBy(F.col("l_suppkey").alias("token")).agg(F.collect_list(F.struct(*(v.alias(k) for k, v in parts.items()))).alias("l"))
+    of = {k: F.col(f"l.{k}") for k in parts}
+    return lines.select("token", folds.walk(of["date"], [of["a"], of["b"], of["c"]], of["dx"], of["tx"], of["ln"], of["q"]).alias("bars"))
+
+
 def universe(candles: DataFrame, most: int = 0) -> DataFrame:
     """The stored tokens in order; the first ``most`` of them, if given."""
     tokens = candles.select("token").distinct().orderBy("token")

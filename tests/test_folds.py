@@ -2,8 +2,11 @@ import math
 import re
 
 from pyspark.sql import functions as F
+from tapeloom import queries
 from tapeloom.functions import indicators as ind
 from tapeloom.functions import recurrences as rec
+from tapeloom.operators import signals
+from tapeloom.sources import candles
 
 
 def bars(spark):
@@ -80,3 +83,35 @@ def test_a_bar_costs_no_more_with_wider_frames(spark):
     assert sliding and all(b - a < ind.NARROW for a, b in sliding)
     for rows in (ind.with_hilega(bars(spark)), ind.with_mtf_rsi(bars(spark))):
         assert "aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString().replace("Aggregate", "")
+
+
+def test_folded_rules_are_the_columns_rules(spark):
+    df = bars(spark)
+    for name, s in signals.STRATEGIES.items():
+        s = signals.Strategy(s.name, 8, s.rules, s.folded)  # short tokens count too
+        want = signals.fired(df, s)
+        same(signals.fired_together(df, [s]).select(want.columns), want)
+        same(signals.fired_together(ind.gathered(df), [s]).select(want.columns), want)
+        assert name == "rsi" or want.count()
+
+
+def test_gathered_lines_are_the_walks_bars(spark):
+    rows = []
+    for k in range(400):
+        odd = lambda n, v: None if (k * 7 + n) % 23 == 0 else v
+        rows.append((odd(0, 1 + k % 3), k // 2, odd(1, k % 2), k % 5, odd(2, float(k % 50)), odd(3, k % 11 / 100), odd(4, k % 9 / 100), odd(5, f"1995-01-{1 + k * 13 % 28:02d}")))
+    lines = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double, l_tax double, d string").withColumn("l_shipdate", F.to_date("d"))
+    want = candles.from_lineitem(lines)
+    same(candles.gathered_lineitem(lines).select("token", F.explode("bars").alias("x")).select("token", "x.*"), want)
+    assert candles.gathered_lineitem(lines.limit(0)).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_confluence_moves_bars_once(spark):
+    """Lines meet by token, then only signals do: no fold is followed by another exchange of the bars."""
+    d = "/root/testdata/sf0.001"
+    found = plan(queries.confluence_any(spark, d))
+    assert found.count("Exchange hashpartitioning(token") + found.count("Exchange hashpartitioning(l_suppkey") == 2
