@@ -54,26 +54,27 @@ def conflicts(trades: DataFrame, strategies: list[str], opt: ConfluenceOptions)
     return _matched(trades, strategies, opt).agg(F.count_if("conflict").alias("conflicts"))
 
 
-def confluence(trades: DataFrame, strategies: list[str], opt: ConfluenceOptions = ConfluenceOptions()) -> DataFrame:
+def confluence(trades: DataFrame, strategies: list[str], opt: ConfluenceOptions = ConfluenceOptions(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Events where other strategies (all, or any) agreed within the window before an anchor.
 
     ``trades`` has one row for each trade (``token, date, session_idx, strategy,
     variant, direction, entry_price``); ``strategies`` names those that took part.
     One event for each token, side and session (the first anchor by variant),
     then the greedy cooldown by token and side. The event's name lists the short
-    names in order. Everything happens within one partitioning by token.
+    names in order. ``keep`` names more columns of the anchor that its event keeps.
+    Everything happens within one partitioning by token.
     """
     if len(strategies) < 2 or len(set(strategies)) != len(strategies):
         raise ValueError("confluence needs two different strategies or more")
     need = len(strategies) - 1 if opt.require_all else 1
-    rows = trades.select("token", "date", "session_idx", "strategy", "variant", "direction", "entry_price")
+    rows = trades.select("token", "date", "session_idx", "strategy", "variant", "direction", "entry_price", *keep)
     hits = _matched(rows, strategies, opt).where(F.col("partners") >= need)
     first = Window.partitionBy("token", "direction", "session_idx").orderBy("variant", "strategy")
     hits = hits.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
     names = F.array_sort(F.concat(F.array(compact(F.col("strategy"), F.col("variant"))), F.col("names")))
-    events = hits.select("token", "direction", "session_idx", "date", "entry_price", F.array_join(names, "  +  ").alias("variant"), (F.col("session_idx") - F.least("session_idx", "earliest")).alias("align_gap"))
+    events = hits.select("token", "direction", "session_idx", "date", "entry_price", F.array_join(names, "  +  ").alias("variant"), (F.col("session_idx") - F.least("session_idx", "earliest")).alias("align_gap"), *keep)
     events = cooled(events, opt.cooldown, ("token", "direction"))
-    return events.select("token", "date", "session_idx", F.lit("Confluence").alias("strategy"), "variant", "direction", "entry_price", "align_gap")
+    return events.select("token", "date", "session_idx", F.lit("Confluence").alias("strategy"), "variant", "direction", "entry_price", "align_gap", *keep)
 
 
 def mean_gap(events: DataFrame) -> DataFrame:

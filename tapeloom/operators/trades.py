@@ -27,6 +27,11 @@ def _forward(rows: DataFrame, horizons: tuple[Horizon, ...]) -> DataFrame:
     return with_extremes(rows, {f"__{k}": (1, h.days) for k, h in enumerate(horizons)}, ahead=True).withColumns(out)
 
 
+def looks(horizons: tuple[Horizon, ...]) -> tuple[str, ...]:
+    """The columns of ``_forward``, which ``fired_together`` gives to signals."""
+    return tuple(n for k in range(len(horizons)) for n in (f"__c{k}", f"__d{k}", f"__{k}_hi", f"__{k}_lo"))
+
+
 def _average(stop: StopRule) -> Column:
     return sma(stop.sma) if stop.sma > 0 else F.lit(None).cast("double")
 
@@ -176,6 +181,13 @@ def legs_of_trades(candles: DataFrame, trades: DataFrame, config: BacktestConfig
     return _measured(_stops(rows, candles, config.horizons, config.stop) if config.stop.active else rows, config)
 
 
+def legs_ahead(trades: DataFrame, config: BacktestConfig) -> DataFrame:
+    """Legs without stops of trades that have kept their ``looks``, so that no bars are joined to them."""
+    if config.stop.active:
+        raise ValueError("stops need the bars themselves")
+    return _measured(trades, config)
+
+
 def stop_usage(legs: DataFrame, horizon: str) -> DataFrame:
     """Share of valid legs that stopped, and the mean holding time, at one horizon."""
     rows = legs.where((F.col("horizon") == horizon) & F.col("valid"))

@@ -805,8 +805,9 @@ def confluence_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_with(_ichimoku_sql(), _ICH_RULES, _HILEGA, _HILEGA_RULES, _confluence_sql(["ichs", "hils"], True), f"evs as (select e.token, e.date, e.session_idx as idx, 'Confluence' as strategy, e.variant, e.direction, e.entry_price as entry from ({_confluence_select()}) e)", _fixed_sql("evs"), select=_leg_select()))
 def confluence_legs(spark: SparkSession, d: str) -> DataFrame:
-    events = con.confluence(_trades(spark, d, "ichimoku", "hilega"), _TWO)
-    return _legs(trades.legs_of_trades(bars(spark, d), events, BacktestConfig()))
+    run = BacktestConfig()
+    found = _trades(spark, d, "ichimoku", "hilega", horizons=run.horizons)
+    return _legs(trades.legs_ahead(con.confluence(found, _TWO, keep=trades.looks(run.horizons)), run))
 
 
 @query(_with(_ichimoku_sql(), _ICH_RULES, _HILEGA, _HILEGA_RULES, _confluence_sql(["ichs", "hils"], True), select=f"select count(*) as events, round(avg(align_gap), 6) as mean_gap from ({_confluence_select()})"))

@@ -111,7 +111,9 @@ def plan(df):
 
 
 def test_confluence_moves_bars_once(spark):
-    """Lines meet by token, then only signals do: no fold is followed by another exchange of the bars."""
+    """Lines meet by token, then only signals do: no fold is followed by another exchange of the bars, and legs join none."""
     d = "/root/testdata/sf0.001"
     found = plan(queries.confluence_any(spark, d))
     assert found.count("Exchange hashpartitioning(token") + found.count("Exchange hashpartitioning(l_suppkey") == 2
+    legs = plan(queries.confluence_legs(spark, d))
+    assert legs.count("FileScan") == 1 and "Join" not in legs
