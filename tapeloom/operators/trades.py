@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indicators import by_bar, sma, with_extremes
 from ..schema import SHORT, BacktestConfig, Horizon, StopRule
-from .signals import Strategy, cooled, cooled_within, direction, evaluated, in_window, within
+from .signals import Strategy, cooled, cooled_within, direction, evaluated, fired_together, in_window, within
 
 TRADE = ["token", "date", "session_idx", "strategy", "variant", "direction", "entry_price"]
 LEG = ["horizon", "horizon_days", "valid", "exit_date", "exit_price", "return_pct", "mfe_pct", "mae_pct", "stopped", "held_days"]
@@ -129,23 +129,27 @@ def _legs(rows: DataFrame, horizons: tuple[Horizon, ...], config: BacktestConfig
 def legs_of(candles: DataFrame, strategy: Strategy, config: BacktestConfig) -> DataFrame:
     """A strategy's trades, one row for each trade and horizon.
 
-    Indicators, rules, the forward look and the entry are columns over one
-    ordering by token, so nothing is joined, and candles are built once. A signal
+    Nothing is joined, and candles are built once. Without a stop
+    ``fired_together`` gives the signals of folded rules with their forward look
+    (``candles`` may come gathered); else indicators, rules and the
+    forward look are columns over one ordering by token. A signal
     enters at its close; with a stop the horizon is a longest holding time, and a
     trade that is still open where the data end has no valid leg. Excursions are
     gross and start from the net return. Moves beyond ``max_move_pct`` are marked
     ``outlier``, not valid.
     """
-    rows = evaluated(candles, strategy)
     if config.stop.active:
-        return _measured(_stopped_trades(rows, strategy, config), config)
-    rows = _forward(rows, config.horizons)
-    ahead = [c for c in rows.columns if c.startswith("__")]
-    rows = rows.where(F.col("variant").isNotNull() & (F.col("idx") >= strategy.warmup))
-    trades = rows.select(
-        "token", "date", F.col("idx").cast("int").alias("session_idx"), F.lit(strategy.name).alias("strategy"), "variant",
-        direction(F.col("variant")).alias("direction"), F.col("close").alias("entry_price"), *ahead,
-    )
+        return _measured(_stopped_trades(evaluated(candles, strategy), strategy, config), config)
+    if strategy.folded:
+        trades = fired_together(candles, [strategy], config.horizons)
+    else:
+        rows = _forward(evaluated(candles, strategy), config.horizons)
+        ahead = [c for c in rows.columns if c.startswith("__")]
+        rows = rows.where(F.col("variant").isNotNull() & (F.col("idx") >= strategy.warmup))
+        trades = rows.select(
+            "token", "date", F.col("idx").cast("int").alias("session_idx"), F.lit(strategy.name).alias("strategy"), "variant",
+            direction(F.col("variant")).alias("direction"), F.col("close").alias("entry_price"), *ahead,
+        )
     return _measured(cooled(in_window(trades, config.start, config.end), config.cooldown), config)
 
 

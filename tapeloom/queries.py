@@ -623,7 +623,8 @@ sq as (select *, sg * ((x - entry) / entry * 100.0) + 0.0 - {cost / 100.0}::doub
 
 
 def _run(spark: SparkSession, d: str, strategy: str = "ichimoku", **config) -> DataFrame:
-    return trades.legs_of(bars(spark, d), signals.STRATEGIES[strategy], BacktestConfig(**config))
+    run = BacktestConfig(**config)
+    return trades.legs_of(bars(spark, d) if run.stop.active else gathered_bars(spark, d), signals.STRATEGIES[strategy], run)
 
 
 @query(_with(_ichimoku_sql(), _ICH_RULES, _fixed_sql("ichs"), select=_leg_select()))

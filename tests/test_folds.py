@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tapeloom import queries
 from tapeloom.functions import indicators as ind
 from tapeloom.functions import recurrences as rec
-from tapeloom.operators import signals
+from tapeloom.operators import signals, trades
+from tapeloom.schema import BacktestConfig, Horizon
 from tapeloom.sources import candles
 
 
@@ -95,6 +96,14 @@ def test_folded_rules_are_the_columns_rules(spark):
         assert name == "rsi" or want.count()
 
 
+def test_folded_legs_are_the_columns_legs(spark):
+    df, s = bars(spark), signals.STRATEGIES["hilega"]
+    config = BacktestConfig(horizons=(Horizon("A", 1), Horizon("B", 9), Horizon("C", 40)))
+    want = trades.legs_of(df, signals.Strategy(s.name, s.warmup, s.rules), config)
+    same(trades.legs_of(df, s, config).select(want.columns), want)
+    assert want.count()
+
+
 def test_gathered_lines_are_the_walks_bars(spark):
     rows = []
     for k in range(400):
@@ -117,3 +126,9 @@ def test_confluence_moves_bars_once(spark):
     assert found.count("Exchange hashpartitioning(token") + found.count("Exchange hashpartitioning(l_suppkey") == 2
     legs = plan(queries.confluence_legs(spark, d))
     assert legs.count("FileScan") == 1 and "Join" not in legs
+
+
+def test_backtests_take_one_exchange_and_no_window(spark):
+    for q in (queries.trades_table, queries.legs_fixed):
+        found = plan(q(spark, "/root/testdata/sf0.001"))
+        assert "Window" not in found and found.count("FileScan") == 1
