@@ -70,8 +70,5 @@ def end_of_day(store: CandleStore, today: DataFrame, as_of: Column, years: int =
     (``closed_states``), to be written and joined by ``live_signals``. Running it
     again for the same day gives the same store.
     """
-    store.merge(today)
-    store.retain(as_of, years)
-    if active is not None:
-        store.keep_listed(active)
+    store.close_day(today, as_of, years, active)
     return closed_states(store.read())

@@ -372,10 +372,9 @@ def boot_plan(spark: SparkSession, d: str) -> DataFrame:
 )
 def rolled_up(spark: SparkSession, d: str) -> DataFrame:
     """The store's files after a day's roll-up: fresh candles merged, old ones and delisted tokens gone."""
-    rows = bars(spark, d)
     held = CandleStore(spark, f"{work_folder(spark)}/store", buckets=8)
-    held.merge(rows)
-    daily.end_of_day(held, _fresh(rows), F.lit(AS_OF).cast("date"), 1, _suppliers(spark, d).where("s_acctbal > 2000"))
+    held.merge(bars(spark, d))
+    daily.end_of_day(held, _fresh(held.read(1998)), F.lit(AS_OF).cast("date"), 1, _suppliers(spark, d).where("s_acctbal > 2000"))
     return held.read().select("token", day(), "close", "volume")
 
 

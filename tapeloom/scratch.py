@@ -20,6 +20,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def folders(spark: SparkSession, root: str, pattern: str) -> list[str]:
+    """The addresses below a folder that match, none if there is no such folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return [f.getPath().toString() for f in found or []]
+
+
+def replace(spark: SparkSession, path: str, target: str) -> None:
+    """Put one folder in another's place; doing it again after a break gives the same."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old, new = of(path), of(target)
+    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(new, True)
+    files.mkdirs(new.getParent())
+    if not files.rename(old, new):
+        raise OSError(f"{path} could not be moved to {target}")
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder that all executors share, under ``spark.checkpoint.dir`` (in local mode our own where that is unset); deleted when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)

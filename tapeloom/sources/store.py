@@ -19,14 +19,17 @@ def latest_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def upsert(stored: DataFrame, fresh: DataFrame, keys: tuple[str, ...] = ("token", "date"), order: str | None = None) -> DataFrame:
+def upsert(stored: DataFrame | None, fresh: DataFrame, keys: tuple[str, ...] = ("token", "date"), order: str | None = None) -> DataFrame:
     """Stored rows with ``fresh`` over them: one row a key, fresh ones win, of those the largest ``order``.
 
-    One shuffle by the key, however many batches are put together.
+    One shuffle by the key, however many batches are put together. With nothing
+    stored (None) fresh rows keep the partitioning that they have.
     """
+    by = [F.col(order).desc()] if order else []
+    if stored is None:
+        return latest_wins(fresh, list(keys), by) if by else fresh.dropDuplicates(list(keys))
     rows = stored.withColumn("__fresh", F.lit(0)).unionByName(fresh.withColumn("__fresh", F.lit(1)), allowMissingColumns=True)
-    by = [F.col("__fresh").desc()] + ([F.col(order).desc()] if order else [])
-    return latest_wins(rows, list(keys), by).drop("__fresh")
+    return latest_wins(rows, list(keys), [F.col("__fresh").desc(), *by]).drop("__fresh")
 
 
 def retained(candles: DataFrame, as_of: Column, years: int = 3) -> DataFrame:

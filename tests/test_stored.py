@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fakes import Client
+from tapeloom import queries
 from tapeloom.plans import daily
-from tapeloom.sources import fetch, store
+from tapeloom.sources import fetch, store, stored
 from tapeloom.sources.stored import CandleStore
 
 CANDLE = "token long, date timestamp, open double, high double, low double, close double, volume long"
@@ -86,6 +87,70 @@ def test_retention_and_delisting_drop_partitions(spark, held):
     assert held.read().count() == 0
 
 
+def counted(spark, df):
+    """The rows with a count of how often a date of theirs was made."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("timestamp")
+    def look(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn("date", look("date")), seen
+
+
+def test_an_empty_store_takes_candles_evaluated_once(spark, tmp_path):
+    fresh, seen = counted(spark, rows(spark, *FIRST, FIRST[0]))
+    s = CandleStore(spark, str(tmp_path / "store"), buckets=4)
+    assert s.merge(fresh) == s.parts() == s.parts(rows(spark, *FIRST)) and seen.value == len(FIRST) + 1
+    assert values(s.read()) == sorted(FIRST)
+
+
+def test_a_day_is_closed_by_one_change(spark, tmp_path, held, monkeypatch):
+    as_of, active = F.lit("2025-02-01").cast("date"), spark.createDataFrame([(1,), (2,)], "token long")
+    today = [(2, "2023-03-01", 7.0), (3, "2025-01-31", 8.0), (2, "2021-03-01", 9.0), (1, "2025-01-31", 6.0)]
+    other = CandleStore(spark, str(tmp_path / "other"), buckets=4)
+    other.merge(held.read())
+    other.merge(rows(spark, *today))
+    other.retain(as_of, 3)
+    other.keep_listed(active)
+    changes = []
+    change = CandleStore._change
+    monkeypatch.setattr(CandleStore, "_change", lambda self, *a: changes.append(1) or change(self, *a))
+    daily.end_of_day(held, rows(spark, *today), as_of, 3, active)
+    assert len(changes) == 1 and held.parts() == other.parts()
+    assert values(held.read()) == values(other.read()) == [(1, "2022-03-01", 2.0), (1, "2025-01-31", 6.0), (2, "2023-03-01", 7.0)]
+
+
+def test_a_store_takes_its_own_candles(spark, held):
+    held.merge(held.read(2022).withColumn("close", F.col("close") + 1))
+    assert values(held.read()) == [(t, d, c + (d >= "2022")) for t, d, c in sorted(FIRST)]
+
+
+def test_a_break_between_two_partitions_is_made_good(spark, held, monkeypatch):
+    put, done = stored.replace, []
+
+    def broken(*of):
+        if done:
+            raise OSError("gone")
+        done.append(put(*of))
+
+    with monkeypatch.context() as m:
+        m.setattr(stored, "replace", broken)
+        with pytest.raises(OSError, match="gone"):
+            held.close_day(rows(spark, (1, "2022-03-01", 9.0), (2, "2023-03-01", 8.0)), F.lit("2025-01-01").cast("date"), 3)
+    assert values(held.read()) == [(1, "2022-03-01", 9.0), (2, "2023-03-01", 8.0), (3, "2022-05-05", 5.0)]
+    assert not os.path.exists(f"{held.path}/stage") and {y for _, y in held.parts()} == {2022, 2023}
+
+
+def test_a_roll_up_walks_the_lines_once(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    bars, made = queries.bars, []
+    monkeypatch.setattr(queries, "bars", lambda *of: (made.append(counted(spark, bars(*of))), made[-1][0])[1])
+    n = queries.QUERIES["rolled_up"](spark, d).count()
+    assert n > 0 and sum(seen.value for _, seen in made) == bars(spark, d).count()
+
+
 def test_backfill_of_planned_gaps(spark, tmp_path, held):
     calls = tmp_path / "calls"
     calls.mkdir()
