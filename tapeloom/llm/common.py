@@ -127,10 +127,12 @@ def keyed_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inn
 
     ``few`` comes from an aggregate by the keys, whose partitioning a join would
     share; a shared one can't be split. One more key, a hash of the others, makes
-    both sides be dealt anew for the join alone.
+    both sides be dealt anew for the join alone. Neither side is broadcast: what
+    Spark knows of them before it runs is the size of a compressed file, without
+    the rows that an explode adds.
     """
     h = F.xxhash64(*keys)
-    return rows.withColumn("__h", h).join(few.withColumn("__h", h), [*keys, "__h"], how).drop("__h")
+    return rows.withColumn("__h", h).join(few.withColumn("__h", h).hint("merge"), [*keys, "__h"], how).drop("__h")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

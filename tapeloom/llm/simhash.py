@@ -137,7 +137,8 @@ def near_classes(fps: DataFrame, distance: int = 4, direct: int = DIRECT) -> Dat
 
     ``fps`` has distinct longs ``fp``. Returns ``(node, component)`` for each
     fingerprint with a link to another; ``component`` is the smallest ``fp`` of
-    its class. No link is lost, and no large bucket is expanded into its pairs:
+    its class. No link is lost, and no large bucket is expanded into its pairs. All joins
+    sort and merge but that to the list of slots: Spark takes an exploded table for as small as its file.
 
     1. every fingerprint enters the bucket of each slot (``ring_slots``); buckets
        of one are dropped after a pre-aggregation;
@@ -167,13 +168,13 @@ def near_classes(fps: DataFrame, distance: int = 4, direct: int = DIRECT) -> Dat
             pivots = pivots.union(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
         known = written(components(pivots), f"known{depth}")
         label = known.withColumnsRenamed({"node": "fp"})
-        labelled = near.select("slot", "start", "key", "fp", "size").join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        labelled = near.select("slot", "start", "key", "fp", "size").join(label.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
         labelled = written(labelled, f"labelled{depth}")
         last = depth == min(4, distance + 1)
         few = labelled if last else labelled.where(F.col("size") <= direct)
         p, q = few.alias("p"), few.select("slot", "key", "fp", "component").alias("q")
         found = (
-            p.join(q, ["slot", "key"])
+            p.join(q.hint("merge"), ["slot", "key"])
             .where("p.component < q.component")
             .where(chain_holds(F.col("p.fp"), F.col("q.fp"), F.col("p.start"), distance))
             .where(hamming(F.col("p.fp"), F.col("q.fp")) <= distance)
@@ -208,10 +209,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", dis
     rows = written(with_fingerprints(picked, "__t", ["__id", *(f"__keep_{c}" for c in keep)], shingle, seed), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("__id").alias("low")), "distinct")
     near = near_classes(fps.select("fp"), distance).withColumnRenamed("node", "fp")
-    named = fps.join(near, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = fps.join(near.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = keyed_join(named.select("fp", "component"), low, ["component"]).select("fp", "component_id", "component")
-    return rows.join(named, "fp").select(
+    return rows.join(named.hint("merge"), "fp").select(
         F.col("__id").alias(id), *(F.col(f"__keep_{c}").alias(c) for c in keep), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component"
     )
 
@@ -227,6 +228,6 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", distanc
     near = near_duplicates(rows.select("__id", "__k", F.col(f"row.{text}").alias("__t")), "__id", "__t", distance, shingle, seed, keep=["__k"])
     first = near.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__k")).alias("first"))
     first = first.select(F.col("first.__id").alias("__i"), F.col("first.__k").alias("__l")).distinct()
-    kept = rows.join(first, rows["__id"].eqNullSafe(first["__i"]) & (rows["__k"] == first["__l"]), "left_semi")
+    kept = rows.join(first.hint("merge"), rows["__id"].eqNullSafe(first["__i"]) & (rows["__k"] == first["__l"]), "left_semi")
     alike = Window.partitionBy("__id", "__k").orderBy(F.lit(0))
     return kept.withColumn("__n", F.row_number().over(alike)).where("__n = 1").select("row.*")
