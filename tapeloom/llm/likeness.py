@@ -89,7 +89,7 @@ def with_sets(rows: DataFrame, size: int = 5) -> DataFrame:
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets share ``percent`` or more of their union, in whole numbers."""
     p, q = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("have").alias(f"have_{c}")) for c in ("a", "b"))
-    rows = pairs.join(p, "a").join(q, "b").withColumn("both", F.size(F.array_intersect("have_a", "have_b")))
+    rows = pairs.join(p.hint("merge"), "a").join(q.hint("merge"), "b").withColumn("both", F.size(F.array_intersect("have_a", "have_b")))
     return rows.where(f"both * {100 + percent} >= (n_a + n_b) * {percent}").select("a", "b")
 
 
@@ -101,10 +101,10 @@ def deltas(families: DataFrame, sets: DataFrame, ranked: DataFrame, percent: int
     first that ``like_classes`` needs are listed, by place ``at``.
     """
     nodes = families.select("node").union(families.select("pivot")).distinct()
-    common = ranked.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("met"), F.collect_list("df").alias("df"))
-    whole = written(sets.join(nodes, "node", "left_semi").join(common, "node", "left"), "whole")  # read by node and by pivot
+    common = ranked.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("met"), F.collect_list("df").alias("df"))
+    whole = written(sets.join(nodes.hint("merge"), "node", "left_semi").join(common.hint("merge"), "node", "left"), "whole")  # read by node and by pivot
     x, y = whole, whole.select(*(F.col(c).alias(f"{c}_") for c in whole.columns))
-    rows = families.join(x, "node").join(y, F.col("pivot") == F.col("node_")).select("pivot", "node", "component", "n", "have", "met", "df", "have_", "met_", "df_")
+    rows = families.join(x.hint("merge"), "node").join(y.hint("merge"), F.col("pivot") == F.col("node_")).select("pivot", "node", "component", "n", "have", "met", "df", "have_", "met_", "df_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -131,7 +131,7 @@ def ring_pairs(texts: DataFrame, distance: int = 4) -> DataFrame:
     ring chains. The pairs are candidates for an exact check.
     """
     near = near_classes(texts.select("fp").distinct(), distance)
-    classed = texts.join(near, F.col("fp") == near["node"], "left").select(texts["node"], F.coalesce("component", "fp").alias("class"))
+    classed = texts.join(near.hint("merge"), F.col("fp") == near["node"], "left").select(texts["node"], F.coalesce("component", "fp").alias("class"))
     classed = written(classed, "classed")
     first = classed.groupBy("class").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
     return keyed_join(classed, first, ["class"]).where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
@@ -170,7 +170,7 @@ def like_classes(sets: DataFrame, percent: int = 80, few: int = FEW, *, also: Da
     met = written(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "met")
     # Those met once come first and need no row: their number is n less the count of the others.
     order = Window.partitionBy("node").orderBy("df", "shingle")
-    ranked = each.join(met, "shingle").withColumns({"at": F.row_number().over(order), "others": F.count("*").over(Window.partitionBy("node"))})
+    ranked = each.join(met.hint("merge"), "shingle").withColumns({"at": F.row_number().over(order), "others": F.count("*").over(Window.partitionBy("node"))})
     ranked = written(ranked.select("node", "n", "shingle", "df", (F.col("n") - F.col("others") + F.col("at")).alias("at")), "ranked")
     member = ranked.where(f"at <= n - ceil(n * {percent} / 100D) + 1").drop("df")
     shared = member.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1")
@@ -184,14 +184,14 @@ def like_classes(sets: DataFrame, percent: int = 80, few: int = FEW, *, also: Da
     pairs = (pairs if also is None else pairs.union(also.select("a", "b"))).distinct()
     known = written(components(written(alike(pairs, sets, percent), "near")), "known")
     label = known.withColumnRenamed("node", "node_")
-    labelled = near.join(label, F.col("node") == F.col("node_"), "left").select("shingle", "node", "n", "at", "size", F.coalesce("component", "node").alias("component"))
+    labelled = near.join(label.hint("merge"), F.col("node") == F.col("node_"), "left").select("shingle", "node", "n", "at", "size", F.coalesce("component", "node").alias("component"))
     labelled = written(labelled, "labelled")
     split = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
     mixed = written(keyed_join(labelled, split, ["shingle"]), "mixed")
     small = mixed.where(F.col("size") <= few)
     p, q = small.alias("p"), small.alias("q")
     rest = (
-        p.join(q, "shingle")
+        p.join(q.hint("merge"), "shingle")
         .where("p.component != q.component and (p.n > q.n or p.n = q.n and p.node > q.node)")
         .where(f"(p.n + q.n - 2 * (1 + least(p.n - p.at, q.n - q.at))) * {100 + percent} <= (p.n + q.n) * {100 - percent}")
         .where(f"q.at <= floor(q.n * {100 - percent} / {100 + percent}D) + 1")
@@ -205,7 +205,7 @@ def like_classes(sets: DataFrame, percent: int = 80, few: int = FEW, *, also: Da
         apart = written(deltas(families, sets, ranked, percent), "deltas")
         p, q = apart.alias("p"), apart.where(f"at <= floor(n * {100 - percent} / {2 * percent}D) + 1").alias("q")
         rest = rest.union(
-            p.join(q, ["pivot", "e"])
+            p.join(q.hint("merge"), ["pivot", "e"])
             .where("p.component != q.component and (p.d > q.d or p.d = q.d and p.node > q.node)")
             .where(f"(p.d + q.d - 2 * (1 + least(p.d - p.at, q.d - q.at))) * {100 + percent} <= (p.n + q.n) * {100 - percent}")
             .select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
@@ -227,7 +227,7 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", percent
     rows = docs.select(row.alias("row"), docs[id].alias("__id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("__k"))
     with releasing(docs.sparkSession):
         first = _first_of_class(rows, text, percent, size)
-    kept = rows.join(first, rows["__id"].eqNullSafe(first["__i"]) & (rows["__k"] == first["__l"]), "left_semi")
+    kept = rows.join(first.hint("merge"), rows["__id"].eqNullSafe(first["__i"]) & (rows["__k"] == first["__l"]), "left_semi")
     same = Window.partitionBy("__id", "__k").orderBy(F.lit(0))
     return kept.withColumn("__n", F.row_number().over(same)).where("__n = 1").select("row.*")
 
@@ -246,12 +246,12 @@ def _first_of_class(rows: DataFrame, text: str, percent: int, size: int) -> Data
     banded = texts.select("node", F.posexplode("bands").alias("slot", "key"))
     shared = banded.groupBy("slot", "key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("slot", "key")
     chained = ring.select(F.explode(F.array("a", "b")).alias("node"))
-    some = written(banded.join(shared, ["slot", "key"]).select("node").union(chained).distinct(), "candidates")
-    some = texts.join(some, "node").select("node", F.col("one.__id").alias("__i"), F.col("one.__k").alias("__l"))
+    some = written(banded.join(shared.hint("merge"), ["slot", "key"]).select("node").union(chained).distinct(), "candidates")
+    some = texts.join(some.hint("merge"), "node").select("node", F.col("one.__id").alias("__i"), F.col("one.__k").alias("__l"))
     found = rows.select("__id", "__k", F.col(f"row.{text}").alias("text"))
-    found = found.join(some, found["__id"].eqNullSafe(some["__i"]) & (found["__k"] == some["__l"])).select("node", "text")
+    found = found.join(some.hint("merge"), found["__id"].eqNullSafe(some["__i"]) & (found["__k"] == some["__l"])).select("node", "text")
     sets = written(with_sets(found, size).dropDuplicates(["node"]), "sets")
     near = like_classes(sets, percent, also=ring)
-    named = named.select("__id", "__k", "node").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = named.select("__id", "__k", "node").join(near.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__k")).alias("first"))
     return written(first.select(F.col("first.__id").alias("__i"), F.col("first.__k").alias("__l")).distinct(), "first")

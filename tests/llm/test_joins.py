@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def test_a_keyed_join_of_an_exploded_table_broadcasts_no_side(spark):
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("run", [lambda docs: simhash.near_duplicates(docs)], ids=["op1"])
+@pytest.mark.parametrize("run", [lambda docs: simhash.near_duplicates(docs), lambda docs: corpus_pipeline.near_duplicates(docs.sparkSession, docs, "")], ids=["op1", "pipeline"])
 def test_near_copies_are_found_without_a_broadcast(spark, run):
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 1 << 20  # Spark's own, under which small tables are broadcast
     docs = near_copies(spark)
