@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Cells (tokens by sessions) that are folded at once.
 CELLS = 1 << 20
+#: Elements of a batch's lists that a function takes at once. What it derives of an element is up to a kilobyte.
+PART = 1 << 17
 WILDER = "struct<n: int, last: double, gain: double, loss: double>"
 Maybe = tuple[np.ndarray, np.ndarray]  # values, and where they are not null
 
@@ -33,6 +35,23 @@ def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         yield at, len(offsets) - 1
 
 
+def in_parts(fold: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    """A fold of lists, taken over runs of neighbouring ones with at most ``PART`` elements (or one list).
+
+    A batch is bounded by its bytes as they come; with its parts taken one after the other, what is derived of them is bounded too.
+    """
+
+    def run(*lists: pa.Array) -> pa.Array:
+        ends, at, parts = _offsets(lists[0])[1:], 0, []
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
+            parts.append(fold(*(x.slice(at, to - at) for x in lists)))
+            at = to
+        return pa.concat_arrays(parts) if parts else fold(*lists)
+
+    return run
+
+
 def _flat(lists: pa.Array) -> Maybe:
     return _maybe(lists.flatten())
 
@@ -279,7 +298,7 @@ def found(bars: Column, rules: list[Rule], days: list[int], zone: str) -> Column
         return _listed(np.searchsorted(at, held.offsets), got)
 
     kind = "session_idx: int, date: timestamp, strategy: string, variant: string, entry_price: double" + "".join(f", `__c{k}`: double, `__d{k}`: timestamp, `__{k}_hi`: double, `__{k}_lo`: double" for k in range(len(days)))
-    return F.arrow_udf(fold, f"array<struct<{kind}>>")(bars)
+    return F.arrow_udf(in_parts(fold), f"array<struct<{kind}>>")(bars)
 
 
 def _starting(new: np.ndarray, got: Maybe, least: bool | None) -> Maybe:
@@ -317,7 +336,7 @@ def walk(date: Column, place: list[Column], dx: Column, tx: Column, ln: Column,
         kinds = {"date": TIMESTAMP, "volume": pa.int64()}
         return _listed(days, {k: pa.array(values, mask=~ok).cast(kinds.get(k, pa.float64())) for k, (values, ok) in got.items()})
 
-    return F.arrow_udf(fold, "array<struct<date: timestamp, open: double, high: double, low: double, close: double, volume: long>>")(date, *place, dx, tx, ln, q)
+    return F.arrow_udf(in_parts(fold), "array<struct<date: timestamp, open: double, high: double, low: double, close: double, volume: long>>")(date, *place, dx, tx, ln, q)
 
 
 def _hilega(offsets: np.ndarray, close: Maybe, rsi: int, ema: int, state: bool) -> Table:
@@ -350,7 +369,7 @@ def hilega(close: Column, rsi: int, ema: int, state: bool) -> Column:
         return _listed(offsets, got)
 
     more = f", day_state: {WILDER}, ema_state: struct<n: int, value: double>" if state else ""
-    return F.arrow_udf(fold, f"array<struct<rsi: double, ema: double{more}>>")(close)
+    return F.arrow_udf(in_parts(fold), f"array<struct<rsi: double, ema: double{more}>>")(close)
 
 
 def _multi_timeframe(offsets: np.ndarray, close: Maybe, buckets: dict[str, Maybe], period: int, state: bool) -> Table:
@@ -393,4 +412,4 @@ def multi_timeframe(close: Column, buckets: dict[str, Column], period: int, stat
     kind = "rsi: double" + "".join(f", rsi_{b}ly: double" for b in names)
     if state:
         kind += f", day_state: {WILDER}" + "".join(f", {b}_state: struct<done: {WILDER}, bucket: date, close: double>" for b in names)
-    return F.arrow_udf(fold, f"array<struct<{kind}>>")(close, *buckets.values())
+    return F.arrow_udf(in_parts(fold), f"array<struct<{kind}>>")(close, *buckets.values())

@@ -271,7 +271,8 @@ def fired_together(candles: DataFrame, strategies: list[Strategy], horizons: tup
     if all(s.folded for s in strategies):
         zone = candles.sparkSession.conf.get("spark.sql.session.timeZone")
         hits = folds.found(F.col("bars"), [(s.name, s.warmup, s.folded) for s in strategies], [h.days for h in horizons], zone)
-        rows = gathered(candles).select("token", hits.alias("x")).select("token", F.explode("x").alias("x")).select("token", "x.*")
+        # For explode Spark would infer a filter that there are elements, and run the functions a second time for it.
+        rows = gathered(candles).select("token", hits.alias("x")).select("token", F.explode_outer("x").alias("x")).where("x is not null").select("token", "x.*")
         rest = [c for c in rows.columns if c.startswith("__")]
         return rows.select("token", "date", "session_idx", "strategy", "variant", direction(F.col("variant")).alias("direction"), "entry_price", *rest)
     if horizons:
